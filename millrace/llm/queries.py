@@ -9,11 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.common import documents
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.mixing import mix_sources
+from millrace.llm.packing import pack_documents
 from millrace.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), capacity=2048, end=0)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, max_epochs=2.0, seed=17)
 
@@ -27,7 +38,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_mix_sources, op5_rendezvous_shards, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_rendezvous_shards, op9_exact_dedup)}
 
 
 OP9_SQL = r"""
