@@ -11,6 +11,7 @@ from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.mixing import mix_sources
 from millrace.llm.packing import pack_documents
 from millrace.llm.sharding import shard_documents
+from millrace.llm.token_count import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,12 +34,16 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), weights=[1.0] * 40)
 
 
+def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), limit=1024)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_rendezvous_shards, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_rendezvous_shards, op8_count_tokens, op9_exact_dedup)}
 
 
 OP9_SQL = r"""
