@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import documents
+from millrace.llm.chat import format_chats, read_chats
+from millrace.llm.common import documents, written
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.mixing import mix_sources
 from millrace.llm.packing import pack_documents
@@ -42,8 +43,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    how = (_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    formatted = written(format_chats(turns.unionByName(extra), *how), "chats")
+    return read_chats(formatted, *how)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_rendezvous_shards, op8_count_tokens, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_rendezvous_shards, op8_count_tokens, op9_exact_dedup, op10_chat_format)}
 
 
 OP9_SQL = r"""
