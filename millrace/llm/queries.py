@@ -12,6 +12,7 @@ from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.mixing import mix_sources
 from millrace.llm.packing import pack_documents
 from millrace.llm.sharding import shard_documents
+from millrace.llm.tiff import media_digests, text_media
 from millrace.llm.token_count import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +36,10 @@ def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), weights=[1.0] * 40)
 
 
+def op6_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(text_media(documents(spark, sf_dir)))
+
+
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -55,7 +60,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_rendezvous_shards, op8_count_tokens, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_rendezvous_shards, op6_tiff_media, op8_count_tokens, op9_exact_dedup, op10_chat_format)}
 
 
 OP9_SQL = r"""
