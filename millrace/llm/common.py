@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +58,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
     return df.mapInArrow(run, schema)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) -> DataFrame:
-    """rows left-joined with one row for each group, where a group may hold a large share of all rows.
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "left") -> DataFrame:
+    """rows joined with one row for each group, where a group may hold a large share of all rows.
 
     Groups of at least a thousandth of the rows are at most a thousand, so they are
     broadcast; all others meet their rows in a shuffle, where none is large.
@@ -67,10 +68,32 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str) ->
     cold = groups.where(F.col(size) < least)
     hot = groups.where(F.col(size) >= least).withColumn("_hot", F.lit(True))
     tagged = rows.join(F.broadcast(hot), on, "left")
-    rest = tagged.where(F.col("_hot").isNull()).select(*rows.columns).join(cold, on, "left")
+    rest = tagged.where(F.col("_hot").isNull()).select(*rows.columns).join(cold, on, how)
     return tagged.where(F.col("_hot")).drop("_hot").unionByName(rest)
 
 
+class Bitmap:
+    """A set of whole numbers as bits of their remainders, of bounded size.
+
+    It may hold more than was put in, never less. Once it fills up it holds everything.
+    """
+
+    #: The largest prime under 2 ** 27: 16 MB of bits.
+    MOST = 134217689
+
+    def __init__(self, numbers: DataFrame, column: str, most: int = MOST):
+        self.size = max(64, min(most, 16 * numbers.count() + 1))
+        at = F.pmod(F.col(column), F.lit(self.size))
+        words = numbers.select(F.floor(at / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {self.size}L) % 32 AS int))").alias("b"))
+        found = words.groupBy("w").agg(F.bit_or("b").alias("bits")).toPandas()  # size / 32 rows at most
+        self.words = np.zeros(self.size // 32 + 1, dtype=np.uint32)
+        self.words[found["w"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        at = numbers.astype(np.int64) % self.size
+        return (self.words[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)
+
+
 class Recent(dict):
     """A bounded memo: self[key] is find(key) unless known. Two generations, so that frequent keys stay."""
 

@@ -8,9 +8,10 @@ Texts are equal when they are identical after deleting every blank character
 2. The directory: distinct keys are counted by key prefix, and a bucket over its
    capacity is split on the next bit. When its depth passes the directory's, the
    directory doubles. A bucket is therefore a range of keys.
-3. Texts whose key occurs more than once go to the task that owns their bucket, equal
-   texts of a batch merged beforehand. The owner walks its keys in order, chains
-   different texts of one key, and compares bytes.
+3. Texts whose key may occur more than once, by a bitmap of fixed size over such keys, go
+   to the task that owns their bucket, equal texts of a batch merged beforehand. The owner
+   walks its keys in order, chains different texts of one key, and compares bytes. A
+   bitmap that fills up lets more texts through; it never holds back one that is needed.
 4. Rows get their group's verdict. Groups with a large share of all rows are broadcast.
 
 Defined results: a null text counts as empty, and empty or blank texts form one group.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANKS, join_groups, map_batches, written
+from millrace.llm.common import BLANKS, Bitmap, join_groups, map_batches, written
 
 _DROP = BLANKS.encode()
 
@@ -101,15 +102,18 @@ def build_directory(counts: DataFrame, capacity: int) -> np.ndarray:
     return directory
 
 
-def _texts(rows: DataFrame, bits: int, directory: np.ndarray) -> DataFrame:
-    """Owner, key and bytes of each text; the equal texts of a batch are one row."""
+def _texts(rows: DataFrame, bits: int, directory: np.ndarray, contested: Bitmap) -> DataFrame:
+    """Owner, key and bytes of each text that may have a copy; the equal texts of a batch are one row."""
     depth = int(np.log2(len(directory)))
 
     def make():
         def step(c: dict) -> dict:
             found: dict = {}
-            for i, t in zip(c["doc_id"], c["text"], strict=True):
-                norm, key = _keys(t, bits)
+            keyed = [_keys(t, bits) for t in c["text"]]
+            needed = contested.holds(np.array([k for _, k in keyed], dtype=np.int64))
+            for i, t, (norm, key), need in zip(c["doc_id"], c["text"], keyed, needed, strict=True):
+                if not need:
+                    continue
                 best = (-len(t or ""), i is None, i or 0)
                 known = found.get((key, norm))
                 found[key, norm] = (min(known[0], best), known[1] + 1) if known else (best, 1)
@@ -167,20 +171,18 @@ def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, key_bits: int = 64, bucket: int = 4096) -> DataFrame:
+def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, key_bits: int = 64, bucket: int = 4096, bitmap: int = Bitmap.MOST) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     bucket: distinct keys that a bucket of the index holds; more than 65,536 buckets
-    of that size raise it, which bounds the directory. key_bits under 64 make keys
-    collide, for tests.
+    of that size raise it, which bounds the directory. bitmap: the most bits of the
+    bitmap. key_bits under 64 make keys collide, for tests.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     index = written(_fingerprints(rows, key_bits), "keys")
     counts = written(index.groupBy("key").agg(F.count("*").alias("n")), "counts")
     directory = build_directory(counts, max(bucket, counts.count() // 65536))
-    contested = counts.where("n > 1").select("key")
-    owned = _texts(rows, key_bits, directory).join(contested, "key", "left_semi")
-    owned = owned.select("owner", "key", "norm", "n_chars", "doc_id", "size")
+    owned = _texts(rows, key_bits, directory, Bitmap(counts.where("n > 1").select("key"), "key", bitmap))
     groups = written(owned.repartition("owner").sortWithinPartitions("key").mapInArrow(_own, "key long, digest string, chain int, keep_id long, group_size long"), "groups")
     found = join_groups(index, groups, ["key", "digest"], "group_size")
     alone = F.col("group_size").isNull()
