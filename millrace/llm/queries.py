@@ -10,6 +10,7 @@ from millrace.llm.chat import format_chats, read_chats
 from millrace.llm.common import documents, written
 from millrace.llm.exact_dedup import exact_groups
 from millrace.llm.mixing import mix_sources
+from millrace.llm.near_dedup import Near, near_groups
 from millrace.llm.packing import pack_documents
 from millrace.llm.sharding import shard_documents
 from millrace.llm.tiff import media_digests, text_media
@@ -28,6 +29,10 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), _tokenizer("word_bpe_49k.json"), capacity=2048, end=0)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir), Near(words=2, percent=80))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, max_epochs=2.0, seed=17)
 
@@ -60,7 +65,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack_sequences, op4_mix_sources, op5_rendezvous_shards, op6_tiff_media, op8_count_tokens, op9_exact_dedup, op10_chat_format)}
+    return {f.__name__: f for f in (op1_pack_sequences, op2_near_dedup, op4_mix_sources, op5_rendezvous_shards, op6_tiff_media, op8_count_tokens, op9_exact_dedup, op10_chat_format)}
 
 
 OP9_SQL = r"""
@@ -77,5 +82,23 @@ WINDOW w AS (PARTITION BY norm ORDER BY length(text) DESC, doc_id)
 """
 
 
+#: All pairs of documents that share a shingle, in whole; only fit for small tables.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(words) < 2 THEN words ELSE words[i:i+1] END AS shingle
+  FROM w, unnest(range(1, greatest(2, len(words)))) AS u(i)
+  WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM s a JOIN s b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}
