@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.chat import format_chats, read_chats
 from millrace.llm.common import documents, written
 from millrace.llm.exact_dedup import exact_groups
+from millrace.llm.maxent import score_texts
 from millrace.llm.mixing import mix_sources
 from millrace.llm.near_dedup import Near, near_groups
 from millrace.llm.packing import pack_documents
+from millrace.llm.quality import classify
 from millrace.llm.sharding import shard_documents
 from millrace.llm.tiff import media_digests, text_media
 from millrace.llm.token_count import count_tokens
@@ -33,6 +35,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir), Near(words=2, percent=80))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, max_epochs=2.0, seed=17)
 
@@ -45,6 +51,10 @@ def op6_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(text_media(documents(spark, sf_dir)))
 
 
+def op7_score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 def op8_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), limit=1024)
 
@@ -65,7 +75,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pack_sequences, op2_near_dedup, op4_mix_sources, op5_rendezvous_shards, op6_tiff_media, op8_count_tokens, op9_exact_dedup, op10_chat_format)}
+    found = (
+        op1_pack_sequences, op2_near_dedup, op3_quality_classifier, op4_mix_sources, op5_rendezvous_shards,
+        op6_tiff_media, op7_score_texts, op8_count_tokens, op9_exact_dedup, op10_chat_format,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP9_SQL = r"""
