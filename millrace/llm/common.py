@@ -72,6 +72,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, ho
     return tagged.where(F.col("_hot")).drop("_hot").unionByName(rest)
 
 
+def without(docs: DataFrame, gone: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose key isn't in gone's one column. At most a million keys are broadcast; more are shuffled."""
+    gone = gone.toDF("_gone")
+    gone = F.broadcast(gone) if gone.count() <= most else gone
+    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+
+
 class Bitmap:
     """A set of whole numbers as bits of their remainders, of bounded size.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANKS, Bitmap, join_groups, map_batches, written
+from millrace.llm.common import BLANKS, Bitmap, join_groups, map_batches, without, written
 
 _DROP = BLANKS.encode()
 
@@ -202,9 +202,9 @@ def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **opti
     """
     verdicts = exact_groups(docs, text, key, **options).groupBy(F.col("doc_id").alias("_id"))
     verdicts = written(verdicts.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")), "verdicts")
-    same = F.col(key).eqNullSafe(F.col("_id"))
-    stay = docs.join(verdicts.where(~F.col("_kept")).select("_id"), same, "left_anti")
+    stay = without(docs, verdicts.where(~F.col("_kept")).select("_id"), key)
     repeated = verdicts.where("_rows > 1").select("_id")
     if repeated.isEmpty():
         return stay
-    return stay.join(repeated, same, "left_anti").unionByName(stay.join(repeated, same, "left_semi").dropDuplicates([key]))
+    again = stay.join(repeated, F.col(key).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([key])
+    return without(stay, repeated, key).unionByName(again)

@@ -18,12 +18,15 @@ in a cell follows their size. An empty table gives none. Other columns are not l
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import written
+from millrace.llm.common import BLANKS, written
 
 #: Hexadecimal digits of a hash that give the cell, and those that give the order in it.
 CELL_DIGITS, ORDER_DIGITS = 4, 12
@@ -71,32 +74,77 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
     return sources.select("source", "source_size", F.least(cap, F.col("weight") * F.lit(level)).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted). Reruns give the same."""
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    number = lambda at, n: F.conv(F.substring(draw, at, n), 16, 10).cast("long")
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    rows = written(rows.select("*", number(1, CELL_DIGITS).alias("cell"), number(1 + CELL_DIGITS, ORDER_DIGITS).alias("order")), "sizes")
-    cells = written(rows.groupBy("source", "cell").agg(F.sum("size").alias("words")), "cells")  # 65,536 a source at most
-    sizes = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
+def _plan(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
+    """A row for each source: its target, whole repetitions, boundary cell, and the words to take from that. sizes: source, cell, size."""
+    cells = written(sizes.groupBy("source", "cell").agg(F.sum("size").alias("words")), "cells")  # 65,536 a source at most
+    totals = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     total = cells.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    targets = water_fill(_weighted(sizes, weights), share * total, max_epochs)
-    # the words to take once more, after the whole repetitions
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    targets = targets.withColumn("whole", whole.cast("long"))
-    targets = written(targets.withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "targets")
-
+    targets = water_fill(_weighted(totals, weights), share * total, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = written(targets.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "targets")
     upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     spent = cells.withColumn("spent", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    edge = spent.join(targets.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
-    edge = edge.where((F.col("spent") < F.col("rest")) & (F.col("spent") + F.col("words") >= F.col("rest")))
-    plan = targets.alias("t").join(edge.select("source", F.col("cell").alias("edge"), "spent").alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
-    plan = plan.select(F.col("t.source").alias("s"), "source_size", "target", "whole", "rest", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("spent", F.lit(0)).alias("spent"))
-
-    found = rows.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    base = F.col("whole") * F.col("size")
-    away = found.where(F.col("cell") != F.col("edge")).withColumn("taken", base + F.when(F.col("cell") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
-    inside = Window.partitionBy("source").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("rest") - F.col("spent") - F.coalesce(F.sum("size").over(inside), F.lit(0))
-    near = found.where(F.col("cell") == F.col("edge")).withColumn("taken", base + F.greatest(F.lit(0), F.least(F.col("size"), left)))
-    return away.unionByName(near).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    edge = spent.alias("e").join(targets.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source")))
+    edge = edge.where("e.spent < t.rest and e.spent + e.words >= t.rest").select("e.source", F.col("e.cell").alias("edge"), (F.col("t.rest") - F.col("e.spent")).alias("left"))
+    plan = targets.alias("t").join(edge.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
+    return written(plan.select(F.col("t.source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.coalesce("edge", F.lit(-1)).alias("_edge"), F.coalesce("left", F.lit(0)).alias("_left")), "plan")
+
+
+#: Most sources whose plan is broadcast; the plan of more is joined by shuffles, where Spark splits large sources.
+BROADCAST_SOURCES = 100_000
+
+
+def _drawn(docs: DataFrame, seed: int, text: str, key: str, source: str) -> DataFrame:
+    """docs with a size, and a cell and an order in it that seed and key decide."""
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    number = lambda at, n: F.conv(F.substring(draw, at, n), 16, 10).cast("long")
+    return docs.withColumns({"_source": F.col(source), "_size": word_count(F.col(text)), "_cell": number(1, CELL_DIGITS), "_order": number(1 + CELL_DIGITS, ORDER_DIGITS)})
+
+
+def _taken(drawn: DataFrame, key: str, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
+    """drawn with the words taken of each row."""
+    plan = _plan(drawn.select(F.col("_source").alias("source"), F.col("_cell").alias("cell"), F.col("_size").alias("size")), weights, share, max_epochs)
+    plan = plan.withColumnRenamed("_source", "_s")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    found = drawn.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
+    base = F.col("_whole") * F.col("_size")
+    away = found.where("_cell != _edge").withColumn("_taken", base + F.when(F.col("_cell") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)))
+    inside = Window.partitionBy("_source").orderBy("_order", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("_left") - F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    near = found.where("_cell = _edge").withColumn("_taken", base + F.greatest(F.lit(0), F.least("_size", left)))
+    return away.unionByName(near)
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, taken (words, repeats counted). Reruns give the same."""
+    drawn = written(_drawn(docs.select(key, text, source), seed, text, key, source).drop(text), "sizes")
+    found = _taken(drawn, key, weights, share, max_epochs)
+    return found.select(F.col(key).alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").cast("long").alias("taken"))
+
+
+_WORD = re.compile(f"[^{BLANKS}]+")
+
+
+def first_words(text: str, n: int) -> str:
+    """The text up to the end of its nth word."""
+    end = 0
+    for m in islice(_WORD.finditer(text), n):
+        end = m.end()
+    return text[:end]
+
+
+def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each whole repetition of a document, and one cut to the words taken for a fraction."""
+    found = _taken(_drawn(docs, seed, text, key, source), key, weights, share, max_epochs)
+    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
+    repeated = found.where(whole > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), whole))).select(*docs.columns)
+    part = found.where((F.col("_size") > 0) & (F.col("_taken") % F.col("_size") > 0))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([first_words(t, k) for t, k in zip(texts, n, strict=True)], dtype=object)
+
+    part = part.withColumn(text, cut(F.col(text), F.col("_taken") % F.col("_size")))
+    if "n_chars" in docs.columns:
+        part = part.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return repeated.unionByName(part.select(*docs.columns))

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Bitmap, Recent, join_groups, map_batches, written
+from millrace.llm.common import Bitmap, Recent, join_groups, map_batches, without, written
 from millrace.llm.components import components
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -283,5 +283,5 @@ def near_groups(docs: DataFrame, how: Near = Near(), text: str = "text", key: st
 
 def drop_near_copies(docs: DataFrame, how: Near = Near(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, one document of each group, with all their columns."""
-    gone = near_groups(docs, how, text, key).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(written(gone, "gone"), F.col(key) == F.col("_gone"), "left_anti")
+    gone = near_groups(docs, how, text, key).where("not kept").select("doc_id").distinct()
+    return without(docs, written(gone, "gone"), key)

@@ -20,14 +20,16 @@ id are each scored, alike. An empty table gives an empty result. Other columns a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Recent, map_batches, written
+from millrace.llm.common import SLICE, Recent, map_batches
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 
@@ -157,68 +159,90 @@ def fit_scorer(features: list[dict[int, float]], target: np.ndarray, epochs: int
     return weights, bias
 
 
-def classify(docs: DataFrame, sample: int = 6000, least: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, votes, posterior, score, kept."""
+class Scorer:
+    """Scores texts with fitted weights. A word's share of the score is remembered."""
+
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias = weights, bias
+        self.worth = Recent(lambda w: float(weights[word_features(w)].sum()), 200_000)
+
+    def __call__(self, text: str | None) -> float:
+        words = (text or "").encode().split()
+        if not words:
+            return 0.0
+        again, same = _extra(words)
+        z = self.bias + sum(map(self.worth.__getitem__, words)) / len(words) + again * self.weights[_AGAIN] + same * self.weights[_SAME]
+        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+
+def code_of(text: str | None) -> int:
+    return sum(v * 3**k for k, v in enumerate(votes(text)))
+
+
+def fit(docs: DataFrame, sample: int = 6000, text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, np.ndarray, float]:
+    """Posteriors by code of votes, weights and bias."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = len(LABELLERS)
 
     def cast():
-        def step(c: dict) -> dict:
-            found = [votes(t) for t in c["text"]]
-            return {"doc_id": c["doc_id"], "votes": [sum(v * 3**k for k, v in enumerate(x)) for x in found]}
+        return lambda c: {"votes": [code_of(t) for t in c["text"]]}
 
-        return step
-
-    voted = written(map_batches(rows, cast, "doc_id long, votes int"), "votes")
-    counted = voted.groupBy("votes").count().orderBy("votes").toPandas()  # 3 ** labellers rows at most
+    counted = map_batches(rows.select("text"), cast, "votes int").groupBy("votes").count().orderBy("votes").toPandas()  # 3 ** labellers rows at most
     codes = counted["votes"].to_numpy(dtype=np.int64)
-    patterns = codes[:, None] // 3 ** np.arange(n) % 3
     total = int(counted["count"].sum())
-    posterior, _ = fit_labels(patterns, counted["count"].to_numpy()) if total else (np.zeros(0), {})
     by_code = np.zeros(3**n)
-    by_code[codes] = posterior
+    if not total:
+        return by_code, np.zeros(WIDTH), 0.0
+    by_code[codes] = fit_labels(codes[:, None] // 3 ** np.arange(n) % 3, counted["count"].to_numpy())[0]
 
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     some = rows.where(F.col("doc_id").isNotNull())
     if total > sample:  # a margin, and the exact bound behind it
-        some = some.where(order < F.lit(int((1 << 30) * 1.1 * sample / total)))
+        some = some.where(order < F.lit(int((1 << 30) * min(1.0, 1.1 * sample / total))))
 
     def learn():
         memo = Recent(word_features, 50_000)
 
         def step(c: dict) -> dict:
             found = [document_features(t, memo) for t in c["text"]]
-            codes = [sum(v * 3**k for k, v in enumerate(votes(t))) for t in c["text"]]
-            return {"doc_id": c["doc_id"], "votes": codes, "f": [list(x) for x in found], "x": [list(x.values()) for x in found]}
+            return {"doc_id": c["doc_id"], "votes": [code_of(t) for t in c["text"]], "f": [list(x) for x in found], "x": [list(x.values()) for x in found]}
 
         return step
 
     taken = map_batches(some, learn, "doc_id long, votes int, f array<int>, x array<float>")
     taken = taken.orderBy(order, "doc_id").limit(sample).toPandas()
-    weights, bias = fit_scorer([dict(zip(f, x, strict=True)) for f, x in zip(taken["f"], taken["x"], strict=True)], by_code[taken["votes"].to_numpy(dtype=np.int64)])
+    features = [dict(zip(f, x, strict=True)) for f, x in zip(taken["f"], taken["x"], strict=True)]
+    return by_code, *fit_scorer(features, by_code[taken["votes"].to_numpy(dtype=np.int64)])
 
-    def score():
-        worth = Recent(lambda w: float(weights[word_features(w)].sum()), 200_000)
 
-        def one(text: str | None) -> float:
-            words = (text or "").encode().split()
-            if not words:
-                return 0.0
-            again, same = _extra(words)
-            z = bias + sum(map(worth.__getitem__, words)) / len(words) + again * weights[_AGAIN] + same * weights[_SAME]
-            return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+def classify(docs: DataFrame, sample: int = 6000, least: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, votes (a digit of base 3 for each labeller), posterior, score, kept."""
+    by_code, weights, bias = fit(docs, sample, text, key)
+
+    def make():
+        scorer = Scorer(weights, bias)
 
         def step(c: dict) -> dict:
-            found = [one(t) for t in c["text"]]
-            codes = [sum(v * 3**k for k, v in enumerate(votes(t))) for t in c["text"]]
-            return {"doc_id": c["doc_id"], "votes": codes, "posterior": by_code[codes], "score": found, "kept": [s >= least for s in found]}
+            scores = [scorer(t) for t in c["text"]]
+            codes = [code_of(t) for t in c["text"]]
+            return {"doc_id": c["doc_id"], "votes": codes, "posterior": by_code[codes], "score": scores, "kept": [s >= least for s in scores]}
 
         return step
 
-    return map_batches(rows, score, "doc_id long, votes int, posterior double, score double, kept boolean")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return map_batches(rows, make, "doc_id long, votes int, posterior double, score double, kept boolean")
+
+
+def keep_good(docs: DataFrame, sample: int = 6000, least: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs that the classifier keeps, with all their columns; no join is needed."""
+    _, weights, bias = fit(docs, sample, text, key)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(weights, bias)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield part.filter(pa.array([scorer(t) >= least for t in part.column(place).to_pylist()], type=pa.bool_()))
 
-def keep_good(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the classifier keeps, with all their columns."""
-    gone = classify(docs, text=text, key=key, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(written(gone, "gone"), F.col(key) == F.col("_gone"), "left_anti")
+    place = docs.columns.index(text)
+    return docs.mapInArrow(run, docs.schema)
