@@ -1,0 +1,63 @@
+import hashlib
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+
+from millrace.llm import exact_dedup
+from millrace.llm.exact_dedup import build_directory, drop_copies, exact_groups
+
+
+def brute(rows):
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((i, t or ""))
+    out = []
+    for norm, members in groups.items():
+        keep = min(members, key=lambda m: (-len(m[1]), m[0] is None, m[0] or 0))[0]
+        out += [(i, keep, len(members), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for i, _ in members]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bits,bucket", [(64, 4096), (64, 2), (2, 1)])
+def test_against_brute_force(docs, bits, bucket):
+    """Few bits make all keys collide, so that only the comparison of bytes tells texts apart."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    found = exact_groups(docs, key_bits=bits, bucket=bucket, bitmap=64 if bits < 64 else 2**20).collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute(rows)
+
+
+def test_empty_table(none):
+    assert exact_groups(none).count() == 0
+    assert drop_copies(none).columns == none.columns
+
+
+def test_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((tuple(r) for r in exact_groups(docs).collect()), key=str) == brute(rows)
+
+
+def test_drop_copies_keeps_columns_and_one_row_each(docs):
+    stay = drop_copies(docs)
+    assert stay.columns == docs.columns
+    ids = sorted((r["doc_id"] for r in stay.collect()), key=str)
+    want = sorted({r[0] for r in brute([(r["doc_id"], r["text"]) for r in docs.collect()]) if r[3]}, key=str)
+    assert ids == want
+
+
+def test_directory_splits_overfull_buckets(spark):
+    """Every bucket is a range of keys, holds at most its capacity, and was split only when its parent was overfull."""
+    rng = np.random.default_rng(3)
+    keys = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 500), rng.integers(0, 2**40, 300)])
+    counts = spark.createDataFrame([(int(k),) for k in keys], "key long")
+    directory = build_directory(counts, 50)
+    depth = int(np.log2(len(directory)))
+    at = ((keys.astype(object) + 2**63) // 2 ** (64 - depth)).astype(np.int64)
+    sizes = np.bincount(directory[at], minlength=directory.max() + 1)
+    # all but the cells at the greatest depth, which can't be split
+    assert (sizes <= 50).sum() >= len(sizes) - 1
+    change = np.flatnonzero(np.diff(directory)) + 1
+    assert len(change) + 1 == len(set(directory.tolist()))
+    assert depth <= exact_dedup.MAX_DEPTH
