@@ -71,7 +71,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     how = (_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     formatted = written(format_chats(turns.unionByName(extra), *how), "chats")
-    return read_chats(formatted, *how)
+    return read_chats(formatted, *how).drop("n_ids", "loss_ids")
 
 
 def queries() -> dict[str, Query]:
@@ -114,5 +114,40 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS c FROM rea
 """
 
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS draw
+  FROM documents),
+s AS (SELECT source, sum(size) AS n, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w FROM d GROUP BY source),
+c AS (
+  SELECT *, 2.0 * n AS cap, coalesce(sum(2.0 * n) OVER o, 0) AS held, coalesce(sum(w) OVER o, 0) AS used, sum(w) OVER () AS all_w, 1.5 * sum(n) OVER () AS budget
+  FROM s WINDOW o AS (ORDER BY 2.0 * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT max((budget - held) / (all_w - used)) FILTER (WHERE (budget - held) / (all_w - used) <= cap / w) AS level, max(cap / w) AS top FROM c),
+t AS (SELECT source, n, CAST(least(cap, w * coalesce(level, top)) AS DOUBLE) AS target FROM c, l),
+r AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t),
+x AS (
+  SELECT d.doc_id, d.size, r.n, r.target, r.whole, round(r.target - r.whole * r.n) AS rest,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(draw, 1, 16), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(n AS BIGINT) AS source_size, target, CAST(whole * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM x
+"""
+
+OP10_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(regexp_replace(text, '(\\|### System:|### User:|### Assistant:|### Role|</turn>)', '\\\1', 'g')) AS body,
+         CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15
+              ELSE 11 + length(regexp_replace(role, '(\\|### System:|### User:|### Assistant:|### Role|</turn>)', '\\\1', 'g')) END AS head
+  FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, md5(text)) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(head + body + 8) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op4_mix_sources": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
