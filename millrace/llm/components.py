@@ -62,7 +62,7 @@ def components(links: DataFrame) -> DataFrame:
     node points at a root: the depth halves each time.
     """
     ordered = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
-    now = written(ordered.repartition("v").mapInArrow(_union_find, "u long, v long").distinct(), "links")
+    now = written(ordered.mapInArrow(_union_find, "u long, v long").distinct(), "links")
     while True:
         several = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
         chained = now.select(F.col("v").alias("u")).distinct().join(now.select("u"), "u", "left_semi")

@@ -12,14 +12,15 @@ shingle. Two documents are linked if the Jaccard similarity of their sets is hig
 3. Verification. Each member of a bucket is compared with the bucket's hub, the member that
    shares most, on full sets. That is one pair for each member, never all pairs. Links are grouped
    by union-find.
-4. The rest. In a bucket whose members are in several components, members outside
-   its largest one are compared, in blocks, with all others of different components by their
-   sketches of a byte for each slot. Pairs that could be linked are verified on full
-   sets: the most similar ones first, then more, until none is left. Members of one component
-   need no further pair, so no link between components is lost.
+4. The rest. In a bucket whose members are in several components, members outside its largest one
+   are compared, in blocks, with all others of different components. A block holds its members'
+   whole sets, as 32-bit hashes, and counts all common shingles in one product of
+   matrices; only the two most similar members of each other component are passed on, if they are similar
+   enough, and verified on full sets. Members of one component need no further pair, so
+   no link between components is lost, and a group's pairs never become rows.
 
 A linked pair shares no bucket with probability (1 - s ** rows) ** bands, at s = 0.8 and the defaults
-6e-5. The cutoff for sketches is five standard deviations under the similarity asked for.
+6e-5.
 
 Defined results: null, empty and blank texts have an empty set and are linked with
 nothing. Equal sets are linked. Rows without an id are linked with nothing, and stay. Rows
@@ -109,14 +110,9 @@ class Near:
     def slots(self) -> int:
         return self.bands * self.rows
 
-    @property
-    def cutoff(self) -> float:
-        s = self.percent / 100
-        return s - 5 * (s * (1 - s) / self.slots) ** 0.5
-
 
 def signatures(rows: DataFrame, how: Near) -> DataFrame:
-    """doc_id, n_shingles, set_key (null if empty), buckets, sketch. rows: doc_id, text."""
+    """doc_id, n_shingles, set_key (null if empty), buckets. rows: doc_id, text."""
 
     def make():
         shingles = Shingles(how.words)
@@ -124,26 +120,25 @@ def signatures(rows: DataFrame, how: Near) -> DataFrame:
         factors = _mix(np.arange(1, how.rows + 1, dtype=np.uint64) * _ODD[3]) | np.uint64(1)
 
         def step(c: dict) -> dict:
-            n, keys, buckets, sketches = [], [], [], []
+            n, keys, buckets = [], [], []
             for text in c["text"]:
                 found = shingles.of(text)
                 n.append(len(found))
                 if not len(found):
-                    keys.append(None), buckets.append(None), sketches.append(None)
+                    keys.append(None), buckets.append(None)
                     continue
                 s = _mix(super_minhash(found, how.slots))
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 buckets.append(_mix((s.reshape(how.bands, how.rows) * factors).sum(axis=1, dtype=np.uint64) ^ band).view(np.int64))
-                sketches.append((s & np.uint64(255)).astype(np.uint8).tobytes())
-            return {"doc_id": c["doc_id"], "n_shingles": n, "set_key": keys, "buckets": buckets, "sketch": sketches}
+            return {"doc_id": c["doc_id"], "n_shingles": n, "set_key": keys, "buckets": buckets}
 
         return step
 
-    return map_batches(rows, make, "doc_id long, n_shingles long, set_key binary, buckets array<long>, sketch binary")
+    return map_batches(rows, make, "doc_id long, n_shingles long, set_key binary, buckets array<long>")
 
 
-def _sets(rows: DataFrame, ids: Bitmap, how: Near) -> DataFrame:
-    """id and set of the documents that may be among ids."""
+def _sets(rows: DataFrame, ids: Bitmap, how: Near, small: bool = False) -> DataFrame:
+    """id and set of the documents that may be among ids; small: as 32-bit hashes, packed."""
 
     def make():
         shingles = Shingles(how.words)
@@ -152,11 +147,14 @@ def _sets(rows: DataFrame, ids: Bitmap, how: Near) -> DataFrame:
             known = [k for k, i in enumerate(c["doc_id"]) if i is not None]
             held = ids.holds(np.array([c["doc_id"][k] for k in known], dtype=np.int64))
             mine = [k for k, h in zip(known, held, strict=True) if h]
-            return {"id": [c["doc_id"][k] for k in mine], "elements": [shingles.of(c["text"][k]).view(np.int64) for k in mine]}
+            sets = [shingles.of(c["text"][k]) for k in mine]
+            if small:
+                return {"id": [c["doc_id"][k] for k in mine], "small": [s.astype(np.uint32).tobytes() for s in sets]}
+            return {"id": [c["doc_id"][k] for k in mine], "elements": [s.view(np.int64) for s in sets]}
 
         return step
 
-    return map_batches(rows, make, "id long, elements array<long>")
+    return map_batches(rows, make, "id long, small binary" if small else "id long, elements array<long>")
 
 
 def verified(pairs: DataFrame, rows: DataFrame, how: Near) -> DataFrame:
@@ -177,46 +175,63 @@ def verified(pairs: DataFrame, rows: DataFrame, how: Near) -> DataFrame:
 
 
 #: Rows of a bucket that a block holds: of those outside its largest component, and of all.
-QUERY_BLOCK, BLOCK = 128, 512
-
+QUERY_BLOCK, BLOCK = 256, 512
+
+
+def _common(sets: list[np.ndarray], query: np.ndarray) -> np.ndarray:
+    """Numbers of common elements of each query's set with each other one's."""
+    values = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, rows = values[order], rows[order]
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    times = np.diff(np.append(first, len(values)))
+    column = np.repeat(np.cumsum(times > 1) - 1, times)  # only elements of several sets have one
+    kept = np.repeat(times > 1, times)
+    column, rows = column[kept], rows[kept]
+    out = np.zeros((int(query.sum()), int((~query).sum())), dtype=np.float32)
+    width = 4096
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        some = slice(*np.searchsorted(column, [at, at + width]))
+        held = np.zeros((len(sets), width), dtype=np.float32)
+        held[rows[some], column[some] - at] = 1
+        out += held[query] @ held[~query].T
+    return out
 
-def _block_pairs(how: Near, most: int):
-    """For rows sorted by (bucket, i, j): pairs of different components whose sketches agree enough.
 
-    Of each row and component in a block, only the `most` best ones; `more` tells that there were others.
-    """
+def _block_links(how: Near):
+    """For rows sorted by (bucket, i, j): likely links between different components, two at most of each query and component."""
 
-    def pairs(ids, comps, query, sketch) -> list[tuple]:
-        out = []
+    def links(ids: np.ndarray, comps: np.ndarray, query: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        if query.all() or not query.any():
+            return []
+        sizes = np.array([len(s) for s in sets], dtype=np.float32)
         q, t = np.flatnonzero(query), np.flatnonzero(~query)
-        for k in q:
-            share = (sketch[t] == sketch[k]).mean(axis=1)
-            fit = np.flatnonzero((share >= how.cutoff) & (comps[t] != comps[k]))
-            fit = fit[np.argsort(-share[fit], kind="stable")]
+        common = _common(sets, query)
+        union = sizes[q][:, None] + sizes[t] - common
+        # hashes of 32 bits may hide an element of a set
+        fit = (100 * (common + 2) >= how.percent * (union - 2)) & (comps[q][:, None] != comps[t])
+        out = []
+        for k in np.flatnonzero(fit.any(axis=1)):
+            near = np.flatnonzero(fit[k])
+            near = near[np.argsort(-common[k][near] / union[k][near], kind="stable")]
             used: dict[int, int] = {}
-            for x in t[fit]:
+            for x in t[near]:
                 used[comps[x]] = n = used.get(comps[x], 0) + 1
-                if n <= most:
-                    out.append((max(ids[x], ids[k]), min(ids[x], ids[k]), False))
-                elif n == most + 1:
-                    out.append((None, None, True))
+                if n <= 2:
+                    out.append((max(ids[x], ids[q[k]]), min(ids[x], ids[q[k]])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("bucket", "i", "j", "id", "c", "query", "sketch")
         held: list[tuple] = []
 
         def close() -> pa.RecordBatch:
-            found = pairs(
-                np.array([r[3] for r in held]), np.array([r[4] for r in held]), np.array([r[5] for r in held]),
-                np.frombuffer(b"".join(r[6] for r in held), dtype=np.uint8).reshape(len(held), -1),
-            )
+            found = links(np.array([r[3] for r in held]), np.array([r[4] for r in held]), np.array([r[5] for r in held]), [np.frombuffer(r[6], dtype=np.uint32) for r in held])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) if p[k] is not None else None for p in found], type=pa.int64()) for k in (0, 1)] + [pa.array([p[2] for p in found], type=pa.bool_())], names=["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
-            for row in zip(*columns, strict=True):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and held[0][:3] != row[:3]:
                     yield close()
                 held.append(row)
@@ -226,44 +241,43 @@ def _block_pairs(how: Near, most: int):
     return run
 
 
-def _mixed(shared: DataFrame, comps: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components, dealt into blocks: those outside the largest, and all."""
+def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components: bucket, id, c, top (is c the largest?), and numbers of blocks."""
     labelled = shared.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
     labelled = written(labelled, "labelled")
     sizes = labelled.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top")).where("parts > 1")
-    buckets = buckets.select("bucket", "n", F.col("top.c").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / QUERY_BLOCK).cast("int").alias("ni"), F.ceil(F.col("n") / BLOCK).cast("int").alias("nj"))
-    members = join_groups(labelled, buckets, ["bucket"], "n", "inner").join(sketches, "id")
+    ni, nj = F.ceil((F.col("n") - F.col("top.n")) / QUERY_BLOCK), F.ceil(F.col("n") / BLOCK)
+    buckets = buckets.select("bucket", "n", F.col("top.c").alias("top"), ni.cast("int").alias("ni"), nj.cast("int").alias("nj"))
+    return written(join_groups(labelled, buckets, ["bucket"], "n", "inner").withColumn("top", F.col("c") == F.col("top")), "mixed")
+
+
+def _blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows dealt into blocks: each block of those outside the largest component meets each block of all."""
+    members = mixed.join(sets, "id")
     draw = F.xxhash64("id", F.lit("block"))
-    common = ("bucket", "id", "c", "sketch")
-    every = members.select(*common, F.lit(False).alias("query"), F.pmod(draw, F.col("nj")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
-    outside = members.where("c != top").select(*common, F.lit(True).alias("query"), F.pmod(draw, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
-    names = ("bucket", "i", "j", "id", "c", "query", "sketch")
+    every = members.select("*", F.lit(False).alias("query"), F.pmod(draw, F.col("nj")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
+    outside = members.where("not top").select("*", F.lit(True).alias("query"), F.pmod(draw, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
+    names = ("bucket", "i", "j", "id", "c", "query", "small")
     return every.select(*names).unionByName(outside.select(*names)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
 def links_of(rows: DataFrame, classes: DataFrame, how: Near) -> DataFrame:
-    """Links that join all classes which similarity joins. classes: doc_id, buckets, sketch, one for each set."""
+    """Links that join all classes which similarity joins. classes: doc_id, buckets, one for each set."""
     members = classes.select(F.col("doc_id").alias("id"), F.explode("buckets").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(join_groups(members, buckets, ["bucket"], "n", "inner"), "shared")
     mass = shared.groupBy("id").agg(F.sum("n").alias("mass"))
-    best = shared.join(mass, "id").groupBy("bucket").agg(F.max(F.struct("mass", F.expr("-id").alias("less"), "id")).alias("top"), F.count("*").alias("n"))
+    best = shared.join(mass, "id").groupBy("bucket").agg(F.max(F.struct("mass", F.expr("~id").alias("less"), "id")).alias("top"), F.count("*").alias("n"))
     hubs = join_groups(shared.select("bucket", "id"), best.select("bucket", "n", F.col("top.id").alias("hub")), ["bucket"], "n", "inner")
     tried = written(hubs.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "tried")
     links = written(verified(tried, rows, how), "found")
-    sketches = classes.select(F.col("doc_id").alias("id"), "sketch")
-    for most in (4, 64, 2**31):
-        comps = written(components(links), "components")
-        found = written(_mixed(shared, comps, sketches).mapInArrow(_block_pairs(how, most), "a long, b long, more boolean").distinct(), "blocks")
-        known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        new = written(found.where("not more").select("a", "b").join(known, ["a", "b"], "left_anti"), "new")
-        if not new.isEmpty():
-            links = written(links.unionByName(verified(new, rows, how)), "found")
-            tried = written(tried.unionByName(new), "tried")
-        if found.where("more").isEmpty():
-            break
-    return links
+    mixed = _mixed(shared, written(components(links), "components"))
+    if mixed.isEmpty():
+        return links
+    small = written(_sets(rows, Bitmap(mixed.select("id").distinct(), "id"), how, small=True), "small")
+    more = written(_blocks(mixed, small).mapInArrow(_block_links(how), "a long, b long").distinct(), "more")
+    return links if more.isEmpty() else written(links.unionByName(verified(more, rows, how)), "found")
 
 
 def near_groups(docs: DataFrame, how: Near = Near(), text: str = "text", key: str = "doc_id") -> DataFrame:
