@@ -55,7 +55,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Shingles:
-    def __init__(self, words: int, memo: int = 300_000):
+    def __init__(self, words: int, memo: int = 100_000):
         self.words = words
         self.hashes = Recent(xxhash.xxh3_64_intdigest, memo)
         self.factors = _mix(np.arange(1, words + 1, dtype=np.uint64) * _ODD[0]) | np.uint64(1)
