@@ -44,26 +44,22 @@ Placement = tuple[int, int, int, int, int, int]
 
 def _best_configuration(sizes: Sequence[int], prices: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     """The unbounded knapsack: numbers of each size that fit and are worth most."""
-    size = np.asarray(sizes)
     value = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    least = int(size.min())
-    for room in range(least, capacity + 1):
-        fits = size <= room
-        worth = np.where(fits, prices + value[np.where(fits, room - size, 0)], 0.0)
-        k = int(worth.argmax())
-        if worth[k] > value[room - 1]:
-            value[room], pick[room] = worth[k], k
-        else:
-            value[room] = value[room - 1]
-    counts = np.zeros(len(size))
+    stages = [value]
+    for size, price in zip(sizes, prices, strict=True):
+        value = value.copy()
+        many = 1
+        while price > 0 and many * size <= capacity:  # 1, 2, 4 ... more of this size
+            room = many * size
+            value[room:] = np.maximum(value[room:], value[: capacity + 1 - room] + many * price)
+            many *= 2
+        stages.append(value)
+    counts = np.zeros(len(sizes))
     room = capacity
-    while room >= least:
-        if pick[room] < 0:
-            room -= 1
-        else:
-            counts[pick[room]] += 1
-            room -= int(size[pick[room]])
+    for k in range(len(sizes) - 1, -1, -1):
+        while stages[k + 1][room] > stages[k][room] + 1e-12:
+            counts[k] += 1
+            room -= sizes[k]
     return float(counts @ prices), counts
 
 
@@ -128,7 +124,7 @@ def _grouped(counts: dict[int, int], least: int, groups: int) -> tuple[list[int]
     return sizes, queues
 
 
-def plan(counts: dict[int, int], capacity: int, groups: int = 32, small: float = 1 / 6) -> tuple[int, list[Placement]]:
+def plan(counts: dict[int, int], capacity: int, groups: int = 96, small: float = 1 / 3) -> tuple[int, list[Placement]]:
     """Number of sequences and the placements of all pieces. counts: pieces of each length."""
     least = max(1, int(capacity * small) + 1)
     sizes, queues = _grouped(counts, least, groups)
@@ -186,7 +182,7 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 32, small: float =
     return n, placed
 
 
-def best_plan(counts: dict[int, int], capacity: int, tries: Sequence[tuple[int, float]] = ((24, 1 / 3), (32, 1 / 6), (48, 1 / 8))) -> tuple[int, list[Placement]]:
+def best_plan(counts: dict[int, int], capacity: int, tries: Sequence[tuple[int, float]] = ((64, 1 / 2), (96, 2 / 5), (96, 1 / 3), (48, 1 / 4))) -> tuple[int, list[Placement]]:
     """The plan with fewest sequences over several numbers of groups and limits for small ones."""
     least = -(-sum(x * c for x, c in counts.items()) // capacity)
     best = None

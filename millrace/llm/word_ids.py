@@ -1,7 +1,8 @@
 """Ids of texts under a word-level BPE tokenizer that drops white space, as its library gives them.
 
 White space separates words whose ids don't depend on each other, so ids are kept by word
-and most words are looked up. Unknown ones are encoded by the library, many in one
+and most words are looked up. Unknown ones are encoded by the library: a run of Latin letters,
+which its normaliser and splitting leave whole, by its merges alone, others many in one
 call with its end token between them.
 """
 
@@ -19,17 +20,26 @@ def _split(word: bytes) -> tuple[bytes, bytes]:
     """A word's core and the punctuation behind it, where the two don't depend on each other."""
     core = word.rstrip(_TAIL)
     if core and core != word:
-        last = core[-4:].decode("utf-8", "ignore")[-1:]
+        last = core[-4:].decode("utf-8", "ignore")[-1:].lower()[-1:]  # lower case may add a mark
         if last.isalpha() or "0" <= last <= "9":
             return core.lower() if core.isascii() else core, word[len(core) :]
     return word.lower() if word.isascii() else word, b""
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
+    prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordIds:
-    def __init__(self, tokenizer: str, memo: int = 250_000):
+    def __init__(self, tokenizer: str, memo: int = 500_000):
         from tokenizers import Tokenizer
 
+        self.letters = _byte_letters()
         self.library = Tokenizer.from_file(tokenizer)
+        self.merges = self.library.model.tokenize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.between = self.special[-1]
         self.between_id = self.library.token_to_id(self.between)
@@ -43,8 +53,27 @@ class WordIds:
         core, tail = _split(word)
         return self.parts[core] + self.parts[tail] if tail else self.parts[core]
 
-    def _learn(self, parts: list[bytes]) -> None:
-        """Encode parts in a few calls. None of them holds a special token's string."""
+    def _letters(self, part: bytes) -> bytes | None:
+        """Ids of a run of letters under U+0250, none of which combines with another; None for other parts."""
+        text = part.decode()
+        if not text.isalpha() or max(text) >= "\u0250":
+            return None
+        low = text.lower()
+        if not low.isascii():
+            if max(low) >= "\u0250" or len(low) != len(text):
+                return None
+            low = "".join(map(self.letters.__getitem__, low.encode()))
+        return np.array([t.id for t in self.merges(low)], dtype="<u4").tobytes()
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode parts. None of them holds a special token's string."""
+        parts = []
+        for part in new:
+            ids = self._letters(part)
+            if ids is None:
+                parts.append(part)
+            else:
+                self.parts.put(part, ids)
         for at in range(0, len(parts), 1000):
             some = parts[at : at + 1000]
             joined = self.between.join([p.decode() for p in some])
