@@ -9,8 +9,8 @@ Counts of all other tokens are joined to the documents that have them.
 
 Model: an outcome is a leaf of a tree of DEPTH levels with FAN branches, so the softmax is factored
 into DEPTH small ones: class, class in the class, token. At each node the scores of its branches
-are sums of weights of features: none, the last token, the two tokens before it
-(skipping), and the last two tokens together. Rows of weights are found by hashing feature and
+are sums of weights of features: the last token, the last two tokens together, and the one
+before the last by itself (a skip). Rows of weights are found by hashing feature and
 node. All tokens outside the frequent ones share KINDS leaves by their look; within its kind, a
 token has the probability (c + 1) / (C + V + 1), C and V being the kind's tokens and distinct
 tokens, so one unseen token of each kind has a share, and everything sums to 1.
@@ -29,6 +29,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,26 +43,32 @@ FAN, DEPTH, KINDS = 16, 3, 16
 LEAVES = FAN**DEPTH
 #: Tokens whose counts tasks hold, at most.
 KNOWN = 1 << 17
-#: Rows of weights, FAN each.
+#: Rows of weights, FAN each; a row's number has 16 bits.
 ROWS = 1 << 16
 #: Tokens of a gradient step.
-STEP = 4096
+STEP = 8192
 #: Rows of weights that travel together.
 CHUNK = 2048
 #: The end of a text; no token is empty.
 END = b""
 #: The outcome before a text's first token.
 START = LEAVES
-FEATURES = 5
+FEATURES = 3
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _MARKS = tuple(frozenset(x) for x in ("äöüß", "éèêçàùâîôû", "ñóíáú¿¡"))
+_ONES = np.ones(FAN, dtype=np.float32)
 
 
 def held_out(doc_id: int | None, folds: int = 7, fold: int = 2) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % folds == fold
 
 
+def _part(word: str, parts: int) -> F.Column:
+    """Remainder of the checksum of a word and the id, as held_out has it."""
+    return F.crc32(F.concat(F.lit(word), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) % parts
+
+
 def kind(token: bytes) -> int:
     """How a token looks: its letters' marks, and what it ends with."""
     last = token[-1:]
@@ -83,24 +90,24 @@ def contexts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The features' values for each token: FEATURES rows. starts: where texts begin."""
     out = np.zeros((FEATURES, len(ids)), dtype=np.uint64)
     back = []
-    for k in (1, 2, 3):
+    for k in (1, 2):
         prior = np.full(len(ids), START, dtype=np.uint64)
         prior[k:] = ids[:-k] if len(ids) > k else ids[:0]
         for d in range(k):  # the first k tokens of a text have none so far back
             at = starts + d
             prior[at[at < len(ids)]] = START
         back.append(prior)
-    out[1:4] = back
-    out[4] = back[0] * np.uint64(LEAVES + 1) + back[1]
+    out[:2] = back
+    out[2] = back[0] * np.uint64(LEAVES + 1) + back[1]
     return out
 
 
 def rows_of(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Rows of weights of each feature at each token's node."""
+    """Rows of weights of each feature at each token's node; 16 bits, which sort fast."""
     x = (context + np.arange(1, FEATURES + 1, dtype=np.uint64)[:, None] * _C) * _A + node * _B
     x ^= x >> np.uint64(29)
     x *= _C
-    return (x >> np.uint64(48)).astype(np.int64) % ROWS
+    return (x >> np.uint64(48)).astype(np.uint16)
 
 
 def levels(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -113,12 +120,12 @@ def levels(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]]
+    z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
-        z = z + weights[r]
-    z -= z.max(axis=1, keepdims=True)
+        z += weights.take(r, axis=0)
+    np.clip(z, -30, 30, out=z)  # no overflow, and cheaper than to take each row's largest
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ _ONES)[:, None]  # a product sums short rows faster
     return z
 
 
@@ -139,6 +146,7 @@ class Trainer:
 
     def step(self, ids: np.ndarray, context: np.ndarray) -> None:
         each = np.arange(len(ids))
+        token = np.tile(each, FEATURES)
         for node, branch in levels(ids):
             rows = rows_of(context, node)
             error = _chances(self.weights, rows)
@@ -148,10 +156,12 @@ class Trainer:
             order = np.argsort(flat, kind="stable")
             found = flat[order]
             first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-            gradient = np.add.reduceat(error[order % len(ids)], first, axis=0)
+            gradient = np.add.reduceat(error.take(token.take(order), axis=0), first, axis=0)
             used = found[first]
-            self.squares[used] += (gradient * gradient).mean(axis=1)
-            self.weights[used] -= self.rate * gradient / np.sqrt(self.squares[used])[:, None]
+            squares = self.squares.take(used) + (gradient * gradient) @ _ONES / FAN
+            self.squares[used] = squares
+            gradient *= (self.rate / np.sqrt(squares))[:, None]
+            self.weights[used] = self.weights.take(used, axis=0) - gradient
             self.updates[used] += 1
 
 
@@ -164,7 +174,7 @@ class Coder:
 
     def batch(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = [len(t) for t in texts]
-        ids = np.fromiter((self.memo[w] for t in texts for w in t), dtype=np.uint64, count=sum(sizes))
+        ids = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=sum(sizes))
         return ids, np.cumsum([0, *sizes[:-1]])
 
 
@@ -182,15 +192,14 @@ def _counts(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if not held_out(i):
-                        found.update(tokens(t))
+                for t in part.column(0).to_pylist():
+                    found.update(tokens(t))
                 if len(found) > 400_000:
                     yield flush()
         if found:
             yield flush()
 
-    return rows.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return rows.where(_part("", 7) != 2).select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _kind_column() -> F.Column:
@@ -211,10 +220,7 @@ def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, number:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                texts = [tokens(t) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if not held_out(i) and zlib.crc32(f"round {i}".encode()) % rounds == number]
-                if not texts:
-                    continue
-                ids, starts = coder.batch(texts)
+                ids, starts = coder.batch([tokens(t) for t in part.column(0).to_pylist()])
                 context = contexts(ids, starts)
                 for k in range(0, len(ids), STEP):
                     trainer.step(ids[k : k + STEP], context[:, k : k + STEP])
@@ -239,7 +245,8 @@ def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, number:
     # few long tasks learn more between averages, but a lost one costs more: 16 splits at most
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // 16)
     schema = "chunk int, moved binary, times binary"
-    learnt = rows.coalesce(tasks).mapInArrow(learn, schema)
+    mine = rows.where((_part("", 7) != 2) & (_part("round ", rounds) == number)).select("text")
+    learnt = mine.coalesce(tasks).mapInArrow(learn, schema)
     found = learnt.repartition("chunk").mapInArrow(average, schema).collect()  # ROWS rows of weights
     new = weights.copy()
     for r in found:
@@ -249,7 +256,7 @@ def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, number:
     return new
 
 
-def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.2, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     words = written(_counts(rows), "words")
@@ -289,11 +296,14 @@ def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.3, text: str =
             each = np.concatenate([log_chances(weights, ids[k : k + STEP], context[:, k : k + STEP]) for k in range(0, len(ids), STEP)] or [np.zeros(0)])
             outside = ids < KINDS
             each[outside] -= shares[ids[outside].astype(np.int64)]
-            logs = np.fromiter((known.get(w, -1.0) for t in texts for w in t), dtype=float, count=len(ids))
+            logs = np.fromiter(map(known.get, chain.from_iterable(texts), repeat(-1.0)), dtype=float, count=len(ids))
             found = logs >= 0
             each[outside & found] += logs[outside & found]
             logs[~found] = 0
-            rest = [Counter(w for w in t if w not in known) for t in texts]
+            rest = [Counter() for _ in texts]
+            text_of = np.searchsorted(starts, away := np.flatnonzero(~found), side="right") - 1
+            for k, at in zip(text_of.tolist(), (away - starts[text_of]).tolist(), strict=True):
+                rest[k][texts[k][at]] += 1
             out = {
                 "row": [first + seen + k for k in range(len(texts))],
                 "doc_id": c["doc_id"],
