@@ -41,14 +41,15 @@ def test_chances_of_outcomes_sum_to_one():
     rng = np.random.default_rng(1)
     weights = rng.normal(size=(ROWS, FAN)).astype(np.float32)
     ids = np.arange(LEAVES, dtype=np.uint64)
-    context = np.tile(rng.integers(0, LEAVES, (5, 1)).astype(np.uint64), (1, LEAVES))
+    context = np.tile(rng.integers(0, LEAVES, (maxent.FEATURES, 1)).astype(np.uint64), (1, LEAVES))
     assert abs((10 ** log_chances(weights, ids, context)).sum() - 1) < 1e-4
 
 
 def test_contexts_stay_in_their_text():
     ids = np.array([5, 6, 7, 8, 9], dtype=np.uint64)
     c = contexts(ids, np.array([0, 3]))
-    assert c[1].tolist() == [START, 5, 6, START, 8] and c[2].tolist() == [START, START, 5, START, START] and c[3].tolist() == [START] * 5
+    assert c[0].tolist() == [START, 5, 6, START, 8] and c[1].tolist() == [START, START, 5, START, START]
+    assert c[2].tolist() == [a * (LEAVES + 1) + b for a, b in zip(c[0].tolist(), c[1].tolist(), strict=True)]
 
 
 def test_training_step_lowers_the_loss():
