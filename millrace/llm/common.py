@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,6 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on, and what a stage remembered would weigh on the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
     """Apply a function to column dictionaries of at most SLICE rows; make() runs once in each task.
 
@@ -50,10 +61,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                rows = step(batch.slice(at, SLICE).to_pydict())
-                yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in out], schema=out)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    rows = step(batch.slice(at, SLICE).to_pydict())
+                    yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in out], schema=out)
+        finally:
+            step = None
+            give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -195,11 +195,11 @@ def best_plan(counts: dict[int, int], capacity: int, tries: Sequence[tuple[int,
     return best
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id", memo: int = 500_000) -> DataFrame:
     """Each piece of each document, with the task that made it and its rank there among equal lengths."""
 
     def make():
-        words = WordIds(tokenizer)
+        words = WordIds(tokenizer, memo)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         last = np.array([end], dtype="<u4").tobytes()
@@ -222,9 +222,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
     return map_batches(rows, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
-    made = written(pieces(docs, tokenizer, capacity, end, text, key), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id", memo: int = 500_000) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece. memo: words whose ids a task remembers."""
+    made = written(pieces(docs, tokenizer, capacity, end, text, key, memo), "pieces")
     parts = written(made.groupBy("part", "length").agg(F.count("*").alias("n")), "parts")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     by_length: dict[int, list[Placement]] = defaultdict(list)

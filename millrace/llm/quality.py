@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SLICE, Recent, map_batches
+from millrace.llm.common import SLICE, Recent, give_back, map_batches
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 
@@ -164,7 +164,7 @@ class Scorer:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.worth = Recent(lambda w: float(weights[word_features(w)].sum()), 200_000)
+        self.worth = Recent(lambda w: float(weights[word_features(w)].sum()), 100_000)
 
     def __call__(self, text: str | None) -> float:
         words = (text or "").encode().split()
@@ -239,10 +239,14 @@ def keep_good(docs: DataFrame, sample: int = 6000, least: float = 0.3, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights, bias)
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                yield part.filter(pa.array([scorer(t) >= least for t in part.column(place).to_pylist()], type=pa.bool_()))
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE):
+                    part = batch.slice(at, SLICE)
+                    yield part.filter(pa.array([scorer(t) >= least for t in part.column(place).to_pylist()], type=pa.bool_()))
+        finally:
+            scorer = None
+            give_back()
 
     place = docs.columns.index(text)
     return docs.mapInArrow(run, docs.schema)
