@@ -38,8 +38,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0)
+    """Pieces in sequences of 2048 tokens. Fewer words are remembered than by default, as earlier stages' memory isn't all given back."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0, memo=200_000)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
