@@ -3,15 +3,17 @@
 Texts are lower-cased in A-Z; tokens are runs of characters other than blanks, then one end.
 
 Vocabulary: tokens of all training documents are counted in tasks and summed by token. The
-table of counts stays distributed. What tasks hold is bounded: the LEAVES - KINDS most
+table of counts stays distributed. What tasks hold is bounded: the most
 frequent tokens, which are outcomes of the model, and the counts of the KNOWN most frequent ones.
 Counts of all other tokens are joined to the documents that have them.
 
-Model: an outcome is a leaf of a tree of DEPTH levels with FAN branches, so the softmax is factored
-into DEPTH small ones: class, class in the class, token. At each node the scores of its branches
-are sums of weights of features: the last token, the last two tokens together, and the one
-before the last by itself (a skip). Rows of weights are found by hashing feature and
-node. All tokens outside the frequent ones share KINDS leaves by their look; within its kind, a
+Model: an outcome is a leaf of a tree of levels with FAN branches, so the softmax is factored
+into as many small ones: class, class in the class, token. At each node the scores of its branches
+are sums of weights of features: the last token, the one before it by itself (a skip), the last two
+tokens together, the third-last by itself (a skip), and none (a bias). Rows of weights are found by
+hashing feature and node. The tree has DEPTH levels and ROWS rows of weights for a small
+vocabulary; both grow with the counted tokens, up to DEEPEST levels and MOST_ROWS rows, which
+bound what a task and the driver hold. All tokens outside the frequent ones share KINDS leaves by their look; within its kind, a
 token has the probability (c + 1) / (C + V + 1), C and V being the kind's tokens and distinct
 tokens, so one unseen token of each kind has a share, and everything sums to 1.
 
@@ -43,17 +45,18 @@ FAN, DEPTH, KINDS = 16, 3, 16
 LEAVES = FAN**DEPTH
 #: Tokens whose counts tasks hold, at most.
 KNOWN = 1 << 17
-#: Rows of weights, FAN each; a row's number has 16 bits.
-ROWS = 1 << 16
+#: Rows of weights, FAN each, and levels, of a small vocabulary; and the most of a large one.
+ROWS, MOST_ROWS = 1 << 16, 1 << 18
+DEEPEST = 4
 #: Tokens of a gradient step.
 STEP = 8192
 #: Rows of weights that travel together.
 CHUNK = 2048
 #: The end of a text; no token is empty.
 END = b""
-#: The outcome before a text's first token.
+#: The outcome before a text's first token, in a tree of DEPTH levels; it is the number of leaves in any.
 START = LEAVES
-FEATURES = 3
+FEATURES = 5
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _MARKS = tuple(frozenset(x) for x in ("äöüß", "éèêçàùâîôû", "ñóíáú¿¡"))
@@ -86,35 +89,54 @@ def tokens(text: str | None) -> list[bytes]:
     return found
 
 
-def contexts(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The features' values for each token: FEATURES rows. starts: where texts begin."""
+def shape(vocabulary: int) -> tuple[int, int]:
+    """Levels of the tree and rows of weights for so many distinct tokens."""
+    depth, rows = DEPTH, ROWS
+    while FAN**depth - KINDS < vocabulary and depth < DEEPEST:
+        depth += 1
+    while rows < vocabulary and rows < MOST_ROWS:
+        rows *= 2
+    return depth, rows
+
+
+def contexts(ids: np.ndarray, starts: np.ndarray, leaves: int = LEAVES) -> np.ndarray:
+    """The features' values for each token: FEATURES rows, the last of them the bias. starts: where texts begin."""
     out = np.zeros((FEATURES, len(ids)), dtype=np.uint64)
     back = []
-    for k in (1, 2):
-        prior = np.full(len(ids), START, dtype=np.uint64)
+    for k in (1, 2, 3):
+        prior = np.full(len(ids), leaves, dtype=np.uint64)
         prior[k:] = ids[:-k] if len(ids) > k else ids[:0]
         for d in range(k):  # the first k tokens of a text have none so far back
             at = starts + d
-            prior[at[at < len(ids)]] = START
+            prior[at[at < len(ids)]] = leaves
         back.append(prior)
-    out[:2] = back
-    out[2] = back[0] * np.uint64(LEAVES + 1) + back[1]
+    out[:2] = back[:2]
+    out[2] = back[0] * np.uint64(leaves + 1) + back[1]
+    out[3] = back[2]
     return out
 
 
-def rows_of(context: np.ndarray, node: np.ndarray) -> np.ndarray:
-    """Rows of weights of each feature at each token's node; 16 bits, which sort fast."""
+def rows_of(context: np.ndarray, node: np.ndarray, count: int = ROWS) -> np.ndarray:
+    """Rows of weights, of a power of two, of each feature at each token's node."""
     x = (context + np.arange(1, FEATURES + 1, dtype=np.uint64)[:, None] * _C) * _A + node * _B
     x ^= x >> np.uint64(29)
     x *= _C
-    return (x >> np.uint64(48)).astype(np.uint16)
+    return (x >> np.uint64(65 - count.bit_length())).astype(np.uint16 if count <= 1 << 16 else np.uint32)
+
+
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """The order of row numbers, stable. 16 bits sort fast, so larger numbers are sorted by 16 bits twice."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    if rows.dtype == np.uint16:
+        return order
+    return order.take(np.argsort((rows >> 16).astype(np.uint16).take(order), kind="stable"))
 
 
-def levels(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def levels(ids: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Node and branch on the way to each outcome."""
     node = np.zeros(len(ids), dtype=np.uint64)
-    for k in range(DEPTH):
-        branch = ids // FAN ** (DEPTH - 1 - k) % FAN
+    for k in range(depth):
+        branch = ids // FAN ** (depth - 1 - k) % FAN
         yield node, branch.astype(np.int64)
         node = node * np.uint64(FAN) + branch.astype(np.uint64) + np.uint64(1)
 
@@ -129,31 +151,31 @@ def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def log_chances(weights: np.ndarray, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
+def log_chances(weights: np.ndarray, ids: np.ndarray, context: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     """log10 of each outcome's probability."""
     total = np.zeros(len(ids))
     each = np.arange(len(ids))
-    for node, branch in levels(ids):
-        total += np.log10(np.maximum(_chances(weights, rows_of(context, node))[each, branch], 1e-30))
+    for node, branch in levels(ids, depth):
+        total += np.log10(np.maximum(_chances(weights, rows_of(context, node, len(weights)))[each, branch], 1e-30))
     return total
 
 
 class Trainer:
-    def __init__(self, weights: np.ndarray, rate: float):
-        self.weights, self.rate = weights.copy(), rate
-        self.squares = np.full(ROWS, 1.0, dtype=np.float32)
-        self.updates = np.zeros(ROWS, dtype=np.float32)
+    def __init__(self, weights: np.ndarray, rate: float, depth: int = DEPTH):
+        self.weights, self.rate, self.depth = weights.copy(), rate, depth
+        self.squares = np.full(len(weights), 1.0, dtype=np.float32)
+        self.updates = np.zeros(len(weights), dtype=np.float32)
 
     def step(self, ids: np.ndarray, context: np.ndarray) -> None:
         each = np.arange(len(ids))
         token = np.tile(each, FEATURES)
-        for node, branch in levels(ids):
-            rows = rows_of(context, node)
+        for node, branch in levels(ids, self.depth):
+            rows = rows_of(context, node, len(self.weights))
             error = _chances(self.weights, rows)
             error[each, branch] -= 1
             # the gradient of a row is the sum over the tokens that use it
             flat = rows.ravel()
-            order = np.argsort(flat, kind="stable")
+            order = _sorted(flat)
             found = flat[order]
             first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
             gradient = np.add.reduceat(error.take(token.take(order), axis=0), first, axis=0)
@@ -212,22 +234,23 @@ def _kind_column() -> F.Column:
     return of("word")
 
 
-def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, number: int, rounds: int, rate: float) -> np.ndarray:
+def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, depth: int, number: int, rounds: int, rate: float) -> np.ndarray:
     """Weights after one round over the training documents that belong to it."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, trainer = Coder(frequent), Trainer(weights, rate)
+        coder, trainer = Coder(frequent), Trainer(weights, rate, depth)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 ids, starts = coder.batch([tokens(t) for t in part.column(0).to_pylist()])
-                context = contexts(ids, starts)
+                context = contexts(ids, starts, FAN**depth)
                 for k in range(0, len(ids), STEP):
                     trainer.step(ids[k : k + STEP], context[:, k : k + STEP])
-        chunks = [k for k in range(0, ROWS, CHUNK) if trainer.updates[k : k + CHUNK].any()]
-        moved = [(trainer.weights[k : k + CHUNK] * trainer.updates[k : k + CHUNK, None]).tobytes() for k in chunks]
-        times = [trainer.updates[k : k + CHUNK].tobytes() for k in chunks]
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, type=pa.int32()), pa.array(moved, type=pa.binary()), pa.array(times, type=pa.binary())], names=["chunk", "moved", "times"])
+        for k in range(0, len(weights), CHUNK):
+            times = trainer.updates[k : k + CHUNK]
+            if times.any():
+                moved = (trainer.weights[k : k + CHUNK] * times[:, None]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in ((k, pa.int32()), (moved, pa.binary()), (times.tobytes(), pa.binary()))], names=["chunk", "moved", "times"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[np.ndarray]] = {}
@@ -247,7 +270,7 @@ def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, number:
     schema = "chunk int, moved binary, times binary"
     mine = rows.where((_part("", 7) != 2) & (_part("round ", rounds) == number)).select("text")
     learnt = mine.coalesce(tasks).mapInArrow(learn, schema)
-    found = learnt.repartition("chunk").mapInArrow(average, schema).collect()  # ROWS rows of weights
+    found = learnt.repartition("chunk").mapInArrow(average, schema).collect()  # MOST_ROWS rows of weights at most
     new = weights.copy()
     for r in found:
         at = slice(r["chunk"], r["chunk"] + CHUNK)
@@ -256,7 +279,7 @@ def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, number:
     return new
 
 
-def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.2, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     words = written(_counts(rows), "words")
@@ -269,7 +292,9 @@ def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.2, text: str =
         held, least = held + r["count"], r["c"]
     top = words.where(F.col("c") >= least).toPandas() if size else None
     counts = {} if top is None else dict(zip(map(bytes, top["word"]), top["c"].tolist(), strict=True))
-    frequent = sorted(counts, key=lambda w: (-counts[w], w))[: LEAVES - KINDS]
+    depth, n_rows = shape(size)
+    leaves = FAN**depth
+    frequent = sorted(counts, key=lambda w: (-counts[w], w))[: leaves - KINDS]
     # tokens and distinct tokens of each kind, without those that have a leaf
     kinds = {r["kind"]: [r["tokens"], r["types"]] for r in words.groupBy(_kind_column().alias("kind")).agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect()}
     mass = np.array([kinds.get(k, [0, 0]) for k in range(KINDS)], dtype=float)
@@ -277,9 +302,9 @@ def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.2, text: str =
         mass[kind(w)] -= (counts[w], 1)
     shares = np.log10(mass.sum(axis=1) + 1)
 
-    weights = np.zeros((ROWS, FAN), dtype=np.float32)
+    weights = np.zeros((n_rows, FAN), dtype=np.float32)
     for k in range(rounds if size else 0):
-        weights = _round(rows, frequent, weights, k, rounds, rate)
+        weights = _round(rows, frequent, weights, depth, k, rounds, rate)
 
     def make():
         coder = Coder(frequent)
@@ -291,9 +316,9 @@ def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.2, text: str =
             nonlocal seen
             texts = [tokens(t) for t in c["text"]]
             ids, starts = coder.batch(texts)
-            context = contexts(ids, starts)
+            context = contexts(ids, starts, leaves)
             # a kind's leaf leaves (c + 1) / share of the kind to the token
-            each = np.concatenate([log_chances(weights, ids[k : k + STEP], context[:, k : k + STEP]) for k in range(0, len(ids), STEP)] or [np.zeros(0)])
+            each = np.concatenate([log_chances(weights, ids[k : k + STEP], context[:, k : k + STEP], depth) for k in range(0, len(ids), STEP)] or [np.zeros(0)])
             outside = ids < KINDS
             each[outside] -= shares[ids[outside].astype(np.int64)]
             logs = np.fromiter(map(known.get, chain.from_iterable(texts), repeat(-1.0)), dtype=float, count=len(ids))

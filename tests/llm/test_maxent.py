@@ -73,3 +73,23 @@ def test_kinds_levels_and_codes():
 
 def test_empty_table(none):
     assert score_texts(none).count() == 0
+
+
+def test_model_has_a_bias_and_the_third_last_token():
+    ids = np.array([5, 6, 7, 8, 9], dtype=np.uint64)
+    c = contexts(ids, np.array([0, 4]))
+    assert len(c) == maxent.FEATURES == 5
+    assert c[3].tolist() == [START, START, START, 5, START] and len(set(c[4].tolist())) == 1
+
+
+def test_model_grows_with_the_vocabulary():
+    assert maxent.shape(100) == (maxent.DEPTH, ROWS)
+    depth, rows = maxent.shape(1_000_000)
+    assert depth > maxent.DEPTH and rows > ROWS
+    rng = np.random.default_rng(2)
+    weights = rng.normal(size=(rows, FAN)).astype(np.float32)
+    ids = np.arange(FAN**depth, dtype=np.uint64)
+    context = np.tile(rng.integers(0, FAN**depth, (maxent.FEATURES, 1)).astype(np.uint64), (1, len(ids)))
+    assert abs((10 ** log_chances(weights, ids, context, depth)).sum() - 1) < 1e-4
+    flat = maxent.rows_of(context, np.arange(len(ids), dtype=np.uint64), rows).ravel()
+    assert flat.max() >= ROWS and (np.diff(flat[maxent._sorted(flat)].astype(np.int64)) >= 0).all()
