@@ -196,15 +196,23 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, ke
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that stay, with all their columns.
+    """The rows of docs that stay, with all their columns: one row for each normalised text.
 
-    Rows under one id are one document, which stays if any of them does; one of its rows is returned.
+    Which one is decided by code points, then id, then text. Rows that share an id, or have none, are told
+    apart by their texts' digests; of rows equal in both id and text any one is returned.
     """
-    verdicts = exact_groups(docs, text, key, **options).groupBy(F.col("doc_id").alias("_id"))
+    verdicts = exact_groups(docs, text, key, **options).groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     verdicts = written(verdicts.agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")), "verdicts")
-    stay = without(docs, verdicts.where(~F.col("_kept")).select("_id"), key)
-    repeated = verdicts.where("_rows > 1").select("_id")
+    ids = written(verdicts.groupBy("_id").agg(F.sum("_rows").alias("_rows"), F.max("_kept").alias("_kept")), "ids")
+    single = without(docs, ids.where((F.col("_rows") > 1) | ~F.col("_kept")).select("_id"), key)
+    repeated = ids.where("_rows > 1").select("_id")
     if repeated.isEmpty():
-        return stay
-    again = stay.join(repeated, F.col(key).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([key])
-    return without(stay, repeated, key).unionByName(again)
+        return single
+    many = docs.join(F.broadcast(repeated) if repeated.count() <= 1_000_000 else repeated, F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    digest = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), BLANKS, "").cast("binary"), 256)
+    # one row of each id and text, by partial minima, then those whose text's group keeps that id
+    order = F.struct(-F.length(F.coalesce(F.col(text), F.lit(""))), F.col(text))
+    one = many.groupBy(F.col(key).cast("long").alias("_id"), digest.alias("_sha")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), order).alias("_row"))
+    stay = verdicts.where("_kept").select(F.col("_id").alias("_kept_id"), F.col("_sha").alias("_kept_sha"))
+    again = one.join(stay, F.col("_id").eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi").select("_row.*")
+    return single.unionByName(again)

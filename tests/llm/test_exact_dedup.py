@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup
 from millrace.llm.exact_dedup import build_directory, drop_copies, exact_groups
@@ -61,3 +62,18 @@ def test_directory_splits_overfull_buckets(spark):
     change = np.flatnonzero(np.diff(directory)) + 1
     assert len(change) + 1 == len(set(directory.tolist()))
     assert depth <= exact_dedup.MAX_DEPTH
+
+
+def test_drop_copies_keeps_every_text_of_rows_without_or_with_repeated_ids(spark):
+    rows = [(None, "first text"), (None, "second text"), (None, "second  text"), (None, "third text"), (7, "one"), (7, "two"), (7, "two"), (8, "one "), (9, "two"), (10, "four"), (11, " four"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(((r["doc_id"], r["text"]) for r in drop_copies(docs).collect()), key=str)
+    assert found == sorted([(None, "first text"), (None, "second  text"), (None, "third text"), (8, "one "), (7, "two"), (11, " four"), (None, None)], key=str)
+
+
+def test_drop_copies_leaves_one_row_for_each_text(docs):
+    """Hard texts, with ids and with none: the texts that stay are those of the groups."""
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    want = sorted({norm(r["text"]) for r in docs.collect()})
+    for table in (docs, docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumn("doc_id", F.lit(1).cast("long"))):
+        assert sorted(norm(r["text"]) for r in drop_copies(table).collect()) == want
