@@ -1,7 +1,11 @@
 """Streams over the events table. Each reads it as files arrive, runs until all are read, and returns its sink.
 
 The sink is a Parquet folder beside the stream's checkpoint, both in the shared folder, so a stream goes on
-where it stopped. Windows still open at the end are not in an append sink.
+where it stopped.
+
+Streams with a watermark read a copy of the table that is dealt out by time, one range of it a file, in order of
+time, so no event comes after a watermark that has passed it. Where windows are closed by the watermark, one row
+without a user and far later than all events follows: it closes the windows still open, and its own stays open.
 """
 
 from __future__ import annotations
@@ -26,6 +30,35 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _put_in_order(spark: SparkSession, path: str) -> bool:
+    """Give the files of path's folders times that rise with their names, as streams read files in order of time. False where the store keeps no such times."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(
+        (f"{part.getPath().getName()}/{f.getPath().getName()}", f.getPath(), f.getModificationTime())
+        for part in fs.listStatus(folder) for f in fs.listStatus(part.getPath()) if f.getPath().getName().endswith(".parquet")
+    )
+    start = max((t for _, _, t in found), default=0) // 1000 - len(found)
+    for k, (_, f, _) in enumerate(found):
+        fs.setTimes(f, (start + k) * 1000, -1)
+    return all(fs.getFileStatus(f).getModificationTime() == (start + k) * 1000 for k, (_, f, _) in enumerate(found))
+
+
+def in_order(spark: SparkSession, sf_dir: str, name: str = "events", close: bool = False) -> DataFrame:
+    """The table as a stream in order of event time, with its watermark. close: a last row closes all windows of at most a day."""
+    path = scratch(spark)
+    events = table(spark, sf_dir, name).withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(f"{path}/0")
+    if close:
+        last = events.agg((F.max("ts") + F.expr(f"interval {DELAY}") + F.expr("interval 2 days")).alias("ts")).where("ts is not null")
+        last.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema)).write.parquet(f"{path}/1")
+    files = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
+    if _put_in_order(spark, path):  # else all files are one batch, in which nothing is late
+        files = files.option("maxFilesPerTrigger", 4)
+    return files.parquet(path).withWatermark("ts", DELAY)
+
+
 def run(df: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that there is, and return its sink. Other modes than append keep the last batch's state."""
     spark = df.sparkSession
@@ -50,19 +83,19 @@ def stream_tumbling_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows that the watermark has closed."""
-    return run(stream(spark, sf_dir).withWatermark("ts", DELAY).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(_start(), "event_type", "n"))
+    """Windows as the watermark closes them."""
+    return run(in_order(spark, sf_dir, close=True).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(_start(), "event_type", "n"))
 
 
 @query()
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(stream(spark, sf_dir).withWatermark("ts", DELAY).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", _start(), "n"))
+    return run(in_order(spark, sf_dir, close=True).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", _start(), "n"))
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event once, though the stream is given twice."""
-    events = stream(spark, sf_dir).withWatermark("ts", DELAY)
+    events = in_order(spark, sf_dir)
     return run(events.unionByName(events).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id"))
 
 
@@ -72,7 +105,7 @@ WHERE p.event_type = 'purchase' AND v.event_type = 'view'
 """)
 def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases with the user's views of the hour before; the bound on time lets state go."""
-    events = stream(spark, sf_dir).withWatermark("ts", DELAY)
+    events = in_order(spark, sf_dir)
     buy = events.where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("u"), F.col("ts").alias("bought"))
     view = events.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", "ts")
     return run(buy.join(view, F.expr("u = user_id and ts between bought - interval 1 hour and bought")).select("event_id", "view_id"))
