@@ -96,6 +96,13 @@ def agg_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where("p_size = 7").groupBy("p_brand").agg(F.mode("p_size").alias("size"))
 
 
+@query("SELECT p_brand, p_size AS size FROM (SELECT p_brand, p_size, count(*) AS n FROM part WHERE p_size IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) = 1")
+def agg_mode_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent size of each brand over all parts; of sizes equally frequent the smallest."""
+    sizes = table(spark, sf_dir, "part").where("p_size is not null").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
+    return sizes.groupBy("p_brand").agg(F.max_by("p_size", F.struct("n", -F.col("p_size"))).alias("size"))
+
+
 @query()
 def agg_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sketches of distinct counts and quantiles."""

@@ -48,6 +48,13 @@ def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer.join(table(spark, sf_dir, "supplier"), F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
 
 
+@query("SELECT c_custkey, p_partkey, p_size FROM customer FULL JOIN part ON c_nationkey = p_size AND c_custkey = p_partkey")
+def join_full_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tables, with customers and parts that match and others on both sides that don't."""
+    on = (F.col("c_nationkey") == F.col("p_size")) & (F.col("c_custkey") == F.col("p_partkey"))
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "part"), on, "full").select("c_custkey", "p_partkey", "p_size")
+
+
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)")
 def join_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     large = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
