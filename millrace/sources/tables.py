@@ -16,9 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a temporary one where the session names none."""
+    """A new folder that driver and executors share. Where the session names none, a temporary one, on one machine only."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top}/millrace/{uuid.uuid4().hex}"
