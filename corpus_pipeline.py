@@ -6,10 +6,9 @@ but the last return the columns of documents.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm.common import documents, written
+from millrace.llm.common import documents, dropped, written
 from millrace.llm.exact_dedup import drop_copies
 from millrace.llm.mixing import mix_documents
 from millrace.llm.near_dedup import Near, drop_near_copies
@@ -38,8 +37,10 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of 2048 tokens. Fewer words are remembered than by default, as earlier stages' memory isn't all given back."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0, memo=200_000)
+    """Pieces in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end=0)
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
@@ -49,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        if last is not None:
+            dropped(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
