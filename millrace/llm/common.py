@@ -4,41 +4,45 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import scratch
+
 #: Bytes that separate words: [\x20\x09-\x0D]. bytes.split() splits at exactly these.
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Documents that a task turns into Python objects at a time.
-SLICE = 512
+#: Documents, and bytes of them, that a task turns into Python objects at a time.
+SLICE, SLICE_BYTES = 512, 8 << 20
+
+#: Longest key that a memo keeps.
+KEPT = 48
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later steps read it, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/{name}"
+    path = f"{scratch(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.millrace_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that written() gave and that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.millrace_path).getParent()
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def give_back() -> None:
@@ -50,10 +54,37 @@ def give_back() -> None:
         trim(0)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
-    """Apply a function to column dictionaries of at most SLICE rows; make() runs once in each task.
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """make(), kept in this Python worker for its later tasks until something else is asked for."""
+    if key not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows, and of at most so many bytes of text or a single row."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")) - at
+        n = max(1, min(fit, rows, batch.num_rows - at))
+        yield batch.slice(at, n)
+        at += n
 
-    The function gets {column: list} and returns {column: list or array} of any length.
+
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = SLICE) -> DataFrame:
+    """Apply a function to record batches of at most `rows` rows; make() runs once in each task.
+
+    The function returns {column: list or array} of any length.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -63,9 +94,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
         step = make()
         try:
             for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    rows = step(batch.slice(at, SLICE).to_pydict())
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in out], schema=out)
+                for part in slices(batch, rows):
+                    found = step(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) for f in out], schema=out)
         finally:
             step = None
             give_back()
@@ -73,6 +104,16 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
     return df.mapInArrow(run, schema)
 
 
+def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:
+    """map_slices with a function of column dictionaries: it gets {column: list}."""
+
+    def made():
+        step = make()
+        return lambda part: step(part.to_pydict())
+
+    return map_slices(df, made, schema)
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "left") -> DataFrame:
     """rows joined with one row for each group, where a group may hold a large share of all rows.
 
@@ -87,11 +128,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, ho
     return tagged.where(F.col("_hot")).drop("_hot").unionByName(rest)
 
 
+def unused(stem: str, columns: list[str]) -> str:
+    """A column name like stem that no column has, in any case."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def without(docs: DataFrame, gone: DataFrame, key: str, most: int = 1_000_000) -> DataFrame:
     """The rows of docs whose key isn't in gone's one column. At most a million keys are broadcast; more are shuffled."""
-    gone = gone.toDF("_gone")
+    name = unused("_gone", docs.columns)
+    gone = gone.toDF(name)
     gone = F.broadcast(gone) if gone.count() <= most else gone
-    return docs.join(gone, F.col(key).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs[key].eqNullSafe(gone[name]), "left_anti")
 
 
 class Bitmap:
@@ -117,7 +167,7 @@ class Bitmap:
 
 
 class Recent(dict):
-    """A bounded memo: self[key] is find(key) unless known. Two generations, so that frequent keys stay."""
+    """A bounded memo: self[key] is find(key) unless known. Two generations, so that frequent keys stay; long keys are not kept."""
 
     def __init__(self, find: Callable, size: int):
         self.find, self.size, self.old = find, size, {}
@@ -126,11 +176,9 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.find(key)
-        self.put(key, value)
+        if len(key) <= KEPT:
+            if len(self) >= self.size:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
         return value
-
-    def put(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value

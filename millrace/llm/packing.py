@@ -30,13 +30,17 @@ from collections import defaultdict
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, written
+from millrace.llm.common import held, map_batches, map_slices, written
 from millrace.llm.word_ids import WordIds
 
+#: Texts that are split into words at a time.
+TEXTS = 2048
+
 #: A run of `count` sequences from number `start`: (start, count).
 #: A placement: length, first rank, pieces in each sequence, first sequence, sequences, offset.
 Placement = tuple[int, int, int, int, int, int]
@@ -195,18 +199,18 @@ def best_plan(counts: dict[int, int], capacity: int, tries: Sequence[tuple[int,
     return best
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id", memo: int = 500_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Each piece of each document, with the task that made it and its rank there among equal lengths."""
 
     def make():
-        words = WordIds(tokenizer, memo)
+        words = held(("word ids", tokenizer), lambda: WordIds(tokenizer))
         seen = np.zeros(capacity + 1, dtype=np.int64)
         part = TaskContext.get().partitionId()
         last = np.array([end], dtype="<u4").tobytes()
 
-        def step(c: dict) -> dict:
+        def step(c: pa.RecordBatch) -> dict:
             out: dict = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank")}
-            for i, ids in zip(c["doc_id"], words.encode(c["text"]), strict=True):
+            for i, ids in zip(c.column("doc_id").to_pylist(), words.encode(c.column("text")), strict=True):
                 ids += last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
@@ -219,12 +223,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
         return step
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(rows, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long")
+    return map_slices(rows, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", rows=TEXTS)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id", memo: int = 500_000) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece. memo: words whose ids a task remembers."""
-    made = written(pieces(docs, tokenizer, capacity, end, text, key, memo), "pieces")
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece."""
+    made = written(pieces(docs, tokenizer, capacity, end, text, key), "pieces")
     parts = written(made.groupBy("part", "length").agg(F.count("*").alias("n")), "parts")
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
     by_length: dict[int, list[Placement]] = defaultdict(list)

@@ -1,8 +1,10 @@
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -79,10 +81,20 @@ def test_ids_are_the_library_s():
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [None, "", "a" * 5000]
     library, words = Tokenizer.from_file(PATH), WordIds(PATH, memo=300)
     for at in range(0, len(texts), 100):
-        for text, ids in zip(texts[at : at + 100], words.encode(texts[at : at + 100]), strict=True):
+        for text, ids in zip(texts[at : at + 100], words.encode(pa.array(texts[at : at + 100], pa.string())), strict=True):
             assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_ids_of_every_letter_before_punctuation():
+    """Composition takes some letters apart, and then the mark is one run with what follows."""
+    library, words = Tokenizer.from_file(PATH), WordIds(PATH)
+    letters = [chr(c) for c in range(0x110000) if chr(c).isalpha() and not "\uac00" <= chr(c) <= "\ud7a3" and not "\u3400" <= chr(c) <= "\U0003ffff" or unicodedata.category(chr(c))[0] in "NM"]
+    for tail in ".,;:!?#$%&*|":
+        texts = [" ".join(x + tail for x in letters[at : at + 2000]) for at in range(0, len(letters), 2000)]
+        for text, ids in zip(texts, words.encode(pa.array(texts)), strict=True):
+            assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packed_table(docs):
     library = Tokenizer.from_file(PATH)
     found = pack_documents(docs, PATH).toPandas()
