@@ -18,7 +18,7 @@ from millrace.sources.tables import scratch
 BLANKS = " \t\n\x0b\x0c\r"
 
 #: Documents, and bytes of them, that a task turns into Python objects at a time.
-SLICE, SLICE_BYTES = 512, 8 << 20
+SLICE, SLICE_BYTES = 512, 4 << 20
 
 #: Longest key that a memo keeps.
 KEPT = 48
@@ -90,13 +90,16 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 
     out = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
 
+    def column(x, kind: pa.DataType) -> pa.Array:
+        return x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, type=kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         try:
             for batch in batches:
                 for part in slices(batch, rows):
                     found = step(part)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[f.name], type=f.type) for f in out], schema=out)
+                    yield pa.RecordBatch.from_arrays([column(found[f.name], f.type) for f in out], schema=out)
         finally:
             step = None
             give_back()
@@ -176,7 +179,7 @@ class Recent(dict):
         value = self.old.get(key)
         if value is None:
             value = self.find(key)
-        if len(key) <= KEPT:
+        if not isinstance(key, (str, bytes)) or len(key) <= KEPT:
             if len(self) >= self.size:
                 self.old = dict(self)
                 self.clear()

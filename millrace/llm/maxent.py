@@ -3,23 +3,23 @@
 Texts are lower-cased in A-Z; tokens are runs of characters other than blanks, then one end.
 
 Vocabulary: tokens of all training documents are counted in tasks and summed by token. The
-table of counts stays distributed. What tasks hold is bounded: the most
-frequent tokens, which are outcomes of the model, and the counts of the KNOWN most frequent ones.
-Counts of all other tokens are joined to the documents that have them.
-
-Model: an outcome is a leaf of a tree of levels with FAN branches, so the softmax is factored
-into as many small ones: class, class in the class, token. At each node the scores of its branches
-are sums of weights of features: the last token, the one before it by itself (a skip), the last two
-tokens together, the third-last by itself (a skip), and none (a bias). Rows of weights are found by
-hashing feature and node. The tree has DEPTH levels and ROWS rows of weights for a small
-vocabulary; both grow with the counted tokens, up to DEEPEST levels and MOST_ROWS rows, which
-bound what a task and the driver hold. All tokens outside the frequent ones share KINDS leaves by their look; within its kind, a
+table of counts stays distributed. What tasks hold is bounded: the KNOWN most frequent tokens, of which
+at most LEAVES are outcomes of the model. Counts of all other tokens are joined to the documents that have them.
+
+Model: outcomes are the leaves of a Huffman tree with FAN branches at each node, so the softmax is factored
+into as many small ones: class, class in the class, and so on, and frequent tokens have short ways. At each
+node the scores of its branches are sums of weights of features: the last token, the one before it by
+itself (a skip), the last two tokens together, the third-last by itself (a skip), and none (a bias). Rows
+of weights are found by hashing feature and node; there are ROWS of a small vocabulary, and up to
+MOST_ROWS of a large one, which bounds what a task and the driver hold. All tokens outside the
+frequent ones share KINDS leaves by their look; within its kind, a
 token has the probability (c + 1) / (C + V + 1), C and V being the kind's tokens and distinct
 tokens, so one unseen token of each kind has a share, and everything sums to 1.
 
 Training: each task takes adaptive gradient steps over its documents, weights are averaged by how
 often a row was updated, and the next round starts from the average. Every training document
-is used once, in the round that its id's hash gives.
+is used once, in the round that its id's hash gives. A task has SPLITS splits of the table, whatever the
+size of table and cluster.
 
 Defined results: a null text is empty and has one token, its end. A null id counts as empty text in
 the split. Rows repeated under one id are each scored and learnt from. An empty table
@@ -28,34 +28,34 @@ gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import heapq
 import zlib
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, repeat
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SLICE, Recent, map_batches, written
+from millrace.llm.common import map_slices, slices, written
 
-FAN, DEPTH, KINDS = 16, 3, 16
-LEAVES = FAN**DEPTH
-#: Tokens whose counts tasks hold, at most.
-KNOWN = 1 << 17
-#: Rows of weights, FAN each, and levels, of a small vocabulary; and the most of a large one.
+FAN, KINDS = 16, 16
+#: Tokens that are outcomes, and tokens whose counts tasks hold, at most.
+LEAVES, KNOWN = FAN**4 - KINDS, 1 << 17
+#: Rows of weights, FAN each, of a small vocabulary, and the most of a large one.
 ROWS, MOST_ROWS = 1 << 16, 1 << 18
-DEEPEST = 4
-#: Tokens of a gradient step.
+#: Tokens of a gradient step. Places in a step's rows fit in 16 bits.
 STEP = 8192
 #: Rows of weights that travel together.
 CHUNK = 2048
+#: Splits of the table that a training task reads.
+SPLITS = 4
+#: Texts that are split into tokens at a time, and those that are counted at a time.
+TEXTS, COUNTED = 2048, 8192
 #: The end of a text; no token is empty.
 END = b""
-#: The outcome before a text's first token, in a tree of DEPTH levels; it is the number of leaves in any.
-START = LEAVES
 FEATURES = 5
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -89,29 +89,89 @@ def tokens(text: str | None) -> list[bytes]:
     return found
 
 
-def shape(vocabulary: int) -> tuple[int, int]:
-    """Levels of the tree and rows of weights for so many distinct tokens."""
-    depth, rows = DEPTH, ROWS
-    while FAN**depth - KINDS < vocabulary and depth < DEEPEST:
-        depth += 1
-    while rows < vocabulary and rows < MOST_ROWS:
-        rows *= 2
-    return depth, rows
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens of the texts, each token's place among them, and where texts begin. What tokens() gives, for a column."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = words.flatten().cast(pa.large_binary() if pa.types.is_large_list(words.type) else pa.binary())
+    full = pc.binary_length(flat).to_numpy() > 0  # blanks at a text's ends give empty words
+    bounds = np.concatenate([[0], np.cumsum(full)])[words.offsets.to_numpy()]
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    starts = bounds[:-1] + np.arange(len(texts))
+    out = np.full(bounds[-1] + len(texts), len(coded.dictionary), dtype=np.int64)  # the end, behind each text
+    out[np.arange(bounds[-1]) + np.repeat(np.arange(len(texts)), np.diff(bounds))] = coded.indices.to_numpy()
+    return pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())]), out, starts
 
 
-def contexts(ids: np.ndarray, starts: np.ndarray, leaves: int = LEAVES) -> np.ndarray:
-    """The features' values for each token: FEATURES rows, the last of them the bias. starts: where texts begin."""
+def n_rows(vocabulary: int) -> int:
+    """Rows of weights for so many distinct tokens."""
+    rows = ROWS
+    while rows < vocabulary and rows < MOST_ROWS:
+        rows *= 2
+    return rows
+
+
+class Tree:
+    """A Huffman tree with FAN branches at each node: frequent outcomes have short ways. Their number less one is a multiple of FAN - 1."""
+
+    def __init__(self, frequency: Sequence[float], order: Sequence | None = None):
+        """order: a key for each outcome; of those with ways of one length, neighbours in it share classes."""
+        n = len(frequency)
+        heap = [(float(x), k) for k, x in enumerate(frequency)]
+        heapq.heapify(heap)
+        above, top = {}, n
+        while len(heap) > 1:
+            some = [heapq.heappop(heap) for _ in range(FAN)]
+            above.update((k, top) for _, k in some)
+            heapq.heappush(heap, (sum(x for x, _ in some), top))
+            top += 1
+        depth = np.zeros(top, dtype=np.uint8)
+        for k in range(top - 2, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        self.depth = depth[:n]
+        # ways of these lengths, in order of length and key: each is the number after the last one, with digits added where it is longer
+        found = sorted(range(n), key=lambda k: (depth[k], k if order is None else order[k]))
+        ways, way, last = np.zeros(n, dtype=np.int64), -1, int(depth[found[0]])
+        for k in found:
+            way = (way + 1) * FAN ** (int(depth[k]) - last)
+            ways[k], last = way, int(depth[k])
+        self.nodes = np.zeros((max(1, last), n), dtype=np.uint16)
+        self.branches = np.zeros(self.nodes.shape, dtype=np.uint8)
+        first = 0  # number of a level's first node
+        for level in range(last):
+            live = self.depth > level
+            digits = ways[live] // FAN ** (self.depth[live].astype(np.int64) - 1 - level)
+            inner, at = np.unique(digits // FAN, return_inverse=True)
+            self.nodes[level, live], self.branches[level, live] = at + first, digits % FAN
+            first += len(inner)
+
+    def __len__(self) -> int:
+        return len(self.depth)
+
+    def levels(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each level, the places of outcomes that have it, their nodes and branches."""
+        live = np.arange(len(ids))
+        for level in range(len(self.nodes)):
+            live = live[self.depth[ids[live]] > level]
+            if not len(live):
+                return
+            at = ids[live]
+            yield live, self.nodes[level].take(at), self.branches[level].take(at)
+
+
+def contexts(ids: np.ndarray, starts: np.ndarray, outcomes: int) -> np.ndarray:
+    """The features' values for each token: FEATURES rows, the last of them the bias. starts: where texts begin; before them stands the outcome `outcomes`."""
+    ids = ids.astype(np.uint64)
     out = np.zeros((FEATURES, len(ids)), dtype=np.uint64)
     back = []
     for k in (1, 2, 3):
-        prior = np.full(len(ids), leaves, dtype=np.uint64)
+        prior = np.full(len(ids), outcomes, dtype=np.uint64)
         prior[k:] = ids[:-k] if len(ids) > k else ids[:0]
         for d in range(k):  # the first k tokens of a text have none so far back
             at = starts + d
-            prior[at[at < len(ids)]] = leaves
+            prior[at[at < len(ids)]] = outcomes
         back.append(prior)
     out[:2] = back[:2]
-    out[2] = back[0] * np.uint64(leaves + 1) + back[1]
+    out[2] = back[0] * np.uint64(outcomes + 1) + back[1]
     out[3] = back[2]
     return out
 
@@ -121,27 +181,12 @@ def rows_of(context: np.ndarray, node: np.ndarray, count: int = ROWS) -> np.ndar
     x = (context + np.arange(1, FEATURES + 1, dtype=np.uint64)[:, None] * _C) * _A + node * _B
     x ^= x >> np.uint64(29)
     x *= _C
-    return (x >> np.uint64(65 - count.bit_length())).astype(np.uint16 if count <= 1 << 16 else np.uint32)
-
-
-def _sorted(rows: np.ndarray) -> np.ndarray:
-    """The order of row numbers, stable. 16 bits sort fast, so larger numbers are sorted by 16 bits twice."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    if rows.dtype == np.uint16:
-        return order
-    return order.take(np.argsort((rows >> 16).astype(np.uint16).take(order), kind="stable"))
-
-
-def levels(ids: np.ndarray, depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Node and branch on the way to each outcome."""
-    node = np.zeros(len(ids), dtype=np.uint64)
-    for k in range(depth):
-        branch = ids // FAN ** (depth - 1 - k) % FAN
-        yield node, branch.astype(np.int64)
-        node = node * np.uint64(FAN) + branch.astype(np.uint64) + np.uint64(1)
+    x >>= np.uint64(65 - count.bit_length())
+    return x
 
 
 def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    rows = rows.view(np.int64)
     z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
         z += weights.take(r, axis=0)
@@ -151,77 +196,87 @@ def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return z
 
 
-def log_chances(weights: np.ndarray, ids: np.ndarray, context: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+def log_chances(weights: np.ndarray, ids: np.ndarray, context: np.ndarray, tree: Tree) -> np.ndarray:
     """log10 of each outcome's probability."""
     total = np.zeros(len(ids))
-    each = np.arange(len(ids))
-    for node, branch in levels(ids, depth):
-        total += np.log10(np.maximum(_chances(weights, rows_of(context, node, len(weights)))[each, branch], 1e-30))
+    for live, node, branch in tree.levels(ids):
+        z = _chances(weights, rows_of(context[:, live], node, len(weights)))
+        total[live] += np.log10(np.maximum(z[np.arange(len(live)), branch], 1e-30))
     return total
 
 
+def _sums(rows: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct row numbers and the sum of error over the tokens that use each. rows: FEATURES x tokens."""
+    flat = rows.ravel()
+    places = np.uint64(16)
+    both = np.sort(flat << places | np.arange(len(flat), dtype=np.uint64))  # quicker than to sort places by rows
+    found, token = both >> places, (both & np.uint64(0xFFFF)).astype(np.int64) % len(error)
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    times = np.diff(np.append(first, len(found)))
+    order = np.argsort(-times, kind="stable")  # rows of most tokens first, so those that have a kth are in front
+    first, times = first[order], times[order]
+    out = error.take(token[first], axis=0)
+    nth, many = 1, int(np.searchsorted(-times, -1, side="left"))
+    while many > 16:
+        out[:many] += error.take(token[first[:many] + nth], axis=0)
+        nth += 1
+        many = int(np.searchsorted(-times[:many], -nth, side="left"))
+    for k in range(many):
+        out[k] += error.take(token[first[k] + nth : first[k] + times[k]], axis=0).sum(axis=0)
+    return found[first].astype(np.int64), out
+
+
 class Trainer:
-    def __init__(self, weights: np.ndarray, rate: float, depth: int = DEPTH):
-        self.weights, self.rate, self.depth = weights.copy(), rate, depth
+    def __init__(self, weights: np.ndarray, rate: float, tree: Tree):
+        self.weights, self.rate, self.tree = weights.copy(), rate, tree
+        self.rows = self.weights.view(f"V{4 * FAN}").ravel()  # a row as one value is put in place faster
         self.squares = np.full(len(weights), 1.0, dtype=np.float32)
         self.updates = np.zeros(len(weights), dtype=np.float32)
 
     def step(self, ids: np.ndarray, context: np.ndarray) -> None:
-        each = np.arange(len(ids))
-        token = np.tile(each, FEATURES)
-        for node, branch in levels(ids, self.depth):
-            rows = rows_of(context, node, len(self.weights))
+        for live, node, branch in self.tree.levels(ids):
+            rows = rows_of(context[:, live], node, len(self.weights))
             error = _chances(self.weights, rows)
-            error[each, branch] -= 1
-            # the gradient of a row is the sum over the tokens that use it
-            flat = rows.ravel()
-            order = _sorted(flat)
-            found = flat[order]
-            first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-            gradient = np.add.reduceat(error.take(token.take(order), axis=0), first, axis=0)
-            used = found[first]
+            error[np.arange(len(live)), branch] -= 1
+            used, gradient = _sums(rows, error)
             squares = self.squares.take(used) + (gradient * gradient) @ _ONES / FAN
             self.squares[used] = squares
-            gradient *= (self.rate / np.sqrt(squares))[:, None]
-            self.weights[used] = self.weights.take(used, axis=0) - gradient
+            gradient *= (-self.rate / np.sqrt(squares))[:, None]
+            gradient += self.weights.take(used, axis=0)
+            self.rows[used] = gradient.view(self.rows.dtype).ravel()
             self.updates[used] += 1
 
 
 class Coder:
-    """Outcomes of tokens. frequent: the tokens that have a leaf of their own, in order."""
+    """Outcomes of tokens. known: tokens by falling frequency, of which the first `leaves` are outcomes."""
 
-    def __init__(self, frequent: list[bytes]):
-        leaf = {w: KINDS + k for k, w in enumerate(frequent)}
-        self.memo = Recent(lambda w: leaf.get(w, -1) if w in leaf else kind(w), 200_000)
+    def __init__(self, known: list[bytes], leaves: int):
+        self.rank = {w: k for k, w in enumerate(known)}
+        self.leaves = leaves
 
-    def batch(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        sizes = [len(t) for t in texts]
-        ids = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=sum(sizes))
-        return ids, np.cumsum([0, *sizes[:-1]])
+    def __call__(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Outcome, and rank among the known or -1, of each token."""
+        words = distinct.to_pylist()
+        get = self.rank.get
+        rank = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        ids = rank + KINDS
+        for k in np.flatnonzero((rank < 0) | (rank >= self.leaves)).tolist():
+            ids[k] = kind(words[k])
+        return ids, rank
 
 
 def _counts(rows: DataFrame) -> DataFrame:
     """word, c over the training documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(found), type=pa.binary()), pa.array(list(found.values()), type=pa.int64())], names=["word", "c"])
-            found.clear()
-            return out
+    def make():
+        def step(part: pa.RecordBatch) -> dict:
+            words, places, _ = coded(part.column("text"))
+            return {"word": words, "c": np.bincount(places, minlength=len(words))}
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                for t in part.column(0).to_pylist():
-                    found.update(tokens(t))
-                if len(found) > 400_000:
-                    yield flush()
-        if found:
-            yield flush()
+        return step
 
-    return rows.where(_part("", 7) != 2).select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    found = map_slices(rows.where(_part("", 7) != 2).select("text"), make, "word binary, c long", rows=COUNTED)
+    return found.groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _kind_column() -> F.Column:
@@ -234,16 +289,16 @@ def _kind_column() -> F.Column:
     return of("word")
 
 
-def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, depth: int, number: int, rounds: int, rate: float) -> np.ndarray:
+def _round(rows: DataFrame, known: list[bytes], leaves: int, weights: np.ndarray, tree: Tree, number: int, rounds: int, rate: float) -> np.ndarray:
     """Weights after one round over the training documents that belong to it."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, trainer = Coder(frequent), Trainer(weights, rate, depth)
+        coder, trainer = Coder(known[:leaves], leaves), Trainer(weights, rate, tree)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids, starts = coder.batch([tokens(t) for t in part.column(0).to_pylist()])
-                context = contexts(ids, starts, FAN**depth)
+            for part in slices(batch, TEXTS):
+                distinct, places, starts = coded(part.column(0))
+                ids = coder(distinct)[0][places]
+                context = contexts(ids, starts, len(tree))
                 for k in range(0, len(ids), STEP):
                     trainer.step(ids[k : k + STEP], context[:, k : k + STEP])
         for k in range(0, len(weights), CHUNK):
@@ -265,8 +320,7 @@ def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, depth: i
         out = [(k, np.where(n[:, None] > 0, w / np.maximum(n, 1)[:, None], 0).astype(np.float32).tobytes(), (n > 0).tobytes()) for k, (w, n) in sums.items()]
         yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], type=t) for c, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "moved", "times"])
 
-    # few long tasks learn more between averages, but a lost one costs more: 16 splits at most
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // 16)
+    tasks = -(-rows.rdd.getNumPartitions() // SPLITS) or 1
     schema = "chunk int, moved binary, times binary"
     mine = rows.where((_part("", 7) != 2) & (_part("round ", rounds) == number)).select("text")
     learnt = mine.coalesce(tasks).mapInArrow(learn, schema)
@@ -279,76 +333,83 @@ def _round(rows: DataFrame, frequent: list[bytes], weights: np.ndarray, depth: i
     return new
 
 
+def _top(words: DataFrame) -> DataFrame:
+    """The words tasks hold: the most frequent ones, KNOWN at most. All words of about one count are in or out together."""
+    shift = F.greatest(F.length(F.bin("c")) - 11, F.lit(0))
+    # counts up to 2047 by themselves, larger ones by their first 11 bits: 120,000 classes at most, in order of counts
+    band = (F.expr("shiftright(c, int(greatest(length(bin(c)) - 11, 0)))") + shift * 2048).cast("int")
+    banded = words.select("word", "c", band.alias("band"))
+    held, least = 0, None
+    for r in banded.groupBy("band").count().orderBy(F.desc("band")).collect():
+        if held + r["count"] > KNOWN:
+            break
+        held, least = held + r["count"], r["band"]
+    if least is None:  # more than KNOWN words share the largest counts
+        return words.orderBy(F.desc("c"), "word").limit(KNOWN)
+    return banded.where(F.col("band") >= least).select("word", "c")
+
+
 def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     words = written(_counts(rows), "words")
     size, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    capped = words.groupBy(F.least("c", F.lit(1 << 16)).alias("c")).count().orderBy(F.desc("c")).collect()  # 65,536 rows at most
-    held, least = 0, (1 << 16) + 1
-    for r in capped:
-        if held + r["count"] > KNOWN and held:
-            break
-        held, least = held + r["count"], r["c"]
-    top = words.where(F.col("c") >= least).toPandas() if size else None
-    counts = {} if top is None else dict(zip(map(bytes, top["word"]), top["c"].tolist(), strict=True))
-    depth, n_rows = shape(size)
-    leaves = FAN**depth
-    frequent = sorted(counts, key=lambda w: (-counts[w], w))[: leaves - KINDS]
+    top = sorted(((bytes(r["word"]), r["c"]) for r in _top(words).collect()), key=lambda x: (-x[1], x[0]))  # KNOWN rows at most
+    known, counts = [w for w, _ in top], np.array([c for _, c in top], dtype=np.int64)
+    leaves = min(LEAVES, len(known)) // (FAN - 1) * (FAN - 1)  # with KINDS more, no branch of the tree is without an outcome
     # tokens and distinct tokens of each kind, without those that have a leaf
     kinds = {r["kind"]: [r["tokens"], r["types"]] for r in words.groupBy(_kind_column().alias("kind")).agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect()}
     mass = np.array([kinds.get(k, [0, 0]) for k in range(KINDS)], dtype=float)
-    for w in frequent:
-        mass[kind(w)] -= (counts[w], 1)
+    for w, c in zip(known[:leaves], counts, strict=False):
+        mass[kind(w)] -= (c, 1)
     shares = np.log10(mass.sum(axis=1) + 1)
+    tree = Tree([*(mass[:, 0] + 1), *counts[:leaves]], [*[b""] * KINDS, *known[:leaves]])
 
-    weights = np.zeros((n_rows, FAN), dtype=np.float32)
+    weights = np.zeros((n_rows(size), FAN), dtype=np.float32)
     for k in range(rounds if size else 0):
-        weights = _round(rows, frequent, weights, depth, k, rounds, rate)
+        weights = _round(rows, known, leaves, weights, tree, k, rounds, rate)
 
     def make():
-        coder = Coder(frequent)
-        known = {w: float(np.log10(c + 1)) for w, c in counts.items()}
+        coder = Coder(known, leaves)
+        chance = np.append(np.log10(counts + 1.0), 0.0)  # the last for those that aren't known
         first = TaskContext.get().partitionId() << 33
         seen = 0
 
-        def step(c: dict) -> dict:
+        def step(part: pa.RecordBatch) -> dict:
             nonlocal seen
-            texts = [tokens(t) for t in c["text"]]
-            ids, starts = coder.batch(texts)
-            context = contexts(ids, starts, leaves)
+            n = part.num_rows
+            distinct, places, starts = coded(part.column("text"))
+            outcome, rank = coder(distinct)
+            ids, rank = outcome[places], rank[places]
+            context = contexts(ids, starts, len(tree))
             # a kind's leaf leaves (c + 1) / share of the kind to the token
-            each = np.concatenate([log_chances(weights, ids[k : k + STEP], context[:, k : k + STEP], depth) for k in range(0, len(ids), STEP)] or [np.zeros(0)])
-            outside = ids < KINDS
-            each[outside] -= shares[ids[outside].astype(np.int64)]
-            logs = np.fromiter(map(known.get, chain.from_iterable(texts), repeat(-1.0)), dtype=float, count=len(ids))
-            found = logs >= 0
-            each[outside & found] += logs[outside & found]
-            logs[~found] = 0
-            rest = [Counter() for _ in texts]
-            text_of = np.searchsorted(starts, away := np.flatnonzero(~found), side="right") - 1
-            for k, at in zip(text_of.tolist(), (away - starts[text_of]).tolist(), strict=True):
-                rest[k][texts[k][at]] += 1
+            each = np.concatenate([log_chances(weights, ids[k : k + STEP], context[:, k : k + STEP], tree) for k in range(0, len(ids), STEP)])
+            outside, found, logs = ids < KINDS, rank >= 0, chance[rank]
+            each[outside] += logs[outside] - shares[ids[outside]]
+            # the other tokens, counted by text
+            text_of = np.repeat(np.arange(n), np.diff(np.append(starts, len(ids))))
+            away, times = np.unique(text_of[~found] * len(distinct) + places[~found], return_counts=True)
+            bounds = np.searchsorted(away // len(distinct), np.arange(n + 1))
+            rest = pa.StructArray.from_arrays([distinct.take(pa.array(away % len(distinct))), pa.array(times)], ["word", "n"])
             out = {
-                "row": [first + seen + k for k in range(len(texts))],
-                "doc_id": c["doc_id"],
-                "held_out": [held_out(i) for i in c["doc_id"]],
-                "n_tokens": [len(t) for t in texts],
+                "row": np.arange(n) + (first + seen),
+                "doc_id": part.column("doc_id"),
+                "held_out": [held_out(i) for i in part.column("doc_id").to_pylist()],
+                "n_tokens": np.diff(np.append(starts, len(ids))),
                 "n_known": np.add.reduceat(found.astype(np.int64), starts),
                 "logs": np.add.reduceat(logs, starts),
                 "model": np.add.reduceat(each, starts),
-                "rest": [[{"word": w, "n": n} for w, n in r.items()] for r in rest],
+                "rest": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rest),
             }
-            seen += len(texts)
+            seen += n
             return out
 
         return step
 
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double, rest array<struct<word: binary, n: long>>"
-    scored = written(map_batches(rows, make, schema), "scored")
+    scored = written(map_slices(rows, make, schema, rows=TEXTS), "scored")
     rare = scored.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
-    seldom = words.where(F.col("c") < least)
-    add = rare.join(seldom, "word").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"))
+    add = rare.join(words, "word").groupBy("row").agg(F.sum("n").alias("more_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more"))
     full = scored.drop("rest").join(add, "row", "left").fillna({"more_known": 0, "more": 0.0})
     return full.select(
         "doc_id", "held_out", "n_tokens",
