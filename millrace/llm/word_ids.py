@@ -27,6 +27,10 @@ _MARKS = "[̀-ͯ]"
 #: A letter under U+0250 or a digit, and punctuation behind it: a blank between them changes nothing. U+0130 is left out, as its lower case ends with a mark.
 _EDGE = "([a-z0-9ß-öø-įı-ɏ])([!-/:-@\\[-`{-~])"
 
+#: Parts whose ids are gathered at a time.
+PARTS = 1 << 18
+
+
 def _byte_letters() -> dict[int, str]:
     """The character that stands for each byte in byte-level vocabularies: itself if it prints, else the next from 256 on."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -111,9 +115,11 @@ class WordIds:
         ids = self._ids(distinct.dictionary.to_pylist(), np.bincount(place, minlength=len(distinct.dictionary)))
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 2
         start = np.concatenate([[0], np.cumsum(size)])
-        ids, size = np.frombuffer(b"".join(ids), dtype="<u4"), size[place]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        # an id's place among those of the distinct parts, from its place in the texts
-        found = ids[np.repeat(start[place] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        ids, ends = np.frombuffer(b"".join(ids), dtype="<u4"), np.concatenate([[0], np.cumsum(size[place])])
+        found = np.empty(ends[-1], dtype="<u4")
+        for at in range(0, len(place), PARTS):  # an id's place among those of the distinct parts, from its place in the texts
+            some, a, b = place[at : at + PARTS], ends[at], ends[min(at + PARTS, len(place))]
+            found[a:b] = ids[np.repeat(start[some] - ends[at : at + len(some)], size[some]) + np.arange(a, b)]
+        found = memoryview(found).cast("B")
         cuts = (4 * ends[parts.offsets.to_numpy()]).tolist()
-        return [apart[k] if k in apart else found[cuts[k] : cuts[k + 1]] for k in range(len(texts))]
+        return [apart[k] if k in apart else bytes(found[cuts[k] : cuts[k + 1]]) for k in range(len(texts))]
