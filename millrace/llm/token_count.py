@@ -23,15 +23,12 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Recent, map_batches
+from millrace.llm.common import Recent, held, map_batches
 
 #: White space as Unicode has it, which the tokenizer's pattern means by its blank class.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 
-#: Longest chunk whose count is kept.
-KEPT = 48
-
 
 def merges_left(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """Symbols that remain once adjacent pairs have been merged, lowest rank first, leftmost of equals."""
@@ -81,11 +78,7 @@ class TokenCounter:
         return sum(merges_left(list(symbols), self.ranks) for symbols, _ in self.split(chunk))
 
     def _plain(self, text: str) -> int:
-        get = self.chunks.__getitem__
-        found = _CHUNK.findall(text)
-        if len(text) > KEPT and max(map(len, found), default=0) > KEPT:
-            return sum(get(c) if len(c) <= KEPT else self._chunk(c) for c in found)
-        return sum(map(get, found))
+        return sum(map(self.chunks.__getitem__, _CHUNK.findall(text)))
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -100,7 +93,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
     """doc_id, n_bytes, n_tokens, over_limit (more tokens than limit)."""
 
     def make():
-        counter = TokenCounter(tokenizer)
+        counter = held(("token counts", tokenizer), lambda: TokenCounter(tokenizer))
 
         def step(c: dict) -> dict:
             counts = [counter.count(t) for t in c["text"]]
