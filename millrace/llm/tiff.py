@@ -9,10 +9,12 @@ A text as media: its UTF-8 bytes, followed by bytes 0 up to a positive multiple
 8-bit gray samples of pages 64 wide and at most PAGE_BYTES large. The stored form follows
 from the payload alone, so equal texts give equal files.
 
-Defined results: a null text is an empty one, whose payload is 64 bytes 0. Null, empty or
-damaged content has no pages. Directories that form a loop are read once. Rows repeated
-under one key each give rows. An empty table gives an empty result. Other columns
-are not looked at.
+Defined results: a null text is an empty one, whose payload is 64 bytes 0. Null and empty content, and
+content that isn't TIFF, has no pages. A page whose form isn't supported or that is damaged is a row
+without data and with the reason in `error`, and the walk goes on to the next directory; a directory that can't be read
+ends it with such a row. A page's data is held at once, and one that would be larger than
+MOST_BYTES is such a row, too. Directories that form a loop are read once. Rows repeated under one key each give
+rows. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,14 +23,15 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches
+from millrace.llm.common import map_batches, map_slices
 
 #: Fixed values of the format: tags, field types' sizes and compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -42,16 +45,20 @@ CLEAR, END_OF_DATA = 256, 257
 #: Payload bytes of a page that a text is stored in.
 PAGE_BYTES = 1 << 20
 
+#: Decoded bytes of the largest page that is read, and of what its deflate strips or tiles may unpack to.
+MOST_BYTES = 1 << 30
+
 
 @dataclass
 class Page:
-    width: int
-    height: int
-    samples: int
-    bits: int
-    compression: int
-    predictor: int
-    data: bytes  # rows from the top, samples interleaved; 16-bit samples little-endian
+    width: int | None = None
+    height: int | None = None
+    samples: int | None = None
+    bits: int | None = None
+    compression: int | None = None
+    predictor: int | None = None
+    data: bytes | None = None  # rows from the top, samples interleaved; 16-bit samples little-endian
+    error: str | None = None
 
 
 def unpack_bits(data: bytes) -> bytes:
@@ -157,7 +164,12 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-_DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def _inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+#: Decoders get the bytes and how many samples' bytes are needed.
+_DECODE = {NONE: lambda b, n: b[:n], LZW: lambda b, n: lzw_decode(b), DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: lambda b, n: unpack_bits(b)}
 _ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 4), PACKBITS: pack_bits}
 
 
@@ -178,45 +190,62 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
 
 def _page(data: bytes, fields: dict[int, tuple], order: str) -> Page:
     one = lambda tag, default=None: fields[tag][0] if tag in fields else default
-    width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    bits, compression, predictor = one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
-    if bits not in (8, 16) or len(set(fields.get(BITS, (1,)))) > 1 or compression not in _DECODE or predictor not in (1, 2):
+    page = Page(one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1))
+    try:
+        page.data = _samples(data, fields, order, page)
+    except Exception as e:  # whatever a damaged file holds, it costs no more than its page
+        page.error = str(e) or type(e).__name__
+    return page
+
+
+def _samples(data: bytes, fields: dict[int, tuple], order: str, page: Page) -> bytes:
+    one = lambda tag, default=None: fields[tag][0] if tag in fields else default
+    width, height, samples = page.width, page.height, page.samples
+    if page.bits not in (8, 16) or len(set(fields.get(BITS, (1,)))) > 1 or page.compression not in _DECODE or page.predictor not in (1, 2):
         raise ValueError("form not supported")
     tiled = TILE_OFFSETS in fields
     across = one(TILE_WIDTH) if tiled else width
     down = one(TILE_HEIGHT) if tiled else min(one(ROWS_PER_STRIP, height), height)
     places, counts = (fields[t] for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
+    if not all((width, height, samples, across, down)):
+        raise ValueError("a size is 0")
     planes = samples if one(PLANAR, 1) == 2 else 1
     deep = samples // planes
-    kind = np.dtype("u1") if bits == 8 else np.dtype(order + "u2")
-    image = np.zeros((height, width, samples), dtype=kind.newbyteorder("<"))
     columns, rows = -(-width // across), -(-height // down)
-    for k in range(planes * rows * columns):
+    if max(width * height, across * down * columns * rows) * samples * page.bits // 8 > MOST_BYTES:
+        raise ValueError("too large")
+    if planes * rows * columns > min(len(places), len(counts)):
+        raise ValueError("blocks are missing")
+    kind = np.dtype("u1") if page.bits == 8 else np.dtype(order + "u2")
+    blocks = []
+    for k in range(planes * rows * columns):  # all are decoded before the image takes its memory
+        high = down if tiled else min(down, height - k % (rows * columns) * down)
+        raw = _DECODE[page.compression](data[places[k] : places[k] + counts[k]], high * across * deep * kind.itemsize)
+        block = np.frombuffer(raw, dtype=kind, count=high * across * deep).reshape(high, across, deep)
+        blocks.append(np.cumsum(block, axis=1, dtype=kind.newbyteorder("=")) if page.predictor == 2 else block)
+    image = np.zeros((height, width, samples), dtype=kind.newbyteorder("<"))
+    for k, block in enumerate(blocks):
         plane, rest = divmod(k, rows * columns)
         top, left = (rest // columns) * down, (rest % columns) * across
-        high = down if tiled else min(down, height - top)
-        raw = _DECODE[compression](data[places[k] : places[k] + counts[k]])
-        block = np.frombuffer(raw, dtype=kind, count=high * across * deep).reshape(high, across, deep)
-        if predictor == 2:
-            block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        image[top : top + high, left : left + across, plane * deep : (plane + 1) * deep] = block[: height - top, : width - left]
-    return Page(width, height, samples, bits, compression, predictor, image.tobytes())
+        image[top : top + len(block), left : left + across, plane * deep : (plane + 1) * deep] = block[: height - top, : width - left]
+    return image.tobytes()
 
 
 def pages(content: bytes | None) -> Iterator[Page]:
-    """Pages in order of the directories; damaged content ends the walk."""
+    """Pages in order of the directories."""
     order = {b"II": "<", b"MM": ">"}.get((content or b"")[:2])
-    if order is None:
+    if order is None or len(content) < 8:
         return
-    try:
-        magic, at = struct.unpack_from(order + "HI", content, 2)
-        seen: set[int] = set()
-        while magic == 42 and at and at not in seen:
-            seen.add(at)
+    magic, at = struct.unpack_from(order + "HI", content, 2)
+    seen: set[int] = set()
+    while magic == 42 and at and at not in seen:
+        seen.add(at)
+        try:
             fields, at = _directory(content, at, order)
-            yield _page(content, fields, order)
-    except (struct.error, ValueError, KeyError, IndexError, TypeError, zlib.error):
-        return
+        except struct.error as e:
+            yield Page(error=f"directory: {e}")
+            return
+        yield _page(content, fields, order)
 
 
 def write_page(data: bytes, width: int, compression: int = DEFLATE, predictor: int = 1, tile: int = 0, rows_per_strip: int = 256) -> tuple[dict, list[bytes]]:
@@ -265,9 +294,8 @@ def write_file(made: list[tuple[dict, list[bytes]]], order: str = "<") -> bytes:
     return bytes(out)
 
 
-#: How a text's payload is stored: compression, predictor, side of tiles. LZW is for short ones only.
+#: How a text's payload is stored: compression, predictor, side of tiles.
 _FORMS = ((DEFLATE, 2, 0), (PACKBITS, 1, 0), (DEFLATE, 1, 64), (LZW, 2, 0))
-_LZW_BYTES = 1024
 
 
 def payload_of(text: str | None) -> bytes:
@@ -277,8 +305,6 @@ def payload_of(text: str | None) -> bytes:
 
 def store(payload: bytes, page_bytes: int = PAGE_BYTES) -> bytes:
     compression, predictor, tile = _FORMS[zlib.crc32(payload) % len(_FORMS)]
-    if compression == LZW and len(payload) > _LZW_BYTES:
-        compression, predictor, tile = _FORMS[0]
     return write_file([write_page(payload[at : at + page_bytes], 64, compression, predictor, tile) for at in range(0, len(payload), page_bytes)])
 
 
@@ -295,46 +321,88 @@ def text_media(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return map_batches(rows, make, "doc_id long, n_bytes long, content binary")
 
 
-def tiff_pages(files: DataFrame, key: str, content: str = "content") -> DataFrame:
-    """A row for each page: key, page, width, height, samples, bits, compression, predictor, data."""
+def tiff_pages(files: DataFrame, key: str, content: str = "content", keep: Sequence[str] = ()) -> DataFrame:
+    """A row for each page: key, page, width, height, samples, bits, compression, predictor, data, error, and the columns to keep.
+
+    A file's pages follow each other in one partition.
+    """
+    names = ("width", "height", "samples", "bits", "compression", "predictor", "data", "error")
 
     def make():
-        def step(c: dict) -> dict:
-            found = [(i, k, p) for i, b in zip(c["key"], c["content"], strict=True) for k, p in enumerate(pages(b))]
-            out = {"key": [i for i, _, _ in found], "page": [k for _, k, _ in found]}
-            return out | {n: [getattr(p, n) for _, _, p in found] for n in ("width", "height", "samples", "bits", "compression", "predictor", "data")}
+        def step(part: pa.RecordBatch) -> dict:
+            found = [(at, k, p) for at, b in enumerate(part.column("content").to_pylist()) for k, p in enumerate(pages(b))]
+            out = {n: [getattr(p, n) for _, _, p in found] for n in names}
+            rows = pa.array([at for at, _, _ in found], pa.int64())
+            return out | {"page": [k for _, k, _ in found]} | {f"kept{k}": part.column(f"kept{k}").take(rows) for k in range(1 + len(keep))}
 
         return step
 
-    rows = files.select(F.col(key).cast("long").alias("key"), F.col(content).alias("content"))
-    schema = "key long, page int, width int, height int, samples int, bits int, compression int, predictor int, data binary"
-    return map_batches(rows, make, schema).withColumnRenamed("key", key)
+    rows = files.select(*(F.col(c).alias(f"kept{k}") for k, c in enumerate((key, *keep))), F.col(content).alias("content"))
+    kept = ", ".join(f"kept{k} {files.schema[c].dataType.simpleString()}" for k, c in enumerate((key, *keep)))
+    schema = f"{kept}, page int, width long, height long, samples int, bits int, compression int, predictor int, data binary, error string"
+    made = map_slices(rows, make, schema, rows=64)
+    return made.select(F.col("kept0").alias(key), "page", *names, *(F.col(f"kept{k}").alias(c) for k, c in enumerate(keep, 1)))
+
+
+class Samples:
+    """What is told of a payload, page by page: its digest, its end, and counts of samples."""
+
+    def __init__(self):
+        self.sha, self.tail, self.counts, self.steps = hashlib.sha256(), b"", np.zeros(256, dtype=np.int64), 0
+
+    def add(self, data: bytes) -> None:
+        x = np.frombuffer(self.tail[-1:] + data, dtype=np.uint8)
+        self.steps += int(np.count_nonzero(x[1:] != x[:-1]))
+        self.counts += np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
+        self.sha.update(data)
+        self.tail = (self.tail + data[-64:])[-64:]
+
+    def feature(self) -> str:
+        """Mean, deviation and entropy of the samples, and the share that differs from the one before."""
+        n, value = int(self.counts.sum()), np.arange(256)
+        mean = float(self.counts @ value) / n
+        deviation = float(np.sqrt(self.counts @ (value - mean) ** 2 / n))
+        share = self.counts[self.counts > 0] / n
+        return f"mean={mean:.4f};std={deviation:.4f};entropy={-float(share @ np.log2(share)):.4f};steps={self.steps / max(1, n - 1):.4f}"
 
 
-def features(data: bytes) -> str:
-    """Mean, deviation and entropy of the samples, and how many differ from their left neighbour."""
-    x = np.frombuffer(data, dtype=np.uint8)
-    share = np.bincount(x, minlength=256) / len(x)
-    entropy = -float((share[share > 0] * np.log2(share[share > 0])).sum())
-    steps = float((x[1:] != x[:-1]).mean())
-    return f"mean={x.mean():.4f};std={x.std():.4f};entropy={entropy:.4f};steps={steps:.4f}"
+_DIGEST = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
+    ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("pages", pa.int32()),
+])
 
 
 def media_digests(media: DataFrame) -> DataFrame:
     """What the stored files of text_media hold, read back page by page."""
+    files = media.select("doc_id", "n_bytes", "content", F.octet_length("content").cast("long").alias("media_bytes"), F.sha2("content", 256).alias("media_sha256"))
+    found = tiff_pages(files, "doc_id", keep=("n_bytes", "media_bytes", "media_sha256"))
 
-    def make():
-        def step(c: dict) -> dict:
-            out: dict = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pages")}
-            for i, n, content in zip(c["doc_id"], c["n_bytes"], c["content"], strict=True):
-                found = [p.data for p in pages(content)]
-                payload = b"".join(found)
-                values = (i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(content), hashlib.sha256(content).hexdigest(), features(payload), len(found))
-                for name, x in zip(out, values, strict=True):
-                    out[name].append(x)
-            return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done = None, []  # a file's columns, its samples and pages so far
 
-        return step
+        def close() -> None:
+            if now:
+                (doc, n, size, sha), x, k = now
+                done.append((doc, n, int(x.counts.sum()), x.sha.hexdigest(), zlib.crc32(x.tail), size, sha, x.feature(), k))
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*done, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
+            done.clear()
+            return out
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
-    return map_batches(media, make, schema)
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 3)]
+            for *file, page, data in zip(*columns, batch.column(4).to_pylist(), (batch.column(5)[k].as_py() for k in range(batch.num_rows)), strict=True):
+                if page == 0:
+                    close()
+                    now = (tuple(file), Samples(), 0)
+                now[1].add(data)
+                now = (now[0], now[1], now[2] + 1)
+            if done:
+                yield flush()
+        close()
+        if done:
+            yield flush()
+
+    ordered = found.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "data")
+    return ordered.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int")

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import struct
 import zlib
@@ -42,7 +43,7 @@ def test_pages_round_trip(order, form):
             found = list(pages(file))
             assert [p.data for p in found] == data and {(p.width, p.compression, p.predictor) for p in found} == {(50, form, predictor)}
             for cut in (0, 3, 8, 20, len(file) // 2, len(file) - 2):
-                assert len(list(pages(file[:cut]))) <= 3
+                assert len([p for p in pages(file[:cut]) if not p.error]) <= 3
 
 
 def _colour(order, planar, predictor=2):
@@ -90,8 +91,62 @@ def test_directories_in_a_loop_are_read_once():
 def test_column_of_files(spark):
     file = write_file([write_page(b"a" * 64, 8), write_page(b"b" * 32, 8, PACKBITS)])
     rows = spark.createDataFrame([(1, file), (2, None), (3, b""), (4, b"II*\0junk"), (None, file)], "id long, content binary")
-    found = sorted(((r["id"] or -1, r["page"], r["width"], r["height"], bytes(r["data"])) for r in tiff_pages(rows, "id").collect()))
-    assert found == [(i, k, 8, h, d) for i in (-1, 1) for k, h, d in ((0, 8, b"a" * 64), (1, 4, b"b" * 32))]
+    found = tiff_pages(rows, "id").collect()
+    assert sorted((r["id"] or -1, r["page"], r["width"], r["height"], bytes(r["data"])) for r in found if not r["error"]) == [(i, k, 8, h, d) for i in (-1, 1) for k, h, d in ((0, 8, b"a" * 64), (1, 4, b"b" * 32))]
+    assert [(r["id"], r["page"], r["data"]) for r in found if r["error"]] == [(4, 0, None)]
+
+
+def _set(file, tag, value, nth=0):
+    """The file with another first value of a field in its nth directory."""
+    out, at = bytearray(file), struct.unpack_from("<I", file, 4)[0]
+    for k in range(nth + 1):
+        (n,) = struct.unpack_from("<H", out, at)
+        if k < nth:
+            (at,) = struct.unpack_from("<I", out, at + 2 + 12 * n)
+    place = next(at + 2 + 12 * k for k in range(n) if struct.unpack_from("<H", out, at + 2 + 12 * k)[0] == tag)
+    struct.pack_into("<I", out, place + 8, value)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("tile", [0, 16])
+def test_damaged_pages_cost_no_others(spark, tile):
+    """Fields of 0, sizes out of all proportion, forms that aren't read, damaged blocks: an error, and the walk goes on."""
+    data = [bytes([k]) * 64 for k in range(3)]
+    file = write_file([write_page(d, 8, DEFLATE, 1, tile) for d in data])
+    sizes = (322, 323) if tile else (278,)
+    cases = [_set(file, tag, 0, 1) for tag in (256, 257, 277, *sizes)]
+    cases += [_set(_set(file, 256, 200_000, 1), 257, 4_000_000, 1), _set(file, 258, 1, 1), _set(file, 259, 7, 1), _set(file, 317, 3, 1), _set(file, 324 if tile else 273, 4, 1), _set(file, 325 if tile else 279, 1, 1), _set(file, 277, 10**6, 1)]
+    cases += [_set(_set(file, 277, 0, 1), 258, 8, 1)]
+    rows = spark.createDataFrame(list(enumerate(cases)), "id long, content binary")
+    found = tiff_pages(rows, "id").collect()
+    assert len(found) == 3 * len(cases)
+    for r in found:
+        assert (r["data"] is None and r["error"]) if r["page"] == 1 else (bytes(r["data"]) == data[r["page"]] and r["error"] is None)
+
+
+def test_feature_a_second_way():
+    text = "Ein kurzer Text, zweimal. " * 90
+    (page,) = (bytes(tiff.payload_of(text)),)
+    one, two = tiff.Samples(), tiff.Samples()
+    one.add(page)
+    for at in range(0, len(page), 64):
+        two.add(page[at : at + 64])
+    counts = {b: page.count(bytes([b])) / len(page) for b in set(page)}
+    mean = sum(page) / len(page)
+    want = (mean, math.sqrt(sum((b - mean) ** 2 for b in page) / len(page)), -sum(p * math.log2(p) for p in counts.values()), sum(a != b for a, b in zip(page, page[1:])) / (len(page) - 1))
+    assert one.feature() == two.feature() == "mean=%.4f;std=%.4f;entropy=%.4f;steps=%.4f" % want
+    assert two.sha.hexdigest() == hashlib.sha256(page).hexdigest() and two.tail == page[-64:]
+
+
+def test_all_forms_store_texts_of_any_length():
+    rng = random.Random(9)
+    forms = set()
+    for k in range(60):
+        payload = tiff.payload_of("".join(rng.choice("abc de, é") for _ in range(rng.choice((10, 900, 5000, 30000)))))
+        found = list(pages(tiff.store(payload)))
+        assert b"".join(p.data for p in found) == payload
+        forms.add((found[0].compression, len(payload) > 1024))
+    assert {(f, x) for f in (LZW, DEFLATE, PACKBITS) for x in (False, True)} <= forms
 
 
 def test_texts_as_media(docs, none, monkeypatch):
