@@ -13,20 +13,18 @@ each source's boundary cell are ranked.
 
 Defined results: a null text has size 0; null is a source of its own, last in order. A
 source without words has target 0. Rows that repeat an id are each a document; their order
-in a cell follows their size. An empty table gives none. Other columns are not looked at.
+in a cell follows their size. An empty table gives none. Other columns are not looked at and, in the mix,
+come back as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANKS, written
+from millrace.llm.common import written
 
 #: Hexadecimal digits of a hash that give the cell, and those that give the order in it.
 CELL_DIGITS, ORDER_DIGITS = 4, 12
@@ -87,7 +85,7 @@ def _plan(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs:
     edge = spent.alias("e").join(targets.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source")))
     edge = edge.where("e.spent < t.rest and e.spent + e.words >= t.rest").select("e.source", F.col("e.cell").alias("edge"), (F.col("t.rest") - F.col("e.spent")).alias("left"))
     plan = targets.alias("t").join(edge.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
-    return written(plan.select(F.col("t.source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"), F.coalesce("edge", F.lit(-1)).alias("_edge"), F.coalesce("left", F.lit(0)).alias("_left")), "plan")
+    return written(plan.select(F.col("t.source").alias("of"), "source_size", "target", "whole", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("left", F.lit(0)).alias("left")), "plan")
 
 
 #: Most sources whose plan is broadcast; the plan of more is joined by shuffles, where Spark splits large sources.
@@ -95,56 +93,48 @@ BROADCAST_SOURCES = 100_000
 
 
 def _drawn(docs: DataFrame, seed: int, text: str, key: str, source: str) -> DataFrame:
-    """docs with a size, and a cell and an order in it that seed and key decide."""
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
+    """Each row of docs as a struct `doc`, its id, source and size, and a cell and an order in it that seed and id decide."""
+    column = lambda name: F.col(f"`{name}`")
+    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(column(key).cast("string"), F.lit(""))))
     number = lambda at, n: F.conv(F.substring(draw, at, n), 16, 10).cast("long")
-    return docs.withColumns({"_source": F.col(source), "_size": word_count(F.col(text)), "_cell": number(1, CELL_DIGITS), "_order": number(1 + CELL_DIGITS, ORDER_DIGITS)})
+    return docs.select(
+        F.struct(*map(column, docs.columns)).alias("doc"), column(key).alias("id"), column(source).alias("source"),
+        word_count(column(text)).alias("size"), number(1, CELL_DIGITS).alias("cell"), number(1 + CELL_DIGITS, ORDER_DIGITS).alias("order"),
+    )
 
 
-def _taken(drawn: DataFrame, key: str, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
+def _taken(drawn: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
     """drawn with the words taken of each row."""
-    plan = _plan(drawn.select(F.col("_source").alias("source"), F.col("_cell").alias("cell"), F.col("_size").alias("size")), weights, share, max_epochs)
-    plan = plan.withColumnRenamed("_source", "_s")
+    plan = _plan(drawn.select("source", "cell", "size"), weights, share, max_epochs)
     plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    found = drawn.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
-    base = F.col("_whole") * F.col("_size")
-    away = found.where("_cell != _edge").withColumn("_taken", base + F.when(F.col("_cell") < F.col("_edge"), F.col("_size")).otherwise(F.lit(0)))
-    inside = Window.partitionBy("_source").orderBy("_order", key, "_size").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.col("_left") - F.coalesce(F.sum("_size").over(inside), F.lit(0))
-    near = found.where("_cell = _edge").withColumn("_taken", base + F.greatest(F.lit(0), F.least("_size", left)))
+    found = drawn.join(plan, F.col("source").eqNullSafe(F.col("of")))
+    base = F.col("whole") * F.col("size")
+    away = found.where("cell != edge").withColumn("taken", base + F.when(F.col("cell") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
+    inside = Window.partitionBy("source").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("left") - F.coalesce(F.sum("size").over(inside), F.lit(0))
+    near = found.where("cell = edge").withColumn("taken", base + F.greatest(F.lit(0), F.least("size", left)))
     return away.unionByName(near)
 
 
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted). Reruns give the same."""
-    drawn = written(_drawn(docs.select(key, text, source), seed, text, key, source).drop(text), "sizes")
-    found = _taken(drawn, key, weights, share, max_epochs)
-    return found.select(F.col(key).alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").cast("long").alias("taken"))
+    drawn = written(_drawn(docs, seed, text, key, source).drop("doc"), "sizes")
+    return _taken(drawn, weights, share, max_epochs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
-_WORD = re.compile(f"[^{BLANKS}]+")
-
-
-def first_words(text: str, n: int) -> str:
+def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its nth word."""
-    end = 0
-    for m in islice(_WORD.finditer(text), n):
-        end = m.end()
-    return text[:end]
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0, text: str = "text", key: str = "doc_id", source: str = "source") -> DataFrame:
     """The mix itself, with the columns of docs: a row for each whole repetition of a document, and one cut to the words taken for a fraction."""
-    found = _taken(_drawn(docs, seed, text, key, source), key, weights, share, max_epochs)
-    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int")
-    repeated = found.where(whole > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), whole))).select(*docs.columns)
-    part = found.where((F.col("_size") > 0) & (F.col("_taken") % F.col("_size") > 0))
-
-    @F.pandas_udf("string")
-    def cut(texts: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([first_words(t, k) for t, k in zip(texts, n, strict=True)], dtype=object)
-
-    part = part.withColumn(text, cut(F.col(text), F.col("_taken") % F.col("_size")))
+    found = _taken(_drawn(docs, seed, text, key, source), weights, share, max_epochs).where("size > 0")
+    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
+    repeated = found.where(whole > 0).select("doc", F.explode(F.sequence(F.lit(1), whole))).select("doc.*")
+    column = {c: F.col(f"doc.`{c}`") for c in docs.columns}
+    column[text] = first_words(column[text], F.col("taken") % F.col("size")).cast(docs.schema[text].dataType)
     if "n_chars" in docs.columns:
-        part = part.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return repeated.unionByName(part.select(*docs.columns))
+        column["n_chars"] = F.length(column[text]).cast(docs.schema["n_chars"].dataType)
+    part = found.where(F.col("taken") % F.col("size") > 0).select(*(x.alias(c) for c, x in column.items()))
+    return repeated.unionByName(part)

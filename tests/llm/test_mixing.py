@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from millrace.llm.mixing import first_words, mix_documents, mix_sources
 
 
@@ -80,5 +82,24 @@ def test_empty_table_and_rows_without_words(none, spark):
     assert [(r["size"], r["target"], r["taken"]) for r in mix_sources(blank).collect()] == [(0, 0.0, 0)] * 2
 
 
-def test_first_words():
-    assert first_words(" a  b\nc ", 2) == " a  b" and first_words("a b", 0) == "" and first_words("a\xa0b c", 1) == "a\xa0b"
+def test_first_words(spark):
+    cases = [(" a  b\nc ", 2, " a  b"), ("a b", 0, ""), ("a\xa0b c", 1, "a\xa0b"), ("\x0ba\x1cb\x0c c", 1, "\x0ba\x1cb")]
+    found = spark.createDataFrame(cases, "t string, n long, want string").select(first_words(F.col("t"), F.col("n")).alias("x"), "want")
+    assert all(r["x"] == r["want"] for r in found.collect())
+
+
+def test_mix_of_hard_rows_keeps_columns_of_any_name(docs):
+    """Also such as the operator itself uses: each row of the mix is a document's, cut behind a word."""
+    names = ["doc", "id", "cell", "order", "taken", "of", "left", "edge", "whole", "target", "source_size", "_size", "_source", "_cell", "_order", "_taken", "_copy"]
+    wide = docs.withColumns({x: F.concat(F.lit(x), F.coalesce(F.col("n").cast("string"), F.lit(""))) for x in names})
+    rows = {r["n"]: r for r in wide.collect()}
+    mixed, total = mix_documents(wide, seed=3), {}
+    assert mixed.columns == wide.columns
+    for r in mixed.collect():
+        of = rows[r["n"]]
+        assert of["text"].startswith(r["text"]) and all(r[c] == of[c] for c in wide.columns if c not in ("text", "n_chars"))
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + words(r["text"])
+    want = {}
+    for r in mix_sources(docs, seed=3).where("taken > 0").collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
+    assert total == want
