@@ -1,9 +1,12 @@
+import math
+import struct
 import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm.sharding import rendezvous, shard_documents
+from millrace.llm.sharding import _dealt, rendezvous, shard_documents
 
 
 def test_rows_slots_and_growth(docs):
@@ -17,6 +20,37 @@ def test_rows_slots_and_growth(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def _winner(key, weights, salt="millrace"):
+    """The shard of the highest score, from hashes chained over salt, key and shard; a null key leaves the hash as it is."""
+    best = None
+    for shard, weight in enumerate(weights):
+        h = xxhash.xxh64_intdigest(salt.encode(), 42)
+        h = h if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        u = ((xxhash.xxh64_intdigest(struct.pack("<i", shard), h) >> 12) + 0.5) / 2**52
+        best = max(best or (-1, -1), (-weight / math.log(u), shard)) if weight else best
+    return best[1]
+
+
+def test_winning_shards_a_second_way(docs):
+    weights = [1.0, 2.5, 0.0, 0.3] * 10
+    for r in shard_documents(docs, weights, grown=2.0).collect():
+        assert (r["shard"], r["grown_shard"]) == (_winner(r["doc_id"], weights), _winner(r["doc_id"], [*weights, 2.0]))
+
+
+def test_rows_of_one_key_are_ranked_in_parts(spark):
+    """Equal rows, rows without a key, and others: slots have no gaps, and no window holds many of them."""
+    rows = spark.range(6000).select(F.when(F.col("id") < 2000, 7).when(F.col("id") > 3000, F.col("id")).alias("doc_id"), F.when(F.col("id") < 2000, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    docs = rows.repartition(16)
+    found = shard_documents(docs, [1.0] * 4, hot=50)
+    slots = {}
+    for r in found.collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sum(map(len, slots.values())) == 6000 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    placed = docs.select(F.lit(1).alias("shard"), F.coalesce("doc_id", F.lit(-1)).cast("int").alias("cell"), F.spark_partition_id().alias("part"))
+    sizes = _dealt(placed, 50).groupBy("cell", "part").count().toPandas()
+    assert sizes["count"].max() < 400 and set(sizes[sizes["cell"] > 3000]["part"]) == {0}
+
+
 def test_equal_keys_meet_and_other_columns_do_not_matter(docs):
     one = {(r["doc_id"], r["shard"]) for r in shard_documents(docs, [1.0] * 40).collect()}
     other = docs.withColumn("text", F.lit("x")).repartition(5)
