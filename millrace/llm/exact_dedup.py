@@ -9,7 +9,8 @@ Texts are equal when they are identical after deleting every blank character
    capacity is split on the next bit. When its depth passes the directory's, the
    directory doubles. A bucket is therefore a range of keys.
 3. Texts whose key may occur more than once, by a bitmap of fixed size over such keys, go
-   to the task that owns their bucket, equal texts of a batch merged beforehand. The owner
+   to the task that owns their bucket. Equal texts of a task are merged beforehand, and then those
+   of a few tasks each, so an owner gets SALTS copies of a text at most, however often it occurs. The owner
    walks its keys in order, chains different texts of one key, and compares bytes. A
    bitmap that fills up lets more texts through; it never holds back one that is needed.
 4. Rows get their group's verdict. Groups with a large share of all rows are broadcast.
@@ -31,10 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANKS, Bitmap, join_groups, map_batches, without, written
+from millrace.llm.common import BLANKS, Bitmap, join_groups, map_batches, slices, unused, without, written
 
 _DROP = BLANKS.encode()
 
+#: Tasks that merge the copies of one text before its owner does, and bytes of texts that a task holds to merge them.
+SALTS, MERGED = 16, 64 << 20
+
 #: Deepest directory: 2 ** 20 entries of 4 bytes. Fuller buckets stay as they are.
 MAX_DEPTH = 20
 
@@ -102,34 +106,71 @@ def build_directory(counts: DataFrame, capacity: int) -> np.ndarray:
     return directory
 
 
-def _texts(rows: DataFrame, bits: int, directory: np.ndarray, contested: Bitmap) -> DataFrame:
-    """Owner, key and bytes of each text that may have a copy; the equal texts of a batch are one row."""
-    depth = int(np.log2(len(directory)))
+_TEXT = pa.schema([("owner", pa.int32()), ("key", pa.int64()), ("norm", pa.binary()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("size", pa.int64())])
+_TEXT_DDL = "owner int, key long, norm binary, n_chars long, doc_id long, size long"
 
-    def make():
-        def step(c: dict) -> dict:
-            found: dict = {}
-            keyed = [_keys(t, bits) for t in c["text"]]
-            needed = contested.holds(np.array([k for _, k in keyed], dtype=np.int64))
-            for i, t, (norm, key), need in zip(c["doc_id"], c["text"], keyed, needed, strict=True):
-                if not need:
-                    continue
-                best = (-len(t or ""), i is None, i or 0)
-                known = found.get((key, norm))
-                found[key, norm] = (min(known[0], best), known[1] + 1) if known else (best, 1)
-            prefix = [(k + 2**63) >> (64 - depth) for k, _ in found]
-            return {
-                "owner": directory[np.array(prefix, dtype=np.int64)],
-                "key": [k for k, _ in found],
-                "norm": [n for _, n in found],
-                "n_chars": [-b[0] for b, _ in found.values()],
-                "doc_id": [None if b[1] else b[2] for b, _ in found.values()],
-                "size": [n for _, n in found.values()],
-            }
 
-        return step
+class _Merged:
+    """Equal texts as one: the best row's characters and id, and how many rows there are. What is held is bounded in bytes."""
+
+    def __init__(self):
+        self.found: dict[tuple, list] = {}
+        self.bytes = 0
+
+    def add(self, owner: int, key: int, norm: bytes, best: tuple, n: int) -> None:
+        known = self.found.get((key, norm))
+        if known:
+            known[1], known[2] = min(known[1], best), known[2] + n
+        else:
+            self.found[key, norm] = [owner, best, n]
+            self.bytes += len(norm) + 300
+
+    def flush(self) -> pa.RecordBatch:
+        rows = self.found
+        columns = ([v[0] for v in rows.values()], [k for k, _ in rows], [n for _, n in rows], [-v[1][0] for v in rows.values()], [None if v[1][1] else v[1][2] for v in rows.values()], [v[2] for v in rows.values()])
+        out = pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(columns, _TEXT, strict=True)], schema=_TEXT)
+        self.__init__()
+        return out
+
+
+def _texts(rows: DataFrame, bits: int, directory: np.ndarray, contested: Bitmap) -> DataFrame:
+    """Owner, key and bytes of each text that may have a copy; the equal texts of a task are one row."""
+    depth = int(np.log2(len(directory)))
 
-    return map_batches(rows, make, "owner int, key long, norm binary, n_chars long, doc_id long, size long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = _Merged()
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(1).to_pylist()
+                keyed = [_keys(t, bits) for t in texts]
+                needed = contested.holds(np.array([k for _, k in keyed], dtype=np.int64))
+                for i, t, (norm, key), need in zip(part.column(0).to_pylist(), texts, keyed, needed, strict=True):
+                    if need:
+                        merged.add(int(directory[(key + 2**63) >> (64 - depth)]), key, norm, (-len(t or ""), i is None, i or 0), 1)
+                if merged.bytes > MERGED:
+                    yield merged.flush()
+        if merged.found:
+            yield merged.flush()
+
+    return rows.mapInArrow(run, _TEXT_DDL)
+
+
+def _fewer(texts: DataFrame) -> DataFrame:
+    """Copies from many tasks as SALTS at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merged = _Merged()
+        for batch in batches:
+            for part in slices(batch):
+                for owner, key, norm, chars, i, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    merged.add(owner, key, norm, (-chars, i is None, i or 0), n)
+                if merged.bytes > MERGED:
+                    yield merged.flush()
+        if merged.found:
+            yield merged.flush()
+
+    salted = texts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    return salted.repartition("key", "salt").drop("salt").mapInArrow(run, _TEXT_DDL)
 
 
 _GROUP = pa.schema([("key", pa.int64()), ("digest", pa.string()), ("chain", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -183,7 +224,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, ke
     counts = written(index.groupBy("key").agg(F.count("*").alias("n")), "counts")
     directory = build_directory(counts, max(bucket, counts.count() // 65536))
     owned = _texts(rows, key_bits, directory, Bitmap(counts.where("n > 1").select("key"), "key", bitmap))
-    groups = written(owned.repartition("owner").sortWithinPartitions("key").mapInArrow(_own, "key long, digest string, chain int, keep_id long, group_size long"), "groups")
+    groups = written(_fewer(owned).repartition("owner").sortWithinPartitions("key").mapInArrow(_own, "key long, digest string, chain int, keep_id long, group_size long"), "groups")
     found = join_groups(index, groups, ["key", "digest"], "group_size")
     alone = F.col("group_size").isNull()
     return found.select(
@@ -208,7 +249,10 @@ def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", **opti
     repeated = ids.where("_rows > 1").select("_id")
     if repeated.isEmpty():
         return single
-    many = docs.join(F.broadcast(repeated) if repeated.count() <= 1_000_000 else repeated, F.col(key).eqNullSafe(F.col("_id")), "left_semi")
+    name = unused("_id", docs.columns)
+    repeated = repeated.toDF(name)
+    repeated = F.broadcast(repeated) if repeated.count() <= 1_000_000 else repeated
+    many = docs.join(repeated, docs[key].eqNullSafe(repeated[name]), "left_semi")
     digest = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), BLANKS, "").cast("binary"), 256)
     # one row of each id and text, by partial minima, then those whose text's group keeps that id
     order = F.struct(-F.length(F.coalesce(F.col(text), F.lit(""))), F.col(text))

@@ -77,3 +77,22 @@ def test_drop_copies_leaves_one_row_for_each_text(docs):
     want = sorted({norm(r["text"]) for r in docs.collect()})
     for table in (docs, docs.withColumn("doc_id", F.lit(None).cast("long")), docs.withColumn("doc_id", F.lit(1).cast("long"))):
         assert sorted(norm(r["text"]) for r in drop_copies(table).collect()) == want
+
+
+def test_owners_get_few_copies_of_a_text_that_is_everywhere(spark):
+    """A text in many tasks is merged in each, then in SALTS; also where tasks hold little at a time."""
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 20 == 0, F.lit("everywhere")).otherwise(F.concat(F.lit("t"), (F.col("id") / 2).cast("int").cast("string"))).alias("text")).repartition(40)
+    every = exact_dedup.Bitmap(spark.range(2000), "id", most=64)
+    rows = exact_dedup._texts(docs, 64, np.zeros(1, dtype=np.int32), every)
+    copies = lambda df: df.where("norm = cast('everywhere' as binary)").select("size").toPandas()["size"]
+    assert len(copies(rows)) == 40 and copies(rows).sum() == 200
+    fewer = exact_dedup._fewer(rows)
+    assert len(copies(fewer)) <= exact_dedup.SALTS and copies(fewer).sum() == 200 and fewer.agg(F.sum("size")).first()[0] == 4000
+
+
+def test_columns_with_the_operator_s_names_come_back(docs):
+    names = ["_gone", "_id", "_sha", "_row", "_kept", "_rows", "owner", "salt", "norm"]
+    wide = docs.withColumns({x: F.concat(F.lit(x), F.col("n").cast("string")) for x in names})
+    stay = drop_copies(wide)
+    assert stay.columns == wide.columns and all(r[x] == f"{x}{r['n']}" for r in stay.collect() for x in names)
+    assert sorted(r["n"] for r in stay.collect()) and stay.count() == drop_copies(docs).count()
