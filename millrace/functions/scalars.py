@@ -1,7 +1,9 @@
-"""String, date, number, array, map and JSON functions, all built in and inside the JVM."""
+"""String, date, number, array and JSON functions, built in and inside the JVM; vector search and the UDF surface in Arrow batches."""
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -197,3 +199,14 @@ def udf_arrow_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
         return role + ": " + text.str.len().astype("int64").astype(str)
 
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", shown("role", "text").alias("shown"))
+
+
+@query("SELECT conv_id, turn, md5(strip_accents(text)) AS plain FROM conversations")
+def udf_strip_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What Spark has no function for: letters without their accents, by canonical decomposition."""
+    @F.pandas_udf("string")
+    def plain(text: pd.Series) -> pd.Series:
+        strip = lambda t: t if t is None or t.isascii() else "".join(c for c in unicodedata.normalize("NFD", t) if unicodedata.category(c) != "Mn")
+        return text.map(strip)
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(plain("text")).alias("plain"))

@@ -63,11 +63,6 @@ def agg_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _levels(table(spark, sf_dir, "orders").groupingSets([[status], [priority]], status, priority))
 
 
-@query("SELECT l_returnflag, median(l_quantity) AS mid, round(quantile_cont(l_extendedprice, 0.25), 4) AS low FROM lineitem GROUP BY l_returnflag")
-def agg_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).groupBy("l_returnflag").agg(F.median("l_quantity").alias("mid"), F.round(F.percentile("l_extendedprice", 0.25), 4).alias("low"))
-
-
 @query("""
 SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS var,
        round(corr(l_quantity, l_extendedprice), 6) AS corr, round(covar_samp(l_quantity, l_discount), 6) AS cov, round(kurtosis_pop(l_quantity), 6) AS kurt
@@ -91,14 +86,18 @@ def agg_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ",").alias("names"))
 
 
-@query("SELECT p_brand, mode(p_size) AS size FROM (SELECT p_brand, p_size FROM part GROUP BY p_brand, p_size, p_type HAVING p_size = 7) GROUP BY p_brand")
+_MODES = "SELECT p_brand, p_size AS size FROM (SELECT p_brand, p_size, count(*) AS n FROM part WHERE p_size IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) = 1"
+
+
+@query(_MODES)
 def agg_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where("p_size = 7").groupBy("p_brand").agg(F.mode("p_size").alias("size"))
+    """The most frequent size of each brand by the aggregate function, which keeps the few sizes there are; of sizes equally frequent the smallest."""
+    return table(spark, sf_dir, "part").where("p_size is not null").groupBy("p_brand").agg(F.mode("p_size", True).alias("size"))
 
 
-@query("SELECT p_brand, p_size AS size FROM (SELECT p_brand, p_size, count(*) AS n FROM part WHERE p_size IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) = 1")
+@query(_MODES)
 def agg_mode_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most frequent size of each brand over all parts; of sizes equally frequent the smallest."""
+    """The same for columns of many values: counted by value first."""
     sizes = table(spark, sf_dir, "part").where("p_size is not null").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"))
     return sizes.groupBy("p_brand").agg(F.max_by("p_size", F.struct("n", -F.col("p_size"))).alias("size"))
 

@@ -81,13 +81,17 @@ def stream_tumbling_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(stream(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(_start(), "n"), "complete")
 
 
-@query()
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows as the watermark closes them."""
     return run(in_order(spark, sf_dir, close=True).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(_start(), "event_type", "n"))
 
 
-@query()
+@query("""
+WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY user_id, s
+""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(in_order(spark, sf_dir, close=True).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", _start(), "n"))
 
@@ -113,19 +117,26 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Running totals by user kept in state of our own; the sink keeps the last of each user."""
+    """Totals by user in state of our own, given and forgotten once the user has been quiet for a day of event time."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    day = 24 * 60 * 60 * 1000
+
     def add(key, frames, state):
-        n, total = state.get if state.exists else (0, 0.0)
+        if state.hasTimedOut:
+            n, total, _ = state.get
+            state.remove()
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+            return
+        n, total, last = state.get if state.exists else (0, 0.0, 0)
         for f in frames:
             n, total = n + len(f), total + float(f["value"].sum())
-        state.update((n, total))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+            last = max(last, int(f["ts"].max().timestamp() * 1000))
+        state.update((n, total, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + day)
 
     schema = "user_id long, n long, total double"
-    totals = stream(spark, sf_dir).groupBy("user_id").applyInPandasWithState(add, schema, "n long, total double", "append", GroupStateTimeout.NoTimeout)
-    seen = run(totals)
-    last = seen.groupBy("user_id").agg(F.max(F.struct("n", "total")).alias("x"))
-    return last.select("user_id", "x.n", F.round("x.total", 4).alias("total"))
+    events = in_order(spark, sf_dir, close=True).select("user_id", "value", "ts")
+    totals = events.groupBy("user_id").applyInPandasWithState(add, schema, "n long, total double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    return run(totals).groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import __spark_entry__  # noqa: F401  registers the queries
+from millrace.operators.ordered import quantile, running_sum
 from millrace.registry import QUERIES
 
 
@@ -19,3 +20,33 @@ def test_full_join_has_all_rows_of_both(spark, sf_dir):
     for name, key in (("customer", "c_custkey"), ("part", "p_partkey")):
         assert sorted(found[key].dropna()) == sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{name}.parquet").select(key).collect())
     assert found["c_custkey"].isna().any() and found["p_partkey"].isna().any() and found.notna().all(axis=1).any()
+
+
+def test_mode_by_the_aggregate_function_is_the_same(spark, sf_dir):
+    pairs = lambda name: {(r["p_brand"], r["size"]) for r in QUERIES[name](spark, sf_dir).collect()}
+    assert pairs("agg_mode") == pairs("agg_mode_sizes")
+
+
+def test_running_sums_over_ranges(spark):
+    """Groups of any size, ties summed up beforehand, nulls in the group."""
+    rows = [(None if k % 11 == 0 else k % 3, (k * 37) % 501, k % 5) for k in range(501)]
+    found = running_sum(spark.createDataFrame(rows, "g int, x int, n long").repartition(7), ["g"], ["x"], "n").collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["running"] == sum(n for g, x, n in rows if g == r["g"] and x <= r["x"])
+
+
+def test_quantiles_of_small_groups(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 10.0), ("b", 5.0), ("c", None), ("b", 5.0)]
+    found = quantile(spark.createDataFrame(rows, "g string, x double"), "g", "x", 0.25, "q").collect()
+    assert {r["g"]: r["q"] for r in found} == {"a": 1.5, "b": 5.0}
+
+
+def test_shares_are_no_window_over_brands(spark, sf_dir):
+    assert "Window" not in QUERIES["report_share_of_brand"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_state_of_quiet_users_is_given_up(spark, sf_dir):
+    """Totals are whole though each user's state goes after a day."""
+    want = {r["user_id"]: r["n"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count().withColumnRenamed("count", "n").collect()}
+    assert {r["user_id"]: r["n"] for r in QUERIES["stream_custom_state"](spark, sf_dir).collect()} == want
