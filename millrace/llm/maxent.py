@@ -39,14 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_slices, slices, written
+from millrace.llm.common import in_arrow, map_slices, slices, written
 
 FAN, KINDS = 16, 16
 #: Tokens that are outcomes, and tokens whose counts tasks hold, at most.
 LEAVES, KNOWN = FAN**4 - KINDS, 1 << 17
 #: Rows of weights, FAN each, of a small vocabulary, and the most of a large one.
 ROWS, MOST_ROWS = 1 << 16, 1 << 18
-#: Tokens of a gradient step. Places in a step's rows fit in 16 bits.
+#: Tokens of a gradient step, a power of two. Places in a step's rows fit in 16 bits.
 STEP = 8192
 #: Rows of weights that travel together.
 CHUNK = 2048
@@ -59,7 +59,9 @@ END = b""
 FEATURES = 5
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-_MARKS = tuple(frozenset(x) for x in ("äöüß", "éèêçàùâîôû", "ñóíáú¿¡"))
+_MARKS = ("äöüß", "éèêçàùâîôû", "ñóíáú¿¡")
+#: What a token ends with, by its last byte: 1 and 2 for full stop and comma, 3 for what else isn't a letter.
+_ENDS = np.array([1 if b == 46 else 2 if b == 44 else 3 if b < 128 and not chr(b).isalpha() else 0 for b in range(256)])
 _ONES = np.ones(FAN, dtype=np.float32)
 
 
@@ -72,15 +74,20 @@ def _part(word: str, parts: int) -> F.Column:
     return F.crc32(F.concat(F.lit(word), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")) % parts
 
 
-def kind(token: bytes) -> int:
-    """How a token looks: its letters' marks, and what it ends with."""
-    last = token[-1:]
-    end = 1 if last == b"." else 2 if last == b"," else 3 if last and last[0] < 128 and not last.isalpha() else 0
-    marks = 0
-    if not token.isascii():
-        text = frozenset(token.decode("utf-8", "replace"))
-        marks = next((k for k, m in enumerate(_MARKS, 1) if text & m), 0)
-    return marks * 4 + end
+def kinds(words: pa.Array) -> np.ndarray:
+    """How tokens look: their letters' marks, and what they end with."""
+    words = words.cast(pa.string())
+    bounds = np.frombuffer(words.buffers()[1], dtype=np.int32, count=len(words) + words.offset + 1)[words.offset :]
+    data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    full = np.diff(bounds) > 0
+    out = np.zeros(len(words), dtype=np.int64)
+    out[full] = _ENDS[data[bounds[1:][full] - 1]]
+    other = np.flatnonzero(~pc.string_is_ascii(words).to_numpy(zero_copy_only=False))
+    marked = words.take(pa.array(other))
+    for k in range(len(_MARKS), 0, -1):  # the first that fits counts
+        some = other[pc.match_substring_regex(marked, f"[{_MARKS[k - 1]}]").to_numpy(zero_copy_only=False)]
+        out[some] = out[some] % 4 + 4 * k
+    return out
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -99,7 +106,7 @@ def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     starts = bounds[:-1] + np.arange(len(texts))
     out = np.full(bounds[-1] + len(texts), len(coded.dictionary), dtype=np.int64)  # the end, behind each text
     out[np.arange(bounds[-1]) + np.repeat(np.arange(len(texts)), np.diff(bounds))] = coded.indices.to_numpy()
-    return pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())]), out, starts
+    return pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)]).cast(pa.binary()), out, starts
 
 
 def n_rows(vocabulary: int) -> int:
@@ -176,9 +183,14 @@ def contexts(ids: np.ndarray, starts: np.ndarray, outcomes: int) -> np.ndarray:
     return out
 
 
-def rows_of(context: np.ndarray, node: np.ndarray, count: int = ROWS) -> np.ndarray:
-    """Rows of weights, of a power of two, of each feature at each token's node."""
-    x = (context + np.arange(1, FEATURES + 1, dtype=np.uint64)[:, None] * _C) * _A + node * _B
+def mixed(context: np.ndarray) -> np.ndarray:
+    """The features' values, each mixed with its number."""
+    return (context + np.arange(1, FEATURES + 1, dtype=np.uint64)[:, None] * _C) * _A
+
+
+def rows_of(values: np.ndarray, node: np.ndarray, count: int = ROWS) -> np.ndarray:
+    """Rows of weights, of a power of two, of each mixed feature at each token's node."""
+    x = values + node * _B
     x ^= x >> np.uint64(29)
     x *= _C
     x >>= np.uint64(65 - count.bit_length())
@@ -198,32 +210,32 @@ def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def log_chances(weights: np.ndarray, ids: np.ndarray, context: np.ndarray, tree: Tree) -> np.ndarray:
     """log10 of each outcome's probability."""
-    total = np.zeros(len(ids))
+    total, values = np.zeros(len(ids)), mixed(context)
     for live, node, branch in tree.levels(ids):
-        z = _chances(weights, rows_of(context[:, live], node, len(weights)))
+        z = _chances(weights, rows_of(values.take(live, axis=1), node, len(weights)))
         total[live] += np.log10(np.maximum(z[np.arange(len(live)), branch], 1e-30))
     return total
 
 
 def _sums(rows: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct row numbers and the sum of error over the tokens that use each. rows: FEATURES x tokens."""
-    flat = rows.ravel()
-    places = np.uint64(16)
-    both = np.sort(flat << places | np.arange(len(flat), dtype=np.uint64))  # quicker than to sort places by rows
-    found, token = both >> places, (both & np.uint64(0xFFFF)).astype(np.int64) % len(error)
-    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    times = np.diff(np.append(first, len(found)))
-    order = np.argsort(-times, kind="stable")  # rows of most tokens first, so those that have a kth are in front
-    first, times = first[order], times[order]
-    out = error.take(token[first], axis=0)
+    """Distinct row numbers and the sum of error over the tokens that use each. rows: FEATURES x tokens, STEP of them at most."""
+    place = np.arange(FEATURES, dtype=np.uint64)[:, None] * np.uint64(STEP) + np.arange(rows.shape[1], dtype=np.uint64)
+    both = np.sort((rows << np.uint64(16) | place).ravel())  # quicker than to sort places by rows
+    token = (both & np.uint64(STEP - 1)).view(np.int64)
+    both >>= np.uint64(16)
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    times = np.diff(np.append(first, len(both)))
+    order = np.argsort((0xFFFF - times).astype(np.uint16), kind="stable")  # rows of most tokens first, so those that have a kth are in front
+    first, times = first.take(order), times.take(order)
+    out = error.take(token.take(first), axis=0)
     nth, many = 1, int(np.searchsorted(-times, -1, side="left"))
-    while many > 16:
-        out[:many] += error.take(token[first[:many] + nth], axis=0)
+    while many > 48:
+        out[:many] += error.take(token.take(first[:many] + nth), axis=0)
         nth += 1
         many = int(np.searchsorted(-times[:many], -nth, side="left"))
     for k in range(many):
         out[k] += error.take(token[first[k] + nth : first[k] + times[k]], axis=0).sum(axis=0)
-    return found[first].astype(np.int64), out
+    return both.take(first).view(np.int64), out
 
 
 class Trainer:
@@ -234,8 +246,9 @@ class Trainer:
         self.updates = np.zeros(len(weights), dtype=np.float32)
 
     def step(self, ids: np.ndarray, context: np.ndarray) -> None:
+        values = mixed(context)
         for live, node, branch in self.tree.levels(ids):
-            rows = rows_of(context[:, live], node, len(self.weights))
+            rows = rows_of(values.take(live, axis=1), node, len(self.weights))
             error = _chances(self.weights, rows)
             error[np.arange(len(live)), branch] -= 1
             used, gradient = _sums(rows, error)
@@ -251,17 +264,14 @@ class Coder:
     """Outcomes of tokens. known: tokens by falling frequency, of which the first `leaves` are outcomes."""
 
     def __init__(self, known: list[bytes], leaves: int):
-        self.rank = {w: k for k, w in enumerate(known)}
-        self.leaves = leaves
+        self.known, self.leaves = pa.array(known, pa.binary()), leaves
 
     def __call__(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Outcome, and rank among the known or -1, of each token."""
-        words = distinct.to_pylist()
-        get = self.rank.get
-        rank = np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        rank = pc.fill_null(pc.index_in(distinct, value_set=self.known), -1).to_numpy().astype(np.int64)
+        away = np.flatnonzero((rank < 0) | (rank >= self.leaves))
         ids = rank + KINDS
-        for k in np.flatnonzero((rank < 0) | (rank >= self.leaves)).tolist():
-            ids[k] = kind(words[k])
+        ids[away] = kinds(distinct.take(pa.array(away)))
         return ids, rank
 
 
@@ -279,14 +289,23 @@ def _counts(rows: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _kind_column() -> F.Column:
-    from pyspark.sql.pandas.functions import pandas_udf
+def _kinds(words: DataFrame) -> np.ndarray:
+    """Tokens and distinct tokens of each kind."""
+
+    def make():
+        def step(part: pa.RecordBatch) -> dict:
+            kind = kinds(part.column("word"))
+            tokens = np.zeros(KINDS, dtype=np.int64)
+            np.add.at(tokens, kind, part.column("c").to_numpy())
+            return {"kind": np.arange(KINDS), "tokens": tokens, "types": np.bincount(kind, minlength=KINDS)}
 
-    @pandas_udf("int")
-    def of(words):
-        return words.map(kind)
+        return step
 
-    return of("word")
+    found = map_slices(words.select("word", "c"), make, "kind int, tokens long, types long", rows=1 << 16).groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types"))
+    out = np.zeros((KINDS, 2))
+    for r in found.collect():
+        out[r["kind"]] = r["tokens"], r["types"]
+    return out
 
 
 def _round(rows: DataFrame, known: list[bytes], leaves: int, weights: np.ndarray, tree: Tree, number: int, rounds: int, rate: float) -> np.ndarray:
@@ -323,8 +342,8 @@ def _round(rows: DataFrame, known: list[bytes], leaves: int, weights: np.ndarray
     tasks = -(-rows.rdd.getNumPartitions() // SPLITS) or 1
     schema = "chunk int, moved binary, times binary"
     mine = rows.where((_part("", 7) != 2) & (_part("round ", rounds) == number)).select("text")
-    learnt = mine.coalesce(tasks).mapInArrow(learn, schema)
-    found = learnt.repartition("chunk").mapInArrow(average, schema).collect()  # MOST_ROWS rows of weights at most
+    learnt = in_arrow(mine.coalesce(tasks), learn, schema)
+    found = in_arrow(learnt.repartition("chunk"), average, schema).collect()  # MOST_ROWS rows of weights at most
     new = weights.copy()
     for r in found:
         at = slice(r["chunk"], r["chunk"] + CHUNK)
@@ -358,10 +377,9 @@ def score_texts(docs: DataFrame, rounds: int = 2, rate: float = 0.3, text: str =
     known, counts = [w for w, _ in top], np.array([c for _, c in top], dtype=np.int64)
     leaves = min(LEAVES, len(known)) // (FAN - 1) * (FAN - 1)  # with KINDS more, no branch of the tree is without an outcome
     # tokens and distinct tokens of each kind, without those that have a leaf
-    kinds = {r["kind"]: [r["tokens"], r["types"]] for r in words.groupBy(_kind_column().alias("kind")).agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect()}
-    mass = np.array([kinds.get(k, [0, 0]) for k in range(KINDS)], dtype=float)
-    for w, c in zip(known[:leaves], counts, strict=False):
-        mass[kind(w)] -= (c, 1)
+    mass = _kinds(words)
+    if leaves:
+        np.subtract.at(mass, kinds(pa.array(known[:leaves], pa.binary())), np.stack([counts[:leaves], np.ones(leaves)], axis=1))
     shares = np.log10(mass.sum(axis=1) + 1)
     tree = Tree([*(mass[:, 0] + 1), *counts[:leaves]], [*[b""] * KINDS, *known[:leaves]])
 

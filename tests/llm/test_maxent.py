@@ -7,7 +7,15 @@ import pyarrow as pa
 import pytest
 
 from millrace.llm import maxent
-from millrace.llm.maxent import FAN, FEATURES, KINDS, ROWS, Coder, Trainer, Tree, coded, contexts, held_out, kind, log_chances, rows_of, score_texts, tokens
+from millrace.llm.maxent import FAN, FEATURES, KINDS, ROWS, Coder, Trainer, Tree, coded, contexts, held_out, kinds, log_chances, mixed, rows_of, score_texts, tokens
+
+
+def kind(token):
+    """How a token looks, a second way."""
+    last = token[-1:]
+    end = 1 if last == b"." else 2 if last == b"," else 3 if last and last[0] < 128 and not last.isalpha() else 0
+    marks = next((k for k, m in enumerate(("äöüß", "éèêçàùâîôû", "ñóíáú¿¡"), 1) if set(token.decode()) & set(m)), 0)
+    return marks * 4 + end
 
 
 def base(rows):
@@ -93,7 +101,10 @@ def test_sums_by_row():
 
 
 def test_kinds_and_codes():
+    words = [b"", b"ab.", "für,".encode(), b"x#", "é".encode(), "ñéü9".encode(), "¿qué?".encode(), "漢".encode(), b"-", b".a", "á,".encode()]
+    assert kinds(pa.array(words)).tolist() == [kind(w) for w in words] and kinds(pa.array(words).slice(2, 5)).tolist() == [kind(w) for w in words[2:7]]
     assert kind(b"") == 0 and kind(b"ab.") == 1 and kind("für,".encode()) == 6 and kind(b"x#") == 3
+    assert kinds(pa.array([], pa.binary())).tolist() == []
     ids, rank = Coder([b"the", b"of", b"y."], 2)(pa.array([b"the", b"x.", b"y."]))
     assert ids.tolist() == [16, 1, 1] and rank.tolist() == [0, -1, 2]
 
@@ -126,7 +137,7 @@ def plain_model(rows, rounds, rate):
             for n, x in enumerate(ids):
                 a, b, c = (ids[n - k] if n >= k else start for k in (1, 2, 3))
                 context = np.array([[a], [b], [a * (start + 1) + b], [c], [0]], dtype=np.uint64)
-                yield [(rows_of(context, np.array([tree.nodes[d, x]], dtype=np.uint16))[:, 0].tolist(), int(tree.branches[d, x])) for d in range(tree.depth[x])]
+                yield [(rows_of(mixed(context), np.array([tree.nodes[d, x]], dtype=np.uint16))[:, 0].tolist(), int(tree.branches[d, x])) for d in range(tree.depth[x])]
 
     def chances(at):
         z = np.exp(sum(weights[r] for r in at))
@@ -193,5 +204,5 @@ def test_rows_grow_with_the_vocabulary():
     assert maxent.n_rows(100) == ROWS and maxent.n_rows(1_000_000) == maxent.MOST_ROWS > ROWS
     rng = np.random.default_rng(2)
     context = rng.integers(0, 10**9, (FEATURES, 5000)).astype(np.uint64)
-    flat = rows_of(context, np.arange(5000, dtype=np.uint16), maxent.MOST_ROWS).ravel()
+    flat = rows_of(mixed(context), np.arange(5000, dtype=np.uint16), maxent.MOST_ROWS).ravel()
     assert ROWS <= flat.max() < maxent.MOST_ROWS
