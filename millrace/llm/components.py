@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import join_groups, written
+from millrace.llm.common import dropped, in_arrow, join_groups, written
 
 #: Links that a task holds at a time in the local step.
 LOCAL = 500_000
@@ -62,10 +62,12 @@ def components(links: DataFrame) -> DataFrame:
     node points at a root: the depth halves each time.
     """
     ordered = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v")
-    now = written(ordered.mapInArrow(_union_find, "u long, v long").distinct(), "links")
+    now = written(in_arrow(ordered, _union_find, "u long, v long").distinct(), "links")
     while True:
         several = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
         chained = now.select(F.col("v").alias("u")).distinct().join(now.select("u"), "u", "left_semi")
         if several.isEmpty() and chained.isEmpty():
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        now = written(_small_star(written(_large_star(now), "links")), "links")
+        large = written(_large_star(now), "links")
+        last, now = now, written(_small_star(large), "links")
+        dropped(last, large)

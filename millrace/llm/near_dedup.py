@@ -14,10 +14,11 @@ shingle. Two documents are linked if the Jaccard similarity of their sets is hig
    by union-find.
 4. The rest. In a bucket whose members are in several components, members outside its largest one
    are compared, in blocks, with all others of different components. A block holds its members'
-   whole sets, as 32-bit hashes, and counts all common shingles in one product of
-   matrices; only the two most similar members of each other component are passed on, if they are similar
-   enough, and verified on full sets. Members of one component need no further pair, so
-   no link between components is lost, and a group's pairs never become rows.
+   whole sets, bounded in rows and elements, and counts all common shingles in one product of
+   matrices, so links are exact; of those to one component a member needs the best only. Members of one
+   component need no further pair, so no link between components is lost, and a group's pairs never
+   become rows. A member's set travels once to each block of the others: where a bucket holds many that
+   are close and yet not linked, what is shuffled grows with the square of their number, by blocks.
 
 A linked pair shares no bucket with probability (1 - s ** rows) ** bands, at s = 0.8 and the defaults
 6e-5.
@@ -41,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Bitmap, Recent, join_groups, map_batches, without, written
+from millrace.llm.common import Bitmap, Recent, dropped, in_arrow, join_groups, map_batches, map_slices, without, written
 from millrace.llm.components import components
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -137,34 +138,29 @@ def signatures(rows: DataFrame, how: Near) -> DataFrame:
     return map_batches(rows, make, "doc_id long, n_shingles long, set_key binary, buckets array<long>")
 
 
-def _sets(rows: DataFrame, ids: Bitmap, how: Near, small: bool = False) -> DataFrame:
-    """id and set of the documents that may be among ids; small: as 32-bit hashes, packed."""
+def _sets(rows: DataFrame, ids: Bitmap, how: Near) -> DataFrame:
+    """id and set of the documents that may be among ids."""
 
     def make():
         shingles = Shingles(how.words)
 
-        def step(c: dict) -> dict:
-            known = [k for k, i in enumerate(c["doc_id"]) if i is not None]
-            held = ids.holds(np.array([c["doc_id"][k] for k in known], dtype=np.int64))
-            mine = [k for k, h in zip(known, held, strict=True) if h]
-            sets = [shingles.of(c["text"][k]) for k in mine]
-            if small:
-                return {"id": [c["doc_id"][k] for k in mine], "small": [s.astype(np.uint32).tobytes() for s in sets]}
-            return {"id": [c["doc_id"][k] for k in mine], "elements": [s.view(np.int64) for s in sets]}
+        def step(part: pa.RecordBatch) -> dict:
+            known = part.filter(part.column("doc_id").is_valid())
+            mine = known.filter(pa.array(ids.holds(known.column("doc_id").to_numpy()), pa.bool_()))
+            sets = [shingles.of(t) for t in mine.column("text").to_pylist()]
+            bounds = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            return {"id": mine.column("doc_id"), "elements": pa.ListArray.from_arrays(bounds, pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]).view(np.int64)))}
 
         return step
 
-    return map_batches(rows, make, "id long, small binary" if small else "id long, elements array<long>")
+    return map_slices(rows, make, "id long, elements array<long>")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, how: Near) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.
+def verified(pairs: DataFrame, sets: DataFrame, how: Near) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. pairs: a written table.
 
     A document b may have pairs with a large share of all others: its set goes to each block of about 256 of them.
     """
-    pairs = written(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    sets = written(_sets(rows, Bitmap(ids, "id"), how), "sets")
     degree = pairs.groupBy("b").agg(F.count("*").alias("n"))
     blocked = join_groups(pairs, degree, ["b"], "n").select("a", "b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / 256)).alias("block"))
     left = blocked.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("ea")), "a")
@@ -174,8 +170,8 @@ def verified(pairs: DataFrame, rows: DataFrame, how: Near) -> DataFrame:
     return left.join(hubs, ["b", "block"]).where(100 * common >= how.percent * union).select("a", "b").distinct()
 
 
-#: Rows of a bucket that a block holds: of those outside its largest component, and of all.
-QUERY_BLOCK, BLOCK = 256, 512
+#: Rows of a bucket that a block holds, of those outside its largest component and of all, and elements of their sets.
+QUERY_BLOCK, BLOCK, ELEMENTS = 256, 512, 1 << 19
 
 
 def _common(sets: list[np.ndarray], query: np.ndarray) -> np.ndarray:
@@ -200,7 +196,7 @@ def _common(sets: list[np.ndarray], query: np.ndarray) -> np.ndarray:
 
 
 def _block_links(how: Near):
-    """For rows sorted by (bucket, i, j): likely links between different components, two at most of each query and component."""
+    """For rows sorted by (bucket, i, j): links between different components, the best of each query and component."""
 
     def links(ids: np.ndarray, comps: np.ndarray, query: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         if query.all() or not query.any():
@@ -209,32 +205,30 @@ def _block_links(how: Near):
         q, t = np.flatnonzero(query), np.flatnonzero(~query)
         common = _common(sets, query)
         union = sizes[q][:, None] + sizes[t] - common
-        # hashes of 32 bits may hide an element of a set
-        fit = (100 * (common + 2) >= how.percent * (union - 2)) & (comps[q][:, None] != comps[t])
+        fit = (100 * common >= how.percent * union) & (comps[q][:, None] != comps[t])
         out = []
         for k in np.flatnonzero(fit.any(axis=1)):
             near = np.flatnonzero(fit[k])
             near = near[np.argsort(-common[k][near] / union[k][near], kind="stable")]
-            used: dict[int, int] = {}
-            for x in t[near]:
-                used[comps[x]] = n = used.get(comps[x], 0) + 1
-                if n <= 2:
-                    out.append((max(ids[x], ids[q[k]]), min(ids[x], ids[q[k]])))
+            for x in {comps[x]: x for x in t[near][::-1]}.values():
+                out.append((max(ids[x], ids[q[k]]), min(ids[x], ids[q[k]])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def close() -> pa.RecordBatch:
-            found = links(np.array([r[3] for r in held]), np.array([r[4] for r in held]), np.array([r[5] for r in held]), [np.frombuffer(r[6], dtype=np.uint32) for r in held])
+            found = links(np.array([r[3] for r in held]), np.array([r[4] for r in held]), np.array([r[5] for r in held]), [r[6] for r in held])
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([int(p[k]) for p in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            *columns, lists = batch.columns
+            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for k, row in enumerate(zip(*(c.to_pylist() for c in columns), strict=True)):
                 if held and held[0][:3] != row[:3]:
                     yield close()
-                held.append(row)
+                held.append((*row, values[bounds[k] : bounds[k + 1]].copy()))
         if held:
             yield close()
 
@@ -243,13 +237,16 @@ def _block_links(how: Near):
 
 def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """Rows of the buckets that hold several components: bucket, id, c, top (is c the largest?), and numbers of blocks."""
-    labelled = shared.join(comps, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    labelled = shared.join(comps, "id", "left").select("bucket", "id", "elements", F.coalesce("component", "id").alias("c"))
     labelled = written(labelled, "labelled")
-    sizes = labelled.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    buckets = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top")).where("parts > 1")
-    ni, nj = F.ceil((F.col("n") - F.col("top.n")) / QUERY_BLOCK), F.ceil(F.col("n") / BLOCK)
+    sizes = labelled.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("elements").alias("m"))
+    buckets = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "c", "m")).alias("top")).where("parts > 1")
+    ni = F.greatest(F.ceil((F.col("n") - F.col("top.n")) / QUERY_BLOCK), F.ceil((F.col("m") - F.col("top.m")) / ELEMENTS))
+    nj = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / (2 * ELEMENTS)))
     buckets = buckets.select("bucket", "n", F.col("top.c").alias("top"), ni.cast("int").alias("ni"), nj.cast("int").alias("nj"))
-    return written(join_groups(labelled, buckets, ["bucket"], "n", "inner").withColumn("top", F.col("c") == F.col("top")), "mixed")
+    mixed = written(join_groups(labelled, buckets, ["bucket"], "n", "inner").drop("elements").withColumn("top", F.col("c") == F.col("top")), "mixed")
+    dropped(labelled)
+    return mixed
 
 
 def _blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
@@ -258,26 +255,26 @@ def _blocks(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     draw = F.xxhash64("id", F.lit("block"))
     every = members.select("*", F.lit(False).alias("query"), F.pmod(draw, F.col("nj")).cast("int").alias("j"), F.explode(F.sequence(F.lit(0), F.col("ni") - 1)).alias("i"))
     outside = members.where("not top").select("*", F.lit(True).alias("query"), F.pmod(draw, F.col("ni")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("nj") - 1)).alias("j"))
-    names = ("bucket", "i", "j", "id", "c", "query", "small")
+    names = ("bucket", "i", "j", "id", "c", "query", "elements")
     return every.select(*names).unionByName(outside.select(*names)).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
 def links_of(rows: DataFrame, classes: DataFrame, how: Near) -> DataFrame:
-    """Links that join all classes which similarity joins. classes: doc_id, buckets, one for each set."""
-    members = classes.select(F.col("doc_id").alias("id"), F.explode("buckets").alias("bucket"))
+    """Links that join all classes which similarity joins. classes: doc_id, n_shingles, buckets, one for each set."""
+    members = classes.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("elements"), F.explode("buckets").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = written(join_groups(members, buckets, ["bucket"], "n", "inner"), "shared")
     mass = shared.groupBy("id").agg(F.sum("n").alias("mass"))
     best = shared.join(mass, "id").groupBy("bucket").agg(F.max(F.struct("mass", F.expr("~id").alias("less"), "id")).alias("top"), F.count("*").alias("n"))
     hubs = join_groups(shared.select("bucket", "id"), best.select("bucket", "n", F.col("top.id").alias("hub")), ["bucket"], "n", "inner")
     tried = written(hubs.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "tried")
-    links = written(verified(tried, rows, how), "found")
+    sets = written(_sets(rows, Bitmap(shared.select("id").distinct(), "id"), how), "sets")
+    links = written(verified(tried, sets, how), "found")
+    dropped(tried)
     mixed = _mixed(shared, written(components(links), "components"))
-    if mixed.isEmpty():
-        return links
-    small = written(_sets(rows, Bitmap(mixed.select("id").distinct(), "id"), how, small=True), "small")
-    more = written(_blocks(mixed, small).mapInArrow(_block_links(how), "a long, b long").distinct(), "more")
-    return links if more.isEmpty() else written(links.unionByName(verified(more, rows, how)), "found")
+    more = written(in_arrow(_blocks(mixed, sets), _block_links(how), "a long, b long").distinct(), "more")
+    dropped(shared, sets, mixed)
+    return links.unionByName(more)
 
 
 def near_groups(docs: DataFrame, how: Near = Near(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -290,7 +287,9 @@ def near_groups(docs: DataFrame, how: Near = Near(), text: str = "text", key: st
     classes = written(classes, "representatives")
     comps = components(links_of(rows, classes, how))
     labels = sets.join(comps, sets["first"] == comps["id"], "left").select("set_key", "n", F.coalesce("component", "first").alias("component"))
-    found = join_groups(signed.select("doc_id", "n_shingles", "set_key"), written(labels, "labels"), ["set_key"], "n")
+    labels = written(labels, "labels")
+    dropped(sets, classes)
+    found = join_groups(signed.select("doc_id", "n_shingles", "set_key"), labels, ["set_key"], "n")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
