@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches
+from millrace.llm.common import in_arrow, map_batches
 
 #: Reserved ids, counted from the vocabulary's size, and what they render as.
 MARKERS = ("### System: ", "### User: ", "### Assistant: ", "### Role ", ": ", "</turn>\n")
@@ -167,4 +167,4 @@ def read_chats(formatted: DataFrame, ranks: str, pattern: str) -> DataFrame:
             yield flush()
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "nth")
-    return ordered.select("conv_id", "ids", "mask").mapInArrow(run, _DIGEST)
+    return in_arrow(ordered.select("conv_id", "ids", "mask"), run, _DIGEST)

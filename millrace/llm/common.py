@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.sources.tables import scratch
 
@@ -20,6 +21,9 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Documents, and bytes of them, that a task turns into Python objects at a time.
 SLICE, SLICE_BYTES = 512, 4 << 20
 
+#: Rows and bytes of what Spark hands to a Python worker at a time.
+BATCH, BATCH_BYTES = 2048, 8 << 20
+
 #: Longest key that a memo keeps.
 KEPT = 48
 
@@ -54,6 +58,17 @@ def give_back() -> None:
         trim(0)
 
 
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow in batches of at most BATCH rows and BATCH_BYTES: both JVM and worker hold whole batches. The session keeps smaller bounds of its own."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        now = int(conf.get(name).rstrip("b"))
+        if now <= 0 or now > most:
+            conf.set(name, most)
+    return df.mapInArrow(run, schema)
+
+
 _HELD: dict = {}
 
 
@@ -88,7 +103,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    out = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    out = to_arrow_schema(StructType.fromDDL(schema))
 
     def column(x, kind: pa.DataType) -> pa.Array:
         return x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, type=kind)
@@ -104,7 +119,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
             step = None
             give_back()
 
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str) -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BLANKS, Bitmap, join_groups, map_batches, slices, unused, without, written
+from millrace.llm.common import BLANKS, Bitmap, in_arrow, join_groups, map_batches, slices, unused, without, written
 
 _DROP = BLANKS.encode()
 
@@ -152,7 +152,7 @@ def _texts(rows: DataFrame, bits: int, directory: np.ndarray, contested: Bitmap)
         if merged.found:
             yield merged.flush()
 
-    return rows.mapInArrow(run, _TEXT_DDL)
+    return in_arrow(rows, run, _TEXT_DDL)
 
 
 def _fewer(texts: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def _fewer(texts: DataFrame) -> DataFrame:
             yield merged.flush()
 
     salted = texts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
-    return salted.repartition("key", "salt").drop("salt").mapInArrow(run, _TEXT_DDL)
+    return in_arrow(salted.repartition("key", "salt").drop("salt"), run, _TEXT_DDL)
 
 
 _GROUP = pa.schema([("key", pa.int64()), ("digest", pa.string()), ("chain", pa.int32()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -224,7 +224,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", *, ke
     counts = written(index.groupBy("key").agg(F.count("*").alias("n")), "counts")
     directory = build_directory(counts, max(bucket, counts.count() // 65536))
     owned = _texts(rows, key_bits, directory, Bitmap(counts.where("n > 1").select("key"), "key", bitmap))
-    groups = written(_fewer(owned).repartition("owner").sortWithinPartitions("key").mapInArrow(_own, "key long, digest string, chain int, keep_id long, group_size long"), "groups")
+    groups = written(in_arrow(_fewer(owned).repartition("owner").sortWithinPartitions("key"), _own, "key long, digest string, chain int, keep_id long, group_size long"), "groups")
     found = join_groups(index, groups, ["key", "digest"], "group_size")
     alone = F.col("group_size").isNull()
     return found.select(

@@ -37,15 +37,10 @@ def word_count(text: Column) -> Column:
 
 def _weighted(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
     """Weights repeat along the sources in order of code points, null last. Ranked by range, not in one task."""
-    spark = sizes.sparkSession
     ordered = sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
     ordered = written(ordered, "ordered")
-    parts = ordered.groupBy("part").count().orderBy("part").collect()  # a row for each task at most
-    before, at = [], 0
-    for r in parts:
-        before.append((r["part"], at))
-        at += r["count"]
-    offsets = spark.createDataFrame(before, "part int, before long")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = ordered.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())
     place = F.col("before") + F.row_number().over(inside) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SLICE, Recent, give_back, map_batches
+from millrace.llm.common import SLICE, Recent, give_back, in_arrow, map_batches
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 
@@ -249,4 +249,4 @@ def keep_good(docs: DataFrame, sample: int = 6000, least: float = 0.3, text: str
             give_back()
 
     place = docs.columns.index(text)
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

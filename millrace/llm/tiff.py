@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, map_slices
+from millrace.llm.common import in_arrow, map_batches, map_slices
 
 #: Fixed values of the format: tags, field types' sizes and compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -405,4 +405,4 @@ def media_digests(media: DataFrame) -> DataFrame:
             yield flush()
 
     ordered = found.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "page", "data")
-    return ordered.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int")
+    return in_arrow(ordered, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int")
