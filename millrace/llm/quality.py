@@ -19,6 +19,7 @@ id are each scored, alike. An empty table gives an empty result. Other columns a
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from operator import eq
@@ -53,29 +54,40 @@ def _bands(value: float, good: float, bad: float) -> int:
     return GOOD if value >= good else BAD if value <= bad else ABSTAIN
 
 
-def votes(text: str | None) -> list[int]:
-    raw = (text or "").encode()
-    words = raw.split()
-    n = len(words)
+class Facts:
+    """A text's bytes and words, and the shares of words that repeat the last one and of distinct words."""
+
+    def __init__(self, text: str | None):
+        self.raw = (text or "").encode()
+        self.words = self.raw.split()
+        n = max(1, len(self.words))
+        self.again, self.distinct = sum(map(eq, self.words, self.words[1:])) / n, len(set(self.words)) / n
+
+
+def _votes(text: Facts) -> list[int]:
+    raw, n = text.raw, len(text.words)
     if not n:
         return [BAD] * len(LABELLERS)
     letters = max(1, len(raw) - len(raw.translate(None, _LETTERS)))
     symbols = (len(raw) - len(raw.translate(None, _SYMBOLS))) / len(raw)
     upper = (len(raw) - len(raw.translate(None, _UPPER))) / letters
-    again = sum(map(eq, words, words[1:])) / n
     function = sum(map(FUNCTION_WORDS.__contains__, raw.lower().split())) / n
     tails = len(_TAIL.findall(raw)) / n
     return [
         _bands(symbols, 0.008, 0.03),
         _bands(upper, 0.12, 0.35),
-        _bands(again, 0.02, 0.15),
+        _bands(text.again, 0.02, 0.15),
         _bands(function, 0.10, 0.03) if n >= 20 else ABSTAIN,
         _bands(tails, 0.02, 0.10),
-        _bands(len(set(words)) / n, 0.35, 0.12) if n >= 50 else ABSTAIN,
+        _bands(text.distinct, 0.35, 0.12) if n >= 50 else ABSTAIN,
         _bands(len(raw) / n, 8.0, 10.0) if n >= 20 else ABSTAIN,
     ]
 
 
+def votes(text: str | None) -> list[int]:
+    return _votes(Facts(text))
+
+
 LABELLERS = ("symbols", "capitals", "repeated words", "function words", "symbols behind words", "distinct words", "long words")
 
 
@@ -122,21 +134,21 @@ def word_features(word: bytes) -> list[int]:
 _AGAIN, _SAME = (xxhash.xxh32_intdigest(x) % WIDTH for x in (b"again", b"same"))
 
 
-def _extra(words: list[bytes]) -> tuple[float, float]:
+def _extra(text: Facts) -> tuple[float, float]:
     """Shares of words that repeat the last one, and of words that are no new ones."""
-    n = len(words)
-    return sum(map(eq, words, words[1:])) / n, max(0.0, 1 - len(set(words)) / n - 0.5)
+    return text.again, max(0.0, 1 - text.distinct - 0.5)
 
 
 def document_features(text: str | None, memo: dict | None = None) -> dict[int, float]:
-    words = (text or "").encode().split()
+    facts = Facts(text)
+    words = facts.words
     memo = Recent(word_features, 1000) if memo is None else memo
     out: dict[int, float] = {}
     for w in words:
         for f in memo[w]:
             out[f] = out.get(f, 0.0) + 1 / len(words)
     if words:
-        for f, x in zip((_AGAIN, _SAME), _extra(words), strict=True):
+        for f, x in zip((_AGAIN, _SAME), _extra(facts), strict=True):
             out[f] = out.get(f, 0.0) + x
     return out
 
@@ -166,17 +178,23 @@ class Scorer:
         self.weights, self.bias = weights, bias
         self.worth = Recent(lambda w: float(weights[word_features(w)].sum()), 100_000)
 
-    def __call__(self, text: str | None) -> float:
-        words = (text or "").encode().split()
-        if not words:
+    def of(self, text: Facts) -> float:
+        if not text.words:
             return 0.0
-        again, same = _extra(words)
-        z = self.bias + sum(map(self.worth.__getitem__, words)) / len(words) + again * self.weights[_AGAIN] + same * self.weights[_SAME]
-        return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+        again, same = _extra(text)
+        z = self.bias + sum(map(self.worth.__getitem__, text.words)) / len(text.words) + again * self.weights[_AGAIN] + same * self.weights[_SAME]
+        return 1 / (1 + math.exp(-min(40.0, max(-40.0, float(z)))))
+
+    def __call__(self, text: str | None) -> float:
+        return self.of(Facts(text))
+
+
+def _code(text: Facts) -> int:
+    return sum(v * 3**k for k, v in enumerate(_votes(text)))
 
 
 def code_of(text: str | None) -> int:
-    return sum(v * 3**k for k, v in enumerate(votes(text)))
+    return _code(Facts(text))
 
 
 def fit(docs: DataFrame, sample: int = 6000, text: str = "text", key: str = "doc_id") -> tuple[np.ndarray, np.ndarray, float]:
@@ -223,8 +241,8 @@ def classify(docs: DataFrame, sample: int = 6000, least: float = 0.3, text: str
         scorer = Scorer(weights, bias)
 
         def step(c: dict) -> dict:
-            scores = [scorer(t) for t in c["text"]]
-            codes = [code_of(t) for t in c["text"]]
+            facts = list(map(Facts, c["text"]))
+            scores, codes = list(map(scorer.of, facts)), list(map(_code, facts))
             return {"doc_id": c["doc_id"], "votes": codes, "posterior": by_code[codes], "score": scores, "kept": [s >= least for s in scores]}
 
         return step

@@ -1,7 +1,10 @@
+import math
+import random
+
 import numpy as np
 import pytest
 
-from millrace.llm.quality import ABSTAIN, BAD, GOOD, LABELLERS, classify, code_of, fit_labels, fit_scorer, keep_good, votes
+from millrace.llm.quality import ABSTAIN, BAD, GOOD, LABELLERS, Scorer, classify, code_of, document_features, fit_labels, fit_scorer, keep_good, votes
 
 
 def test_label_model_finds_accuracies():
@@ -70,3 +73,57 @@ def test_filter_keeps_columns_and_rows(docs):
 
 def test_sample_is_bounded(docs):
     assert len(classify(docs, sample=3).collect()) == docs.count()
+
+
+def plain_labels(patterns, counts, rounds=200):
+    """Expectation-maximisation in plain loops: two classes, independent votes, half a vote added to each count."""
+    posterior = [(0.9, 0.5, 0.1)[min(sum(v == BAD for v in p), 2)] for p in patterns]
+    for _ in range(rounds):
+        total = sum(counts)
+        share = sum(c * q for c, q in zip(counts, posterior)) / total
+        odds = [math.log(share / (1 - share))] * len(patterns)
+        for j in range(len(patterns[0])):
+            cast = {(y, v): 0.5 for y in (0, 1) for v in (BAD, GOOD)}
+            for p, c, q in zip(patterns, counts, posterior):
+                if p[j] != ABSTAIN:
+                    cast[0, p[j]] += c * (1 - q)
+                    cast[1, p[j]] += c * q
+            for k, p in enumerate(patterns):
+                if p[j] != ABSTAIN:
+                    odds[k] += sum(sign * math.log(cast[y, p[j]] / (cast[y, BAD] + cast[y, GOOD])) for y, sign in ((1, 1), (0, -1)))
+        posterior = [1 / (1 + math.exp(-max(-50, min(50, x)))) for x in odds]
+    return posterior
+
+
+def test_label_model_against_plain_loops():
+    rng = random.Random(4)
+    table = {}
+    for _ in range(3000):
+        good = rng.random() < 0.7
+        votes = tuple(ABSTAIN if rng.random() < 0.2 else int(good) if rng.random() < 0.75 + 0.03 * j else 1 - int(good) for j in range(7))
+        table[votes] = table.get(votes, 0) + 1
+    patterns, counts = list(table), list(table.values())
+    found, model = fit_labels(np.array(patterns), np.array(counts))
+    assert np.allclose(found, plain_labels(patterns, counts), atol=1e-6)
+    assert abs(model["share"] - 0.7) < 0.05
+
+
+def test_scorer_against_plain_loops():
+    texts = ["the sun is warm and the sea is blue.", "### $$$ ABC ABC ABC ABC", "a b c a b c", "der Hund und die Katze", "x" * 90, "The Of And 12 12 12"]
+    target = [1.0, 0.0, 0.4, 0.9, 0.1, 0.5]
+    features = [document_features(t) for t in texts]
+    weights, bias = fit_scorer(features, np.array(target), epochs=3)
+    w, b, squares, square, order = {}, 0.0, {}, 1e-6, np.random.default_rng(1)
+    for _ in range(3):
+        for k in order.permutation(len(texts)):
+            p = 1 / (1 + math.exp(-(sum(w.get(f, 0.0) * x for f, x in features[k].items()) + b)))
+            for f, x in features[k].items():
+                step = (p - target[k]) * x + 1e-5 * w.get(f, 0.0)
+                squares[f] = squares.get(f, 1e-6) + step**2
+                w[f] = w.get(f, 0.0) - 0.5 * step / math.sqrt(squares[f])
+            square += (p - target[k]) ** 2
+            b -= 0.5 * (p - target[k]) / math.sqrt(square)
+    assert abs(bias - b) < 1e-9 and all(abs(weights[f] - x) < 1e-9 for f, x in w.items())
+    scorer = Scorer(weights, bias)
+    for t, f in zip(texts, features):
+        assert abs(scorer(t) - 1 / (1 + math.exp(-(sum(w.get(k, 0.0) * x for k, x in f.items()) + b)))) < 1e-6
