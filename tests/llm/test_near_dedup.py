@@ -3,7 +3,9 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from millrace.llm import near_dedup
 from millrace.llm.components import components
 from millrace.llm.near_dedup import Near, drop_near_copies, links_of, near_groups, signatures, super_minhash
 
@@ -114,3 +116,30 @@ def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
     rows = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
     assert links_of(rows, signatures(rows, Near(words=2)), Near(words=2)).count() == 0
+
+
+def test_columns_with_the_operator_s_names_come_back(docs):
+    names = ["_gone", "id", "bucket", "elements", "component", "set_key", "a", "b"]
+    wide = docs.withColumns({x: F.concat(F.lit(x), F.col("n").cast("string")) for x in names})
+    stay = drop_near_copies(wide, Near(words=2))
+    assert stay.columns == wide.columns
+    assert sorted(r["n"] for r in stay.collect()) == sorted(r["n"] for r in drop_near_copies(docs, Near(words=2)).collect())
+    assert all(r[x] == f"{x}{r['n']}" for r in stay.collect() for x in names)
+
+
+@pytest.mark.parametrize("block,elements", [(3, 1 << 19), (256, 500)])
+def test_blocks_of_any_size_lose_no_link(spark, monkeypatch, block, elements):
+    """Copies close to a text and to some others: every bucket is dealt into many blocks, by rows or by elements."""
+    monkeypatch.setattr(near_dedup, "QUERY_BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BLOCK", 2 * block)
+    monkeypatch.setattr(near_dedup, "ELEMENTS", elements)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(150)], []
+    for i in range(70):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 18)):
+            copy[rng.randrange(150)] = word()
+        rows.append((i, " ".join(copy)))
+    found = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), Near(words=2)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute(rows, 2)

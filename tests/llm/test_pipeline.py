@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_near_dedup import brute
 
 import __spark_entry__
@@ -51,3 +52,32 @@ def test_mix_and_sequences(stages):
 def test_registered(spark):
     known = __spark_entry__.queries()
     assert "pipeline" in known and {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in known if q.startswith("op")}
+
+
+@pytest.mark.parametrize("table", ["docs", "none"])
+def test_hard_rows_and_an_empty_table(spark, table, request, tmp_path):
+    """Nulls, blanks, copies, very long texts, clashing columns: all stages run, and what is packed are pieces of documents that stay."""
+    docs = request.getfixturevalue(table)
+    wide = docs.withColumns({x: F.lit(x) for x in ("_gone", "_id", "_size", "_source", "_cell", "doc", "taken", "bucket")})
+    out = {"input": wide}
+    for name, stage in corpus_pipeline.STAGES:
+        out[name] = corpus_pipeline.written(stage(spark, out[list(out)[-1]], str(tmp_path)), name)
+    for name in ("quality", "exact_dedup", "near_dedup", "mixing"):
+        assert out[name].columns == wide.columns
+    ids = {name: {r["doc_id"] for r in t.select("doc_id").collect()} for name, t in out.items()}
+    assert ids["packing"] == ids["mixing"] <= ids["near_dedup"] <= ids["exact_dedup"] <= ids["quality"] <= ids["input"]
+    assert bool(ids["packing"]) == (table == "docs")
+    assert all(r["length"] <= 2048 for r in out["packing"].collect())
+
+
+def test_run_is_the_stages_one_after_another(spark, stages):
+    want = stages["packing"][["doc_id", "piece", "length", "ids_crc32"]].sort_values(["doc_id", "piece", "ids_crc32"]).to_numpy().tolist()
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.01").toPandas()
+    assert found[["doc_id", "piece", "length", "ids_crc32"]].sort_values(["doc_id", "piece", "ids_crc32"]).to_numpy().tolist() == want
+
+
+def test_queries_of_the_library_stay_without_the_subpackage(monkeypatch, tmp_path):
+    monkeypatch.setattr(__spark_entry__, "__file__", str(tmp_path / "__spark_entry__.py"))
+    known = __spark_entry__.queries()
+    assert "report_pricing" in known and not any(q.startswith("op") or q == "pipeline" for q in known)
+    assert set(__spark_entry__.oracle_sql()) <= set(known)
