@@ -96,8 +96,8 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE, most: int = SLICE_BYTES) ->
         at += n
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = SLICE) -> DataFrame:
-    """Apply a function to record batches of at most `rows` rows; make() runs once in each task.
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = SLICE, most: int = SLICE_BYTES) -> DataFrame:
+    """Apply a function to record batches of at most `rows` rows and `most` bytes; make() runs once in each task.
 
     The function returns {column: list or array} of any length.
     """
@@ -112,7 +112,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
         step = make()
         try:
             for batch in batches:
-                for part in slices(batch, rows):
+                for part in slices(batch, rows, most):
                     found = step(part)
                     yield pa.RecordBatch.from_arrays([column(found[f.name], f.type) for f in out], schema=out)
         finally:

@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import held, map_batches, map_slices, written
 from millrace.llm.word_ids import WordIds
 
-#: Texts that are split into words at a time.
-TEXTS = 2048
+#: Texts, and bytes of them, that are split into words at a time: more are quicker, fewer take less memory.
+TEXTS, TEXT_BYTES = 2048, 2 << 20
 
 #: A run of `count` sequences from number `start`: (start, count).
 #: A placement: length, first rank, pieces in each sequence, first sequence, sequences, offset.
@@ -223,7 +223,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0,
         return step
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return map_slices(rows, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", rows=TEXTS)
+    return map_slices(rows, make, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long", rows=TEXTS, most=TEXT_BYTES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
