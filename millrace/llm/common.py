@@ -66,7 +66,14 @@ def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         now = int(conf.get(name).rstrip("b"))
         if now <= 0 or now > most:
             conf.set(name, most)
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(trimmed, schema)
 
 
 _HELD: dict = {}
@@ -110,14 +117,10 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        try:
-            for batch in batches:
-                for part in slices(batch, rows, most):
-                    found = step(part)
-                    yield pa.RecordBatch.from_arrays([column(found[f.name], f.type) for f in out], schema=out)
-        finally:
-            step = None
-            give_back()
+        for batch in batches:
+            for part in slices(batch, rows, most):
+                found = step(part)
+                yield pa.RecordBatch.from_arrays([column(found[f.name], f.type) for f in out], schema=out)
 
     return in_arrow(df, run, schema)
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SLICE, Recent, give_back, in_arrow, map_batches
+from millrace.llm.common import Recent, in_arrow, map_batches, slices
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 
@@ -257,14 +257,9 @@ def keep_good(docs: DataFrame, sample: int = 6000, least: float = 0.3, text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(weights, bias)
-        try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    part = batch.slice(at, SLICE)
-                    yield part.filter(pa.array([scorer(t) >= least for t in part.column(place).to_pylist()], type=pa.bool_()))
-        finally:
-            scorer = None
-            give_back()
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array([scorer(t) >= least for t in part.column(place).to_pylist()], type=pa.bool_()))
 
     place = docs.columns.index(text)
     return in_arrow(docs, run, docs.schema)
