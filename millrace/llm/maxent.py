@@ -52,8 +52,8 @@ STEP = 8192
 CHUNK = 2048
 #: Splits of the table that a training task reads.
 SPLITS = 4
-#: Texts that are split into tokens at a time, and those that are counted at a time.
-TEXTS, COUNTED = 2048, 8192
+#: Texts that are split into tokens at a time, and words of such texts whose counts are summed at a time.
+TEXTS, COUNTED = 2048, 1_000_000
 #: The end of a text; no token is empty.
 END = b""
 FEATURES = 5
@@ -276,16 +276,28 @@ class Coder:
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """word, c over the training documents."""
+    """word, c over the training documents. Tasks sum up as many words as COUNTED at a time."""
 
-    def make():
-        def step(part: pa.RecordBatch) -> dict:
-            words, places, _ = coded(part.column("text"))
-            return {"word": words, "c": np.bincount(places, minlength=len(words))}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
 
-        return step
+        def flush() -> Iterator[pa.RecordBatch]:
+            summed = pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            found.clear()
+            yield from pa.table({"word": summed["word"], "c": summed["c_sum"]}).to_batches(max_chunksize=1 << 16)
 
-    found = map_slices(rows.where(_part("", 7) != 2).select("text"), make, "word binary, c long", rows=COUNTED)
+        for batch in batches:
+            for part in slices(batch, TEXTS):
+                words, places, _ = coded(part.column(0))
+                found.append(pa.table({"word": words, "c": np.bincount(places, minlength=len(words))}))
+                size += len(words)
+            if size > COUNTED:
+                yield from flush()
+                size = 0
+        if found:
+            yield from flush()
+
+    found = in_arrow(rows.where(_part("", 7) != 2).select("text"), run, "word binary, c long")
     return found.groupBy("word").agg(F.sum("c").alias("c"))
 
 
