@@ -29,6 +29,9 @@ from millrace.llm.common import written
 #: Hexadecimal digits of a hash that give the cell, and those that give the order in it.
 CELL_DIGITS, ORDER_DIGITS = 4, 12
 
+#: Cells that are summed as one block first, so no window holds more than 256 rows of a source.
+BLOCK = 256
+
 
 def word_count(text: Column) -> Column:
     """Number of matches of [^\\x20\\x09-\\x0D]+; null has none."""
@@ -75,12 +78,22 @@ def _plan(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs:
     targets = water_fill(_weighted(totals, weights), share * total, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = written(targets.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long")), "targets")
-    upto = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    spent = cells.withColumn("spent", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-    edge = spent.alias("e").join(targets.alias("t"), F.col("e.source").eqNullSafe(F.col("t.source")))
-    edge = edge.where("e.spent < t.rest and e.spent + e.words >= t.rest").select("e.source", F.col("e.cell").alias("edge"), (F.col("t.rest") - F.col("e.spent")).alias("left"))
-    plan = targets.alias("t").join(edge.alias("e"), F.col("t.source").eqNullSafe(F.col("e.source")), "left")
-    return written(plan.select(F.col("t.source").alias("of"), "source_size", "target", "whole", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("left", F.lit(0)).alias("left")), "plan")
+    rest = targets.select(F.col("source").alias("of"), "rest")
+    block = F.floor(F.col("cell") / BLOCK).cast("int")
+    blocks = cells.withColumn("block", block).groupBy("source", "block").agg(F.sum("words").alias("words"))
+    blocks = _boundary(blocks, rest, "block").select("of", F.col("at").alias("block_of"), "rest")
+    inside = cells.join(blocks, F.col("source").eqNullSafe(F.col("of")) & (block == F.col("block_of"))).select("source", "cell", "words")
+    edge = _boundary(inside, blocks.select("of", "rest"), "cell").select("of", F.col("at").alias("edge"), F.col("rest").alias("left"))
+    plan = targets.join(edge, F.col("source").eqNullSafe(F.col("of")), "left")
+    return written(plan.select(F.col("source").alias("of"), "source_size", "target", "whole", F.coalesce("edge", F.lit(-1)).alias("edge"), F.coalesce("left", F.lit(0)).alias("left")), "plan")
+
+
+def _boundary(parts: DataFrame, rest: DataFrame, place: str) -> DataFrame:
+    """of, at, rest: where each source's parts, in order of place, reach its rest, and what is then left of it. parts: source, place, words."""
+    upto = Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    spent = parts.withColumn("spent", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+    found = spent.join(rest, F.col("source").eqNullSafe(F.col("of"))).where("spent < rest and spent + words >= rest")
+    return found.select("of", F.col(place).alias("at"), (F.col("rest") - F.col("spent")).alias("rest"))
 
 
 #: Most sources whose plan is broadcast; the plan of more is joined by shuffles, where Spark splits large sources.
