@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.chat import format_chats, read_chats
+from millrace.llm.collocations import collocations
 from millrace.llm.common import documents, written
+from millrace.llm.divergence import source_divergence
 from millrace.llm.exact_dedup import exact_groups
+from millrace.llm.language_id import identify
 from millrace.llm.maxent import score_texts
 from millrace.llm.mixing import mix_sources
 from millrace.llm.near_dedup import Near, near_groups
@@ -74,10 +77,23 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(formatted, *how).drop("n_ids", "loss_ids")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(documents(spark, sf_dir), least=10, top=10)
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir), folds=3, fold=1)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir), least=10, share=50, top=2000)
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_pack_sequences, op2_near_dedup, op3_quality_classifier, op4_mix_sources, op5_rendezvous_shards,
         op6_tiff_media, op7_score_texts, op8_count_tokens, op9_exact_dedup, op10_chat_format,
+        op11_source_divergence, op12_language_id, op13_collocations,
     )
     return {f.__name__: f for f in found}
 
@@ -149,5 +165,57 @@ FROM e GROUP BY conv_id
 """
 
 
+#: Every term in every group, and every pair of groups in every term; only fit for small tables.
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+m AS (SELECT lang, source, term, count(*) AS n FROM t GROUP BY lang, source, term),
+c AS (SELECT g.lang, g.source, k.term, CAST(coalesce(m.n, 0) AS HUGEINT) AS n, CAST(k.total AS HUGEINT) AS total
+      FROM g JOIN k USING (lang) LEFT JOIN m ON m.lang = g.lang AND m.source = g.source AND m.term = k.term),
+s AS (SELECT lang, source, sum(n) AS size FROM c GROUP BY lang, source),
+v AS (SELECT lang, count(*) AS terms, sum(total) AS size FROM k GROUP BY lang),
+p AS (SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000 * (c.n + 2)) // (s.size + 2 * v.terms) AS p, 1 + (1000000000 * (c.total + 2)) // (v.size + 2 * v.terms) AS q
+      FROM c JOIN s USING (lang, source) JOIN v ON v.lang = c.lang),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+t AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+f1 AS (SELECT lang, words[i] AS x, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY ALL),
+f2 AS (SELECT lang, words[i] AS x, words[i + 1] AS y, CAST(count(*) AS HUGEINT) AS n FROM t WHERE i < len(words) GROUP BY ALL),
+f3 AS (SELECT lang, words[i] AS x, words[i + 1] AS y, words[i + 2] AS z, CAST(count(*) AS HUGEINT) AS n FROM t WHERE i < len(words) - 1 GROUP BY ALL HAVING count(*) >= 10),
+around AS (SELECT lang, x, y, max(n) AS n FROM (SELECT lang, x, y, n FROM f3 UNION ALL SELECT lang, y, z, n FROM f3) GROUP BY ALL),
+c AS (
+  SELECT a.lang, a.x || ' ' || a.y AS phrase, a.n AS a, b.n AS l, c.n AS r
+  FROM f2 a JOIN f1 b ON b.lang = a.lang AND b.x = a.x JOIN f1 c ON c.lang = a.lang AND c.x = a.y
+  LEFT JOIN around o ON o.lang = a.lang AND o.x = a.x AND o.y = a.y WHERE a.n >= 10 AND NOT coalesce(100 * o.n >= 50 * a.n, false)
+  UNION ALL
+  SELECT a.lang, a.x || ' ' || a.y || ' ' || a.z, a.n, CASE WHEN early THEN l1 ELSE l2 END, CASE WHEN early THEN r1 ELSE r2 END
+  FROM (SELECT f3.*, b.n AS l1, c.n AS r1, e.n AS l2, g.n AS r2, (1000000 * f3.n * f3.n) // (b.n * c.n) <= (1000000 * f3.n * f3.n) // (e.n * g.n) AS early
+        FROM f3 JOIN f1 b ON b.lang = f3.lang AND b.x = f3.x JOIN f2 c ON c.lang = f3.lang AND c.x = f3.y AND c.y = f3.z
+        JOIN f2 e ON e.lang = f3.lang AND e.x = f3.x AND e.y = f3.y JOIN f1 g ON g.lang = f3.lang AND g.x = f3.z) a),
+s AS (SELECT *, (1000000 * a * a) // (l * r) AS score FROM c)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST((SELECT sum(n) FROM f1 WHERE f1.lang = s.lang) AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM s QUALIFY rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": OP2_SQL, "op4_mix_sources": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op4_mix_sources": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op10_chat_format": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_collocations": OP13_SQL}
