@@ -19,8 +19,8 @@ the ids. Places are prefix sums over the turns, so a conversation of any length
 rows. Reading back takes a conversation's turns in order, one at a time.
 
 Defined results: a null text or role counts as an empty one. Turns come in order of turn, null
-first; repeated ones in order of role and text. Null conversation ids are one conversation. An
-empty table gives an empty result. Other columns are not looked at.
+first; repeated ones in order of role and text. Null conversation ids are one conversation. Texts may be of any length and
+of anything, long runs of blanks too. An empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -44,6 +44,9 @@ OTHER, OTHER_END, END = 3, 4, 5
 #: Strings that texts may hold only behind a backslash.
 CONTROL = ("### System:", "### User:", "### Assistant:", "### Role", "</turn>")
 
+#: Runs of white space, as the vocabulary's pattern means it, that are encoded by themselves: its matcher keeps a place to go back to for each character.
+_LONG = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
 _ESCAPE = re.compile("|".join(re.escape(x) for x in ("\\", *CONTROL)))
 _UNESCAPE = re.compile(r"\\(" + "|".join(re.escape(x) for x in ("\\", *CONTROL)) + ")")
 
@@ -65,15 +68,26 @@ class Template:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.coder = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.piece = tiktoken.Encoding("piece", pat_str="(?s:.+)", mergeable_ranks=table, special_tokens={})
         self.first = max(table.values()) + 2  # the id behind the last rank is the vocabulary's own end of text
 
+    def encode(self, text: str) -> list[int]:
+        """The library's ids. A long run of white space is one of its pieces, less the last character if something follows."""
+        out, at = [], 0
+        for m in _LONG.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += self.coder.encode_ordinary(text[at : m.start()])
+            out += self.piece.encode_ordinary(text[m.start() : end])
+            at = end
+        return out + self.coder.encode_ordinary(text[at:])
+
     def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a turn and their loss mask."""
         if role in ROLES:
             head = [self.first + ROLES[role]]
         else:
-            head = [self.first + OTHER, *self.coder.encode_ordinary(escape(role)), self.first + OTHER_END]
-        body = self.coder.encode_ordinary(escape(text))
+            head = [self.first + OTHER, *self.encode(escape(role)), self.first + OTHER_END]
+        body = self.encode(escape(text))
         ids = np.array([*head, *body, self.first + END], dtype=np.int32)
         change = np.zeros(len(ids) + 1, dtype=np.int8)
         if role == "assistant":

@@ -48,6 +48,30 @@ def test_rendered_form(template):
     assert mask.tolist() == [False, *[True] * (len(ids) - 2), False]
 
 
+@pytest.mark.parametrize("run", [" ", "\t", "\n", " \t", "\u3000", "\r\n "])
+def test_long_blanks_are_encoded_as_the_library_does(template, run):
+    """Runs that the library can encode, at every kind of end."""
+    for n in (4095, 4096, 4097, 9001):
+        for before, after in (("", ""), ("a", ""), ("", "b"), ("don't", " x"), ("1", "é"), (".", "\x1cz"), ("a", f"b{run * 5000}c")):
+            text = before + (run * n)[:n] + after
+            assert template.encode(text) == template.coder.encode_ordinary(text)
+
+
+def test_very_long_texts(spark):
+    """2,000,000 of each kind of character, formatted and read back."""
+    n = 2_000_000
+    texts = [x * (n // len(x)) for x in (" ", "\t", " \t", "\n", "a", "é", "\\", "#", "1", "\u3000", "ab ", "</turn>", "\x00")]
+    rows = [(k, 0, "assistant", t + end) for k, t in enumerate(texts) for end in ("", "x")]
+    rows.append((99, 0, " " * n, "role of blanks"))
+    found = {}
+    for r in read_chats(format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(9), *HOW), *HOW).collect():
+        found[r["conv_id"]] = r
+    for k in {r[0] for r in rows}:
+        mine = sorted(((r[2], r[3]) for r in rows if r[0] == k), key=lambda r: hashlib.md5(r[1].encode()).hexdigest())
+        r = found[k]
+        assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == digest(mine)
+
+
 def digest(rows):
     turns, loss = "".join(f"{r or ''}\n{t or ''}\n" for r, t in rows), "".join(t or "" for r, t in rows if r == "assistant")
     return len(rows), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
