@@ -45,7 +45,7 @@ CLEAR, END_OF_DATA = 256, 257
 #: Payload bytes of a page that a text is stored in.
 PAGE_BYTES = 1 << 20
 
-#: Decoded bytes of the largest page that is read, and of what its deflate strips or tiles may unpack to.
+#: Decoded bytes of the largest page that is read, and of what its strips or tiles may unpack to.
 MOST_BYTES = 1 << 30
 
 
@@ -61,17 +61,18 @@ class Page:
     error: str | None = None
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, at = [], 0
-    while at < len(data):
+def unpack_bits(data: bytes, most: int = 1 << 62) -> bytes:
+    """Runs and literals, until there are `most` bytes or a little more."""
+    out, at, size = [], 0, 0
+    while at < len(data) and size < most:
         n = data[at]
         if n < 128:
             out.append(data[at + 1 : at + 2 + n])
             at += n + 2
         else:
-            if n > 128:
-                out.append(data[at + 1 : at + 2] * (257 - n))
+            out.append(data[at + 1 : at + 2] * (257 - n) if n > 128 else b"")
             at += 2 if n > 128 else 1
+        size += len(out[-1])
     return b"".join(out)
 
 
@@ -94,12 +95,12 @@ def pack_bits(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, highest bit first, each width ending one code early."""
+def lzw_decode(data: bytes, most: int = 1 << 62) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first, each width ending one code early, until there are `most` bytes or a little more."""
     start = [bytes([k]) for k in range(256)] + [b"", b""]
     table, width, last = list(start), 9, b""
     out: list[bytes] = []
-    held = have = 0
+    held = have = size = 0
     for byte in data:
         held = held << 8 | byte
         have += 8
@@ -111,16 +112,18 @@ def lzw_decode(data: bytes) -> bytes:
         if code == CLEAR:
             table, width, last = list(start), 9, b""
             continue
-        if code == END_OF_DATA:
+        if code == END_OF_DATA or size >= most:
             break
         if not last:
             entry = table[code]
         else:
             entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
+            if len(table) < 4096:  # no code reaches further
+                table.append(last + entry[:1])
             if len(table) >= (1 << width) - 1 and width < 12:
                 width += 1
         out.append(entry)
+        size += len(entry)
         last = entry
     return b"".join(out)
 
@@ -169,7 +172,7 @@ def _inflate(data: bytes, most: int) -> bytes:
 
 
 #: Decoders get the bytes and how many samples' bytes are needed.
-_DECODE = {NONE: lambda b, n: b[:n], LZW: lambda b, n: lzw_decode(b), DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: lambda b, n: unpack_bits(b)}
+_DECODE = {NONE: lambda b, n: b[:n], LZW: lzw_decode, DEFLATE: _inflate, OLD_DEFLATE: _inflate, PACKBITS: unpack_bits}
 _ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda b: zlib.compress(b, 4), PACKBITS: pack_bits}
 
 
@@ -188,9 +191,13 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
     return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
 
+def _one(fields: dict[int, tuple], tag: int, default: int | None = None) -> int | None:
+    """A field's first value. A field without values counts as absent."""
+    return (fields.get(tag) or (default,))[0]
+
+
 def _page(data: bytes, fields: dict[int, tuple], order: str) -> Page:
-    one = lambda tag, default=None: fields[tag][0] if tag in fields else default
-    page = Page(one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1))
+    page = Page(_one(fields, WIDTH), _one(fields, HEIGHT), _one(fields, SAMPLES, 1), _one(fields, BITS, 1), _one(fields, COMPRESSION, 1), _one(fields, PREDICTOR, 1))
     try:
         page.data = _samples(data, fields, order, page)
     except Exception as e:  # whatever a damaged file holds, it costs no more than its page
@@ -199,14 +206,14 @@ def _page(data: bytes, fields: dict[int, tuple], order: str) -> Page:
 
 
 def _samples(data: bytes, fields: dict[int, tuple], order: str, page: Page) -> bytes:
-    one = lambda tag, default=None: fields[tag][0] if tag in fields else default
+    one = lambda tag, default=None: _one(fields, tag, default)
     width, height, samples = page.width, page.height, page.samples
-    if page.bits not in (8, 16) or len(set(fields.get(BITS, (1,)))) > 1 or page.compression not in _DECODE or page.predictor not in (1, 2):
+    if page.bits not in (8, 16) or len(set(fields.get(BITS) or (1,))) > 1 or page.compression not in _DECODE or page.predictor not in (1, 2):
         raise ValueError("form not supported")
     tiled = TILE_OFFSETS in fields
     across = one(TILE_WIDTH) if tiled else width
     down = one(TILE_HEIGHT) if tiled else min(one(ROWS_PER_STRIP, height), height)
-    places, counts = (fields[t] for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
+    places, counts = (fields.get(t, ()) for t in ((TILE_OFFSETS, TILE_COUNTS) if tiled else (STRIP_OFFSETS, STRIP_COUNTS)))
     if not all((width, height, samples, across, down)):
         raise ValueError("a size is 0")
     planes = samples if one(PLANAR, 1) == 2 else 1
@@ -339,7 +346,7 @@ def tiff_pages(files: DataFrame, key: str, content: str = "content", keep: Seque
 
     rows = files.select(*(F.col(c).alias(f"kept{k}") for k, c in enumerate((key, *keep))), F.col(content).alias("content"))
     kept = ", ".join(f"kept{k} {files.schema[c].dataType.simpleString()}" for k, c in enumerate((key, *keep)))
-    schema = f"{kept}, page int, width long, height long, samples int, bits int, compression int, predictor int, data binary, error string"
+    schema = f"{kept}, page int, width long, height long, samples long, bits long, compression long, predictor long, data binary, error string"
     made = map_slices(rows, make, schema, rows=64)
     return made.select(F.col("kept0").alias(key), "page", *names, *(F.col(f"kept{k}").alias(c) for k, c in enumerate(keep, 1)))
 
@@ -373,7 +380,7 @@ _DIGEST = pa.schema([
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """What the stored files of text_media hold, read back page by page."""
+    """What the stored files of text_media hold, read back page by page. A file with a page that can't be read has no payload."""
     files = media.select("doc_id", "n_bytes", "content", F.octet_length("content").cast("long").alias("media_bytes"), F.sha2("content", 256).alias("media_sha256"))
     found = tiff_pages(files, "doc_id", keep=("n_bytes", "media_bytes", "media_sha256"))
 
@@ -383,7 +390,8 @@ def media_digests(media: DataFrame) -> DataFrame:
         def close() -> None:
             if now:
                 (doc, n, size, sha), x, k = now
-                done.append((doc, n, int(x.counts.sum()), x.sha.hexdigest(), zlib.crc32(x.tail), size, sha, x.feature(), k))
+                told = (int(x.counts.sum()), x.sha.hexdigest(), zlib.crc32(x.tail)) if x else (None, None, None)
+                done.append((doc, n, *told, size, sha, x.feature() if x else None, k))
 
         def flush() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(zip(*done, strict=True), _DIGEST, strict=True)], schema=_DIGEST)
@@ -396,8 +404,9 @@ def media_digests(media: DataFrame) -> DataFrame:
                 if page == 0:
                     close()
                     now = (tuple(file), Samples(), 0)
-                now[1].add(data)
-                now = (now[0], now[1], now[2] + 1)
+                if now[1] and data is not None:
+                    now[1].add(data)
+                now = (now[0], now[1] if data is not None else None, now[2] + 1)
             if done:
                 yield flush()
         close()

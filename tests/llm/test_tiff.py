@@ -124,6 +124,54 @@ def test_damaged_pages_cost_no_others(spark, tile):
         assert (r["data"] is None and r["error"]) if r["page"] == 1 else (bytes(r["data"]) == data[r["page"]] and r["error"] is None)
 
 
+@pytest.mark.parametrize("compression", [1, LZW, DEFLATE, PACKBITS])
+@pytest.mark.parametrize("tile", [0, 16])
+def test_any_byte_may_be_damaged(compression, tile):
+    """Every byte of a small file, set to several values: pages with data or with an error, and never a failure."""
+    file = write_file([write_page(bytes(range(64)), 8, compression, 1, tile), write_page(b"ab" * 32, 8, compression, 1, tile)])
+    for at in range(len(file)):
+        for value in (0, 1, 127, 128, 255, file[at] ^ 4):
+            for p in pages(file[:at] + bytes([value]) + file[at + 1 :]):
+                assert (p.data is None) == (p.error is not None)
+    for end in range(len(file)):
+        assert all((p.data is None) == (p.error is not None) for p in pages(file[:end]))
+
+
+def test_fields_without_values_and_large_ones(spark):
+    """A field of count 0 is absent, and numbers above 2 ** 31 fit; one such file costs no other."""
+    good = write_file([write_page(bytes(range(64)), 8)])
+
+    def count(file, tag, n):
+        out, at = bytearray(file), struct.unpack_from("<I", file, 4)[0]
+        (k,) = struct.unpack_from("<H", out, at)
+        place = next(at + 2 + 12 * j for j in range(k) if struct.unpack_from("<H", out, at + 2 + 12 * j)[0] == tag)
+        struct.pack_into("<I", out, place + 4, n)
+        return bytes(out)
+
+    cases = [good] + [count(good, tag, 0) for tag in (256, 257, 258, 259, 273, 277, 278, 279, 317)] + [_set(good, tag, 2**32 - 1) for tag in (256, 257, 258, 259, 277, 278, 317)]
+    found = {r["id"]: r for r in tiff_pages(spark.createDataFrame(list(enumerate(cases)), "id long, content binary"), "id").collect()}
+    assert len(found) == len(cases) and bytes(found[0]["data"]) == bytes(range(64))
+    assert all((r["data"] is None) == (r["error"] is not None) for r in found.values())
+    assert any(r["samples"] == 2**32 - 1 for r in found.values())
+
+
+def test_blocks_unpack_no_further_than_their_page():
+    for code, encode, decode in ((LZW, tiff.lzw_encode, tiff.lzw_decode), (PACKBITS, tiff.pack_bits, tiff.unpack_bits)):
+        packed = encode(b"a" * 8_000_000)
+        assert len(decode(packed, 64)) <= 64 + 4096 and decode(packed)[:100] == b"a" * 100
+        page, (block,) = write_page(b"a" * 64, 8, code)
+        (read,) = pages(write_file([(page, [packed])]))
+        assert read.data == b"a" * 64 and block != packed
+
+
+def test_files_with_damaged_pages_have_no_payload(spark):
+    good = tiff.store(tiff.payload_of("a text"))
+    rows = spark.createDataFrame([(1, 6, good), (2, 6, _set(good, 259, 7)), (3, 6, good)], "doc_id long, n_bytes long, content binary").coalesce(1)
+    found = {r["doc_id"]: r for r in media_digests(rows).collect()}
+    assert found[1]["payload_bytes"] == found[3]["payload_bytes"] == 64 and found[1]["payload_sha256"] == found[3]["payload_sha256"]
+    assert [found[2][c] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "feature")] == [None] * 4 and found[2]["pages"] == 1
+
+
 def test_feature_a_second_way():
     text = "Ein kurzer Text, zweimal. " * 90
     (page,) = (bytes(tiff.payload_of(text)),)
