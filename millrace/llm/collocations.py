@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm.common import Bitmap, dropped, in_arrow, slices, written
 from millrace.llm.words import classes, heaviest, merged_tables, split, sums_by
@@ -160,18 +161,24 @@ class Vocabulary:
     ids: np.ndarray
     others: Bitmap | None
 
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Ids of hashes, -1 for those that are not held."""
+        out = np.full(len(h), -1, dtype=np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            hit = self.hashes[at] == h
+            out[hit] = self.ids[at[hit]]
+        return out
+
     def codes(self, langs: list[str], lang_of: np.ndarray, words: pa.Array, word_of: np.ndarray) -> np.ndarray:
         """A code for each (language, word): an id, a negative number, or -1 for a word that is in no phrase."""
         first = [xxhash.xxh64_intdigest(x.encode(), seed=xxhash.xxh64_intdigest(self.seed.to_bytes(4, "little"), seed=42)) for x in langs]
         known = words.to_pylist()
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(known[w], seed=first[g]) & _LOW for g, w in zip(lang_of.tolist(), word_of.tolist(), strict=True)), dtype=np.int64, count=len(word_of))
-        at = np.minimum(np.searchsorted(self.hashes, h), max(0, len(self.hashes) - 1))
-        hit = self.hashes[at] == h if len(self.hashes) else np.zeros(len(h), dtype=bool)
-        out = np.full(len(h), -1, dtype=np.int64)
-        out[hit] = self.ids[at[hit]]
+        out = self.find(h)
         if self.others is not None:
-            away = np.flatnonzero(~hit)
+            away = np.flatnonzero(out < 0)
             away = away[self.others.holds(h[away])]
             out[away] = -2 - h[away]
         return out
@@ -243,29 +250,60 @@ def _seed(words: DataFrame, least: int) -> int:
     return seed
 
 
-def _vocabulary(frequent: DataFrame, seed: int, most: int) -> tuple[Vocabulary, DataFrame]:
-    """What tasks hold, and the frequent words with their codes: lang, word, n, code."""
+@dataclass
+class Names:
+    """Languages, words and counts of the held words, by id."""
+
+    lang: pa.Array
+    word: pa.Array
+    n: pa.Array
+
+    def of(self, rows: DataFrame, coded: DataFrame | None, codes: str) -> DataFrame:
+        """rows with `lang`, and for each of their codes, x for example, its word and count as `word_x` and `n_x`.
+
+        Rows of ids only are named in tasks. The others, if there are any, are joined with `coded`, the words that have no id among them.
+        """
+        held = F.least(*(F.col(c) for c in codes), F.lit(0)) >= 0
+        fields = [*rows.schema.fields, *StructType.fromDDL(", ".join(["lang string", *(f"word_{c} string, n_{c} long" for c in codes)])).fields]
+        places = [rows.columns.index(c) for c in codes]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = [batch.column(k) for k in places]
+                new = [self.lang.take(ids[0]), *(x.take(i) for i in ids for x in (self.word, self.n))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[f.name for f in fields])
+
+        named = in_arrow(rows.where(held), run, StructType(fields))
+        if coded is None:
+            return named
+        rest = rows.where(~held)
+        for k, c in enumerate(codes):
+            known = coded.select(F.col("code").alias(c), F.col("word").alias(f"word_{c}"), F.col("n").alias(f"n_{c}"), *([] if k else ["lang"]))
+            rest = rest.join(known, c)
+        return named.unionByName(rest.select(*named.columns))
+
+
+def _vocabulary(frequent: DataFrame, seed: int, most: int) -> tuple[Vocabulary, Names, DataFrame | None]:
+    """What tasks hold, and, if that isn't all, a table of all frequent words with their codes: lang, word, n, code."""
     hashed = frequent.withColumn("hash", hash_column(seed))
-    held = heaviest(hashed, "n", most).select("hash", "n").toArrow()  # `most` rows at most
+    held = heaviest(hashed, "n", most).select("hash", "n", "lang", "word").toArrow()  # `most` rows at most
     h, n = (held[c].to_numpy() for c in ("hash", "n"))
     rank = np.lexsort((h, -n))
     ids = np.empty(len(h), dtype=np.int64)
     ids[rank] = np.arange(len(h))
     order = np.argsort(h)
-    every = len(h) == frequent.count()
-    vocabulary = Vocabulary(seed, h[order], ids[order], None if every else Bitmap(hashed, "hash"))
+    names = Names(*(held[c].combine_chunks().take(pa.array(rank)) for c in ("lang", "word", "n")))
+    if len(h) == frequent.count():
+        return Vocabulary(seed, h[order], ids[order], None), names, None
+    vocabulary = Vocabulary(seed, h[order], ids[order], Bitmap(hashed, "hash"))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column("hash").to_numpy()
-            at = np.minimum(np.searchsorted(vocabulary.hashes, found), max(0, len(vocabulary.hashes) - 1))
-            hit = vocabulary.hashes[at] == found if len(vocabulary.hashes) else np.zeros(len(found), dtype=bool)
-            code = -2 - found
-            code[hit] = vocabulary.ids[at[hit]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(code)], names=["lang", "word", "n", "code"])
+            held = vocabulary.find(found)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(held >= 0, held, -2 - found))], names=["lang", "word", "n", "code"])
 
-    coded = in_arrow(hashed.select("lang", "word", "n", "hash"), make, "lang string, word string, n long, code long")
-    return vocabulary, written(coded, "coded")
+    return vocabulary, names, written(in_arrow(hashed.select("lang", "word", "n", "hash"), code, "lang string, word string, n long, code long"), "coded")
 
 
 def _coded(part: pa.RecordBatch, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -347,13 +385,6 @@ def triple_counts(rows: DataFrame, vocabulary: Vocabulary, pairs: Pairs) -> Data
     return in_arrow(rows, run, "x long, y long, z long, n long").groupBy("x", "y", "z").agg(F.sum("n").alias("n"))
 
 
-def _named(rows: DataFrame, words: DataFrame, code: str, count: str, word: str, lang: str | None = None) -> DataFrame:
-    """rows with a code's count and word. Words with ids are HELD_WORDS at most and broadcast; the others, none of which is as frequent, are shuffled."""
-    known = words.select(F.col("code").alias(code), F.col("n").alias(count), F.col("word").alias(word), *([F.col("lang").alias(lang)] if lang else []))
-    held = rows.where(F.col(code) >= 0).join(F.broadcast(known.where(F.col(code) >= 0)), code)
-    return held.unionByName(rows.where(F.col(code) < 0).join(known.where(F.col(code) < 0), code))
-
-
 def _score(a: str, left: str, right: str) -> Column:
     d = lambda c: f"cast({c} as decimal(18, 0))"  # noqa: E731  products have 37 digits at most
     return F.expr(f"(cast(1000000 as decimal(7, 0)) * (cast({a} as decimal(15, 0)) * cast({a} as decimal(15, 0)))) div ({d(left)} * {d(right)})")
@@ -365,25 +396,24 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     words = written(word_counts(rows), "words")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
-    vocabulary, coded = _vocabulary(frequent, _seed(words, least), min(held_words, 1 << WORD_BITS))
+    vocabulary, names, coded = _vocabulary(frequent, _seed(words, least), min(held_words, 1 << WORD_BITS))
     pairs = written(pair_counts(rows, vocabulary).where(F.col("n") >= least), "pairs")
     triples = written(triple_counts(rows, vocabulary, _pairs(pairs, held_pairs)).where(F.col("n") >= least), "triples")
 
     # the most frequent phrase around each pair
     around = triples.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("z").alias("y")))).alias("p"), "n").groupBy("p.x", "p.y").agg(F.max("n").alias("around"))
     twos = pairs.join(around, ["x", "y"], "left").where(F.coalesce(100 * F.col("around") < share * F.col("n"), F.lit(True))).select("x", "y", F.col("n").alias("a"))
-    twos = _named(_named(twos, coded, "x", "l", "first", "lang"), coded, "y", "r", "second")
-    twos = twos.select("lang", F.concat_ws(" ", "first", "second").alias("phrase"), "a", "l", "r").withColumn("score", _score("a", "l", "r"))
+    twos = names.of(twos, coded, "xy").select("lang", F.concat_ws(" ", "word_x", "word_y").alias("phrase"), "a", F.col("n_x").alias("l"), F.col("n_y").alias("r"))
+    twos = twos.withColumn("score", _score("a", "l", "r"))
     # a phrase of three: cut behind its first word, or before its last
-    heads = pairs.select("x", "y", F.col("n").alias("l2"))
-    tails = pairs.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("n").alias("r1"))
+    heads = pairs.select("x", "y", F.col("n").alias("n_xy"))
+    tails = pairs.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("n").alias("n_yz"))
     threes = triples.withColumnRenamed("n", "a").join(heads, ["x", "y"]).join(tails, ["y", "z"])
-    threes = _named(_named(_named(threes, coded, "x", "l1", "first", "lang"), coded, "z", "r2", "third"), coded, "y", "n2", "second")
-    threes = threes.withColumn("s1", _score("a", "l1", "r1")).withColumn("s2", _score("a", "l2", "r2"))
-    early = F.col("s1") <= F.col("s2")
+    threes = names.of(threes, coded, "xyz").withColumn("first", _score("a", "n_x", "n_yz")).withColumn("second", _score("a", "n_xy", "n_z"))
+    early = F.col("first") <= F.col("second")
     threes = threes.select(
-        "lang", F.concat_ws(" ", "first", "second", "third").alias("phrase"), "a",
-        F.when(early, F.col("l1")).otherwise(F.col("l2")).alias("l"), F.when(early, F.col("r1")).otherwise(F.col("r2")).alias("r"), F.least("s1", "s2").alias("score"),
+        "lang", F.concat_ws(" ", "word_x", "word_y", "word_z").alias("phrase"), "a",
+        F.when(early, F.col("n_x")).otherwise(F.col("n_xy")).alias("l"), F.when(early, F.col("n_yz")).otherwise(F.col("n_z")).alias("r"), F.least("first", "second").alias("score"),
     )
     every = twos.unionByName(threes)
     order = (F.desc("score"), F.desc("a"), "phrase")
@@ -392,7 +422,7 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     some = every.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top).drop("part", "rank")
     best = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     found = written(best.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "phrases")
-    dropped(words, coded, pairs, triples)
+    dropped(words, pairs, triples, *([] if coded is None else [coded]))
     return found
 
 
