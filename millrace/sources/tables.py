@@ -26,6 +26,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{top}/millrace/{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below scratch() that nothing reads any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def round_trip(df: DataFrame, form: str, **options: str) -> DataFrame:
     """df written in a format and read again with its own schema, so nothing is inferred."""
     path = scratch(df.sparkSession)

@@ -1,28 +1,35 @@
-"""Streams over the events table. Each reads it as files arrive, runs until all are read, and returns its sink.
+"""Streams over the events table. Each reads it file by file as a stream of files gives it, runs until all are read, and returns its result.
 
-The sink is a Parquet folder beside the stream's checkpoint, both in the shared folder, so a stream goes on
-where it stopped.
+Nothing is sorted or copied beforehand. How far a file's events lie behind those of files before it, the table's disorder,
+is measured by one aggregate of times by file, and the watermark waits for so long: no event of the table is late, and state goes
+as soon as the order of files allows. `millrace.streaming.late` is about events that come later than the watermark waits.
 
-Streams with a watermark read a copy of the table that is dealt out by time, one range of it a file, in order of
-time, so no event comes after a watermark that has passed it. Where windows are closed by the watermark, one row
-without a user and far later than all events follows: it closes the windows still open, and its own stays open.
+What a watermark would only close after the end of the table is read from the stream's state: closed windows come from
+the sink, open ones from the state store. Windows and sessions hold the events that have a time. Checkpoints lie in the shared folder while a stream runs, and are deleted with it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.registry import query
-from millrace.sources.tables import scratch, table
+from millrace.sources.tables import discard, scratch, table
+
+#: Least time that a watermark waits.
+DELAY = 60 * 60
 
-DELAY = "1 hour"
+#: Files of a micro-batch.
+FILES = 4
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """The table as a stream, with an event time that watermarks accept. A table is a file or a folder of files."""
     schema = table(spark, sf_dir, name).schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 4)
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", FILES)
     path = f"{sf_dir}/{name}.parquet"
     whole = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     is_file = whole.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(whole).isFile()
@@ -30,76 +37,85 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _put_in_order(spark: SparkSession, path: str) -> bool:
-    """Give the files of path's folders times that rise with their names, as streams read files in order of time. False where the store keeps no such times."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = sorted(
-        (f"{part.getPath().getName()}/{f.getPath().getName()}", f.getPath(), f.getModificationTime())
-        for part in fs.listStatus(folder) for f in fs.listStatus(part.getPath()) if f.getPath().getName().endswith(".parquet")
-    )
-    start = max((t for _, _, t in found), default=0) // 1000 - len(found)
-    for k, (_, f, _) in enumerate(found):
-        fs.setTimes(f, (start + k) * 1000, -1)
-    return all(fs.getFileStatus(f).getModificationTime() == (start + k) * 1000 for k, (_, f, _) in enumerate(found))
-
-
-def in_order(spark: SparkSession, sf_dir: str, name: str = "events", close: bool = False) -> DataFrame:
-    """The table as a stream in order of event time, with its watermark. close: a last row closes all windows of at most a day."""
-    path = scratch(spark)
-    events = table(spark, sf_dir, name).withColumn("ts", F.col("ts").cast("timestamp"))
-    events.repartitionByRange("ts", "event_id").sortWithinPartitions("ts", "event_id").write.parquet(f"{path}/0")
-    if close:
-        last = events.agg((F.max("ts") + F.expr(f"interval {DELAY}") + F.expr("interval 2 days")).alias("ts")).where("ts is not null")
-        last.select(*(F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema)).write.parquet(f"{path}/1")
-    files = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true")
-    if _put_in_order(spark, path):  # else all files are one batch, in which nothing is late
-        files = files.option("maxFilesPerTrigger", 4)
-    return files.parquet(path).withWatermark("ts", DELAY)
-
-
-def run(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that there is, and return its sink. Other modes than append keep the last batch's state."""
+def disorder(events: DataFrame) -> int:
+    """Seconds by which the first event of a file lies behind the last one of files that may be read before it, at most. Files are read in order of their times; of equal ones any may come first."""
+    files = events.groupBy("_metadata.file_path", "_metadata.file_modification_time").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    # a row for each time that files have: of its files, and of all earlier ones
+    times = files.groupBy("file_modification_time").agg(F.min("first").alias("first"), F.max("last").alias("last")).where("first is not null")
+    before = F.expr("max(last) over (order by file_modification_time rows between unbounded preceding and current row)")
+    behind = times.withColumn("before", before).agg(F.max(F.unix_micros(F.col("before").cast("timestamp")) - F.unix_micros(F.col("first").cast("timestamp"))))
+    return max(0, (behind.first()[0] or 0) // 1_000_000) + 1
+
+
+def timely(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
+    """The table as a stream whose watermark waits long enough for each of its events."""
+    delay = max(DELAY, disorder(table(spark, sf_dir, name)))
+    return stream(spark, sf_dir, name).withWatermark("ts", f"{delay} seconds")
+
+
+def run(df: DataFrame, mode: str = "append", rest: Callable[[str], DataFrame] | None = None) -> DataFrame:
+    """Run a stream over all that there is. In update mode the rows have the number of their `batch`. rest: from the checkpoint's path, what is still open in the state."""
     spark = df.sparkSession
     top = scratch(spark)
     out = df.writeStream.option("checkpointLocation", f"{top}/state").trigger(availableNow=True)
     if mode == "append":
         out = out.format("parquet").option("path", f"{top}/sink").outputMode("append")
     else:
-        out = out.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{top}/sink"))
+        # a batch that is run again writes its own folder again
+        out = out.outputMode(mode).foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{top}/sink/batch={n}"))
     out.start().awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{top}/sink")
+    schema = df.schema if mode == "append" else StructType([*df.schema.fields]).add("batch", "long")
+    found = spark.read.schema(schema).parquet(f"{top}/sink")
+    if rest:
+        rest(f"{top}/state").select(*df.columns).write.parquet(f"{top}/rest")
+        found = found.unionByName(spark.read.schema(df.schema).parquet(f"{top}/rest"))
+    discard(spark, f"{top}/state")
+    return found
+
+
+def _start(window: str = "w") -> F.Column:
+    return F.date_format(F.col(window)["start"], "yyyy-MM-dd HH:mm:ss").alias("start")
 
 
-def _start() -> F.Column:
-    return F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start")
+def latest(found: DataFrame, *keys: str) -> DataFrame:
+    """Of an update stream's rows, the last one for each key."""
+    values = [c for c in found.columns if c not in (*keys, "batch")]
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_tumbling_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(stream(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(_start(), "n"), "complete")
+    """Every batch gives all windows; the last one's are the result."""
+    found = run(stream(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n")).select(_start(), "n"), "complete")
+    return latest(found, "start")
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows as the watermark closes them."""
-    return run(in_order(spark, sf_dir, close=True).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(_start(), "event_type", "n"))
+    """Windows as batches change them; the watermark lets state go."""
+    counts = timely(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return latest(run(counts.select(_start(), "event_type", "n"), "update"), "start", "event_type")
 
 
 @query("""
-WITH a AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+WITH a AS (SELECT *, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM b GROUP BY user_id, s
 """)
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(in_order(spark, sf_dir, close=True).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n")).select("user_id", _start(), "n"))
+    """Sessions that the watermark has closed, and those still open in the state."""
+    def rest(state: str) -> DataFrame:
+        held = spark.read.format("statestore").load(state)
+        return held.select("key.user_id", _start("value.session_window"), F.col("value.count").alias("n"))
+
+    sessions = timely(spark, sf_dir).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
+    return run(sessions.select("user_id", _start(), "n"), rest=rest)
 
 
 @query("SELECT event_id, user_id FROM events")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event once, though the stream is given twice."""
-    events = in_order(spark, sf_dir)
+    events = timely(spark, sf_dir)
     return run(events.unionByName(events).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id"))
 
 
@@ -109,7 +125,7 @@ WHERE p.event_type = 'purchase' AND v.event_type = 'view'
 """)
 def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases with the user's views of the hour before; the bound on time lets state go."""
-    events = in_order(spark, sf_dir)
+    events = timely(spark, sf_dir)
     buy = events.where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("u"), F.col("ts").alias("bought"))
     view = events.where("event_type = 'view'").select(F.col("event_id").alias("view_id"), "user_id", "ts")
     return run(buy.join(view, F.expr("u = user_id and ts between bought - interval 1 hour and bought")).select("event_id", "view_id"))
@@ -117,7 +133,7 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals by user in state of our own, given and forgotten once the user has been quiet for a day of event time."""
+    """Totals by user in state of our own, given and forgotten once the user has been quiet for a day of event time. Events without a time count, too."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -125,18 +141,22 @@ def stream_custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def add(key, frames, state):
         if state.hasTimedOut:
-            n, total, _ = state.get
+            n, valued, total, _ = state.get
             state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "valued": [valued], "total": [total]})
             return
-        n, total, last = state.get if state.exists else (0, 0.0, 0)
+        n, valued, total, last = state.get if state.exists else (0, 0, 0.0, 0)
         for f in frames:
-            n, total = n + len(f), total + float(f["value"].sum())
-            last = max(last, int(f["ts"].max().timestamp() * 1000))
-        state.update((n, total, last))
+            n, valued, total = n + len(f), valued + int(f["value"].count()), total + float(f["value"].sum())
+            last = max([last, *(int(t.timestamp() * 1000) for t in f["ts"].dropna().nlargest(1))])
+        state.update((n, valued, total, last))
         state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + day)
 
-    schema = "user_id long, n long, total double"
-    events = in_order(spark, sf_dir, close=True).select("user_id", "value", "ts")
-    totals = events.groupBy("user_id").applyInPandasWithState(add, schema, "n long, total double, last long", "append", GroupStateTimeout.EventTimeTimeout)
-    return run(totals).groupBy("user_id").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+    def rest(state: str) -> DataFrame:
+        return spark.read.format("statestore").load(state).select("key.user_id", "value.groupState.n", "value.groupState.valued", "value.groupState.total")
+
+    schema = "user_id long, n long, valued long, total double"
+    events = timely(spark, sf_dir).select("user_id", "value", "ts")
+    totals = events.groupBy("user_id").applyInPandasWithState(add, schema, "n long, valued long, total double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    found = run(totals, rest=rest).groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("valued").alias("valued"), F.sum("total").alias("total"))
+    return found.select("user_id", "n", F.when(F.col("valued") > 0, F.round("total", 4)).alias("total"))
