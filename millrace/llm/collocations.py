@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.common import Bitmap, dropped, in_arrow, slices, written
+from millrace.llm.common import Bitmap, dropped, give_back, in_arrow, slices, written
 from millrace.llm.words import classes, heaviest, merged_tables, split, sums_by
 
 #: Words are separated by blanks and tabs, pieces by these marks and ends of lines.
@@ -41,7 +41,7 @@ HELD_WORDS, HELD_PAIRS = 1 << 18, 1 << 20
 WORD_BITS = 18
 
 #: Side of a tile, tiles from the origin in each direction that may be counted by direct address, and the pairs that make it worth while.
-SIDE, NEAR, WORTH = 1024, 4, 1 << 16
+SIDE, NEAR, WORTH = 512, 6, 1 << 15
 
 #: Texts that are split at a time, counts of words that a task sums up, pairs it gathers before it counts them, and distinct pairs it holds.
 TEXTS, COUNTED, GATHERED, DISTINCT = 2048, 1_000_000, 1 << 20, 1 << 21
@@ -397,8 +397,10 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.where(F.col("n") >= least)
     vocabulary, names, coded = _vocabulary(frequent, _seed(words, least), min(held_words, 1 << WORD_BITS))
+    give_back()  # the driver's copies of what tasks hold
     pairs = written(pair_counts(rows, vocabulary).where(F.col("n") >= least), "pairs")
     triples = written(triple_counts(rows, vocabulary, _pairs(pairs, held_pairs)).where(F.col("n") >= least), "triples")
+    give_back()
 
     # the most frequent phrase around each pair
     around = triples.select(F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("z").alias("y")))).alias("p"), "n").groupBy("p.x", "p.y").agg(F.max("n").alias("around"))
