@@ -1,4 +1,4 @@
-"""String, date, number, array and JSON functions, built in and inside the JVM; vector search and the UDF surface in Arrow batches."""
+"""String, date, number, array and JSON functions, built in and inside the JVM; the UDF surface in Arrow batches."""
 
 from __future__ import annotations
 
@@ -6,11 +6,11 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.registry import query
-from millrace.sources.tables import scratch, table
+from millrace.sources.tables import table
 
 
 @query("""
@@ -96,78 +96,6 @@ def fn_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""
-WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0),
-s AS (SELECT q.vec_id, e.vec_id AS other, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS c FROM q JOIN embeddings e ON q.vec_id <> e.vec_id)
-SELECT vec_id, other, round(c, 6) AS cosine FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, other) <= 5
-""")
-def fn_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar vectors of each query. Queries are numbered and written in blocks; each block's unit vectors are broadcast to a scan of all vectors."""
-    vectors = table(spark, sf_dir, "embeddings")
-    return nearest(vectors, vectors.where("vec_id % 100 = 0"))
-
-
-def _units(column: pd.Series) -> np.ndarray:
-    m = np.stack(column.map(lambda e: np.asarray(e, dtype=float)))
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
-def _best(rows: np.ndarray, c: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest c of each of the rows, ties by other."""
-    order = np.lexsort((other, -c, rows))
-    first = np.concatenate([[True], np.diff(rows[order]) != 0]) if len(order) else np.zeros(0, dtype=bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    return order[np.arange(len(order)) - start < k]
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 10_000) -> DataFrame:
-    """vec_id, other, cosine of the k most similar vectors of each query.
-
-    The driver holds one block of queries at a time, and a count for each partition of the query table.
-    """
-    spark = vectors.sparkSession
-    top, schema = scratch(spark), "vec_id long, other long, c double"
-    queries.select("vec_id", "embedding", F.monotonically_increasing_id().alias("n")).write.parquet(f"{top}/queries")
-    numbered = spark.read.parquet(f"{top}/queries")
-    parts = numbered.groupBy(F.shiftright("n", 33).alias("part")).count().orderBy("part").toPandas()
-    if parts.empty:
-        return spark.createDataFrame([], "vec_id long, other long, cosine double")
-    starts = spark.createDataFrame(pd.DataFrame({"part": parts["part"], "start": parts["count"].cumsum() - parts["count"]}))
-    at = F.col("start") + F.col("n").bitwiseAND(2**33 - 1)
-    blocks = numbered.withColumn("part", F.shiftright("n", 33)).join(F.broadcast(starts), "part").select("vec_id", "embedding", F.floor(at / block).cast("int").alias("block"))
-    blocks.write.partitionBy("block").parquet(f"{top}/blocks")
-
-    for b in range(-(-int(parts["count"].sum()) // block)):
-        mine = spark.read.schema("vec_id long, embedding array<float>").parquet(f"{top}/blocks/block={b}").toPandas()
-        ids, matrix = mine["vec_id"].to_numpy(), _units(mine["embedding"])
-
-        def best(frames, ids=ids, matrix=matrix):
-            # the k best of each query so far: its place in the block, the cosine and the other id
-            held = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
-            for f in frames:
-                if not len(f):
-                    continue
-                other, others = f["vec_id"].to_numpy(), _units(f["embedding"])
-                found = [held]
-                for s in range(0, len(ids), 256):
-                    c = matrix[s : s + 256] @ others.T
-                    c[ids[s : s + 256, None] == other[None, :]] = -2
-                    least = np.partition(c, -k, axis=1)[:, -k] if c.shape[1] > k else np.full(len(c), -2.0)
-                    row, col = np.nonzero((c >= np.where(np.isnan(least), -2, least)[:, None]) & (c > -2))
-                    x, o = c[row, col], other[col]
-                    keep = _best(row, x, o, k)
-                    found.append((row[keep] + s, x[keep], o[keep]))
-                rows, c, o = (np.concatenate(x) for x in zip(*found, strict=True))
-                keep = _best(rows, c, o, k)
-                held = rows[keep], c[keep], o[keep]
-            yield pd.DataFrame({"vec_id": ids[held[0]], "other": held[2], "c": held[1]})
-
-        vectors.select("vec_id", "embedding").mapInPandas(best, schema).write.mode("append").parquet(f"{top}/found")
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("c"), "other"))
-    found = spark.read.schema(schema).parquet(f"{top}/found")
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "other", F.round("c", 6).alias("cosine"))
-
-
 @query("SELECT lower(word) AS word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1")
 def fn_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("word"))
@@ -179,24 +107,24 @@ def fn_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"), F.levenshtein("lang", "source").alias("distance"))
 
 
-@query("SELECT user_id, round(exp(sum(ln(value)) / count(*)), 4) AS mean FROM events GROUP BY user_id")
+@query("SELECT user_id, round(exp(sum(ln(value)) / count(value)), 4) AS mean FROM events GROUP BY user_id")
 def udf_geometric_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grouped function in pandas over partial sums: each task sends one row a user, whatever its events."""
+    """A mean over partial sums in pandas: each task sends one row a user, whatever its events. Null values don't count; events without a user are a user."""
     def logs(frames):
         for f in frames:
-            g = np.log(f["value"]).groupby(f["user_id"]).agg(["sum", "count"]).reset_index()
-            yield pd.DataFrame({"user_id": g["user_id"], "s": g["sum"], "n": g["count"]})
+            g = np.log(f["value"]).groupby(f["user_id"], dropna=False).agg(["sum", "count"]).reset_index()
+            yield pd.DataFrame({"user_id": g["user_id"].astype("Int64"), "s": g["sum"], "n": g["count"]})
 
     part = table(spark, sf_dir, "events").select("user_id", "value").mapInPandas(logs, "user_id long, s double, n long")
-    return part.groupBy("user_id").agg(F.round(F.exp(F.sum("s") / F.sum("n")), 4).alias("mean"))
+    return part.groupBy("user_id").agg(F.round(F.exp(F.try_divide(F.sum("s"), F.sum("n"))), 4).alias("mean"))
 
 
 @query("SELECT conv_id, turn, role || ': ' || CAST(length(text) AS VARCHAR) AS shown FROM conversations")
 def udf_arrow_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scalar function in pandas, in Arrow batches."""
+    """A scalar function in pandas, in Arrow batches. A null role or text gives null."""
     @F.pandas_udf("string")
     def shown(role: pd.Series, text: pd.Series) -> pd.Series:
-        return role + ": " + text.str.len().astype("int64").astype(str)
+        return role + ": " + text.str.len().astype("Int64").astype("string")
 
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", shown("role", "text").alias("shown"))
 
