@@ -34,7 +34,7 @@ from millrace.llm.common import Recent, in_arrow, map_batches, slices
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 
-#: Frequent function words of the languages at hand.
+#: Frequent function words of the languages at hand. Texts that are mostly in another script aren't held against them.
 FUNCTION_WORDS = frozenset(
     b"the of and to in a is that it for on was be with as this by at are or from an not "
     b"der die und das den von zu mit ist des im ein eine nicht auf sich dem als auch "
@@ -44,6 +44,7 @@ FUNCTION_WORDS = frozenset(
 _SYMBOLS = b"#$%&*|~^_={}<>[]\\!"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LETTERS = _UPPER + _UPPER.lower()
+_ASCII = bytes(range(128))
 _TAIL = re.compile(rb"[^\w\s\x80-\xff]{2,}(?=\s|$)")
 
 
@@ -71,13 +72,14 @@ def _votes(text: Facts) -> list[int]:
     letters = max(1, len(raw) - len(raw.translate(None, _LETTERS)))
     symbols = (len(raw) - len(raw.translate(None, _SYMBOLS))) / len(raw)
     upper = (len(raw) - len(raw.translate(None, _UPPER))) / letters
+    foreign = 2 * len(raw.translate(None, _ASCII)) > len(raw)  # a script that none of the listed words is written in
     function = sum(map(FUNCTION_WORDS.__contains__, raw.lower().split())) / n
     tails = len(_TAIL.findall(raw)) / n
     return [
         _bands(symbols, 0.008, 0.03),
         _bands(upper, 0.12, 0.35),
         _bands(text.again, 0.02, 0.15),
-        _bands(function, 0.10, 0.03) if n >= 20 else ABSTAIN,
+        _bands(function, 0.10, 0.03) if n >= 20 and not foreign else ABSTAIN,
         _bands(tails, 0.02, 0.10),
         _bands(text.distinct, 0.35, 0.12) if n >= 50 else ABSTAIN,
         _bands(len(raw) / n, 8.0, 10.0) if n >= 20 else ABSTAIN,
@@ -122,7 +124,7 @@ _RUNS = (re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"
 
 def word_features(word: bytes) -> list[int]:
     """Shape, ending, length and, of a short word, the word itself."""
-    shape = word[:64]
+    shape = word
     for run, mark in zip(_RUNS, (b"A", b"a", b"0"), strict=True):
         shape = run.sub(mark, shape)
     names = [b"shape " + shape, b"end " + word[-3:] if not word[-1:].isalnum() and word[-1] < 128 else b"end", b"length %d" % min(len(word), 20)]

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm.quality import ABSTAIN, BAD, GOOD, LABELLERS, Scorer, classify, code_of, document_features, fit_labels, fit_scorer, keep_good, votes
+from millrace.llm.quality import ABSTAIN, BAD, GOOD, LABELLERS, Scorer, classify, code_of, document_features, fit_labels, fit_scorer, keep_good, votes, word_features
 
 
 def test_label_model_finds_accuracies():
@@ -127,3 +127,33 @@ def test_scorer_against_plain_loops():
     scorer = Scorer(weights, bias)
     for t, f in zip(texts, features):
         assert abs(scorer(t) - 1 / (1 + math.exp(-(sum(w.get(k, 0.0) * x for k, x in f.items()) + b)))) < 1e-6
+
+
+def test_other_scripts_and_long_words():
+    """The list of function words says nothing of other scripts, and a word's shape is that of all of it."""
+    at = LABELLERS.index("function words")
+    assert votes("это простой текст на другом языке " * 10)[at] == ABSTAIN and votes("xy zz qq ww " * 10)[at] == BAD
+    long = b"aB" * 100
+    assert word_features(long + b"1") != word_features(long + b"-")
+    assert word_features(b"a" * 500 + b"7")[0] == word_features(b"a7")[0]
+
+
+def test_classify_as_a_whole(spark, sf_dir):
+    """Votes, label model, training and scores of a table by plain loops over its rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ordered = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h")).orderBy("h", "doc_id").collect()
+    codes = np.array([code_of(r["text"]) for r in ordered])
+    known, counts = np.unique(codes, return_counts=True)
+    posterior = dict(zip(known.tolist(), fit_labels(known[:, None] // 3 ** np.arange(len(LABELLERS)) % 3, counts)[0], strict=True))
+    features = [{k: float(np.float32(x)) for k, x in document_features(r["text"]).items()} for r in ordered]
+    scorer = Scorer(*fit_scorer(features, np.array([posterior[c] for c in codes.tolist()])))
+    found = {r["doc_id"]: r for r in classify(docs).collect()}
+    assert len(found) == len(ordered)
+    for r, code in zip(ordered, codes.tolist(), strict=True):
+        f = found[r["doc_id"]]
+        assert f["votes"] == code and abs(f["posterior"] - posterior[code]) < 1e-12
+        assert abs(f["score"] - scorer(r["text"])) < 1e-9 and f["kept"] == (f["score"] >= 0.3)
+    kept = {i for i, r in found.items() if r["kept"]}
+    assert {r["doc_id"] for r in keep_good(docs).collect()} == kept and 0 < len(kept) < len(found)
