@@ -2,8 +2,8 @@
 
 Each source gets a share of the budget by its weight, but at most `max_epochs` times its
 own size. What capped sources leave goes to the others by weight, again and again until no
-source is above its cap. The sources stay a table: a round sums it and sends two numbers
-to the driver.
+source is above its cap. Sources are capped in order of cap / weight, so one sort of the table of sources
+with running sums finds the level at which that ends; one number goes to the driver.
 
 A source whose target is k + f times its size is taken k times whole, and once more up to
 the fraction f. For that its documents are put into a seeded random order, and the first
@@ -53,21 +53,16 @@ def _weighted(sizes: DataFrame, weights: Sequence[float]) -> DataFrame:
 def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFrame:
     """source, source_size, target. sources: source, source_size, weight."""
     cap = F.col("source_size") * F.lit(float(max_epochs))
-    level = 0.0
-    while True:
-        # a source is capped once its share at this level reaches its cap; levels only rise
-        full = F.col("weight") * F.lit(level) >= cap
-        left = sources.agg(
-            F.sum(F.when(full, cap).otherwise(F.lit(0.0))).alias("held"),
-            F.sum(F.when(full, F.lit(0.0)).otherwise(F.col("weight"))).alias("open"),
-        ).first()
-        if not left["open"]:
-            break
-        new = (budget - left["held"]) / left["open"]
-        if new <= level * (1 + 1e-12):
-            break
-        level = new
-    return sources.select("source", "source_size", F.least(cap, F.col("weight") * F.lit(level)).alias("target"))
+    open_at = cap / F.col("weight")  # the level at which a source is full
+    before = Window.orderBy("full", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each source
+    every = Window.orderBy("full").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held, used = (F.coalesce(F.sum(x).over(before), F.lit(0.0)) for x in (cap, F.col("weight")))
+    level = (F.lit(float(budget)) - held) / (F.sum("weight").over(every) - used)
+    ranked = sources.withColumn("full", open_at).withColumn("level", level)
+    # the highest level that the first source still open can take; if there is none, all are full
+    found = ranked.agg(F.max(F.when(F.col("level") <= F.col("full"), F.col("level"))).alias("level"), F.max("full").alias("top")).first()
+    reached = found["level"] if found["level"] is not None else found["top"]
+    return sources.select("source", "source_size", F.least(cap, F.col("weight") * F.lit(float(reached or 0.0))).alias("target"))
 
 
 def _plan(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
