@@ -119,21 +119,28 @@ def fit_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> t
 
 #: Hashed features of the scorer.
 WIDTH = 1 << 14
-_RUNS = (re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+"))
+_MARKS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256))
+_RUN = re.compile(rb"([Aa0])\1+")
 
 
-def word_features(word: bytes) -> list[int]:
-    """Shape, ending, length and, of a short word, the word itself."""
-    shape = word
-    for run, mark in zip(_RUNS, (b"A", b"a", b"0"), strict=True):
-        shape = run.sub(mark, shape)
-    names = [b"shape " + shape, b"end " + word[-3:] if not word[-1:].isalnum() and word[-1] < 128 else b"end", b"length %d" % min(len(word), 20)]
+def word_names(word: bytes) -> list[bytes]:
+    """Shape (runs of capitals, other letters and digits as one mark each), ending, length and, of a short word, the word itself."""
+    end = b"end " + word[-3:] if not word[-1:].isalnum() and word[-1] < 128 else b"end"
+    names = [b"shape " + _RUN.sub(rb"\1", word.translate(_MARKS)), end, b"length %d" % min(len(word), 20)]
     if len(word) <= 5:
         names.append(b"word " + word.lower())
-    return [xxhash.xxh32_intdigest(x) % WIDTH for x in names]
+    return names
+
+
+def feature(name: bytes) -> int:
+    return xxhash.xxh32_intdigest(name) % WIDTH
+
+
+def word_features(word: bytes) -> list[int]:
+    return list(map(feature, word_names(word)))
 
 
-_AGAIN, _SAME = (xxhash.xxh32_intdigest(x) % WIDTH for x in (b"again", b"same"))
+_AGAIN, _SAME = feature(b"again"), feature(b"same")
 
 
 def _extra(text: Facts) -> tuple[float, float]:
@@ -174,11 +181,12 @@ def fit_scorer(features: list[dict[int, float]], target: np.ndarray, epochs: int
 
 
 class Scorer:
-    """Scores texts with fitted weights. A word's share of the score is remembered."""
+    """Scores texts with fitted weights. A word's share of the score is remembered, and so are those of shapes and endings, which recur in new words."""
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights, bias
-        self.worth = Recent(lambda w: float(weights[word_features(w)].sum()), 100_000)
+        self.parts = Recent(lambda name: float(weights[feature(name)]), 50_000)
+        self.worth = Recent(lambda w: sum(map(self.parts.__getitem__, word_names(w))), 100_000)
 
     def of(self, text: Facts) -> float:
         if not text.words:
