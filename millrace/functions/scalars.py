@@ -22,7 +22,7 @@ def fn_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(
         "c_custkey", F.upper("c_name").alias("up"), F.length("c_name").alias("n"), F.substring("c_name", 3, 5).alias("part"),
         F.replace(F.col("c_name"), F.lit("u"), F.lit("_")).alias("swapped"), F.lpad(F.col("c_custkey").cast("string"), 8, "0").alias("padded"),
-        F.reverse("c_mktsegment").alias("back"), F.concat_ws("-", "c_mktsegment", "c_nationkey").alias("joined"),
+        F.reverse("c_mktsegment").alias("back"), F.concat("c_mktsegment", F.lit("-"), "c_nationkey").alias("joined"),
     )
 
 

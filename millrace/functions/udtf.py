@@ -79,9 +79,9 @@ def udtf_lateral_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id)),
-b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id) AS s FROM a)
-SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_event, count(*) AS n FROM b GROUP BY user_id, event_type, s
+WITH a AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST)),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS s FROM a)
+SELECT user_id, event_type, list(event_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST)[1] AS first_event, count(*) AS n FROM b GROUP BY user_id, event_type, s
 """)
 def udtf_table_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's runs of events of one type; the function itself says how its table is dealt out and ordered."""

@@ -47,7 +47,7 @@ def fn_variant_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = parsed(table(spark, sf_dir, "events").withColumn("j", made), "j")
     paths = {"first_tag": ("$.tags[0]", "string"), "third_tag": ("$.tags[2]", "long"), "day": ("$.at.day", "date"), "no_number": ("$.tags[0]", "int")}
-    second = F.is_variant_null(F.try_variant_get("v", "$.tags[1]", "variant")).alias("second_is_null")
+    second = F.when(F.col("v").isNotNull(), F.is_variant_null(F.try_variant_get("v", "$.tags[1]", "variant"))).alias("second_is_null")
     return rows.select("event_id", *read("v", paths), second)
 
 

@@ -32,23 +32,27 @@ def running_sum(rows: DataFrame, by: Sequence[str], order: Sequence[str], amount
     return summed.join(starts, same).select(*rows.columns, (F.col("before") + F.col("inside")).alias("running"))
 
 
-def quantile(rows: DataFrame, by: str, value: str, share: float, name: str) -> DataFrame:
-    """by, name: the exact quantile of each group, between two values in proportion. Nulls don't count."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n"))
-    placed = running_sum(counts, [by], [value], "n")
-    totals = counts.groupBy(by).agg(((F.sum("n") - 1) * share).alias("place"))
-    near = placed.join(totals, by).where((F.col("running") > F.floor("place")) & (F.col("running") - F.col("n") <= F.ceil("place")))  # two values at most
-    at = lambda rank: F.max(F.when((F.col("running") > rank) & (F.col("running") - F.col("n") <= rank), F.col(value)))
-    found = near.groupBy(by).agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.first("place").alias("place"))
-    return found.select(by, (F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))).alias(name))
+def quantiles(rows: DataFrame, by: str, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """by and a column for each name: the exact quantile (column, share) of each group, between two values in proportion. Nulls don't count; one order serves all."""
+    pairs = F.array(*(F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("value"), F.lit(float(share)).alias("share")) for name, (c, share) in wanted.items()))
+    counts = rows.select(by, F.explode(pairs).alias("x")).where("x.value is not null").groupBy(by, "x.name", "x.value", "x.share").agg(F.count("*").alias("n"))
+    placed = running_sum(counts, [by, "name"], ["value"], "n")
+    totals = placed.groupBy(F.col(by).alias("_by"), F.col("name").alias("_name")).agg(((F.max("running") - 1) * F.max("share")).alias("place"))
+    same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("name") == F.col("_name"))
+    near = placed.join(totals, same)
+    at = lambda rank: F.max(F.when((F.col("running") > rank) & (F.col("running") - F.col("n") <= rank), F.col("value")))
+    found = near.groupBy(by, "name").agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.first("place").alias("place"))
+    value = F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place"))
+    each = found.groupBy(F.col(by).alias("_by")).agg(*(F.max(F.when(F.col("name") == name, value)).alias(name) for name in wanted))
+    # groups without a value are there, too
+    return rows.select(by).distinct().join(each, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 @query("SELECT l_returnflag, median(l_quantity) AS mid, round(quantile_cont(l_extendedprice, 0.25), 4) AS low FROM lineitem GROUP BY l_returnflag")
 def agg_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_extendedprice")
-    mid = quantile(lines, "l_returnflag", "l_quantity", 0.5, "mid")
-    low = quantile(lines, "l_returnflag", "l_extendedprice", 0.25, "low")
-    return mid.join(low, "l_returnflag").select("l_returnflag", "mid", F.round("low", 4).alias("low"))
+    found = quantiles(lines, "l_returnflag", {"mid": ("l_quantity", 0.5), "low": ("l_extendedprice", 0.25)})
+    return found.select("l_returnflag", "mid", F.round("low", 4).alias("low"))
 
 
 @query("SELECT s_suppkey, count(*) AS n FROM supplier JOIN part ON p_retailprice BETWEEN s_acctbal AND s_acctbal + 50 GROUP BY s_suppkey")

@@ -73,8 +73,10 @@ def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The user's last view at or before each purchase: one sort by user and time, no join."""
     events = table(spark, sf_dir, "events").where("event_type in ('view', 'purchase')")
     upto = Window.partitionBy("user_id").orderBy("ts", F.desc("event_type")).rowsBetween(Window.unboundedPreceding, 0)
-    seen = events.withColumn("view_id", F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(upto))
-    return seen.where("event_type = 'purchase'").select("event_id", "view_id")
+    # only views of a user and a time are seen; a struct, so that a view without an id isn't passed over
+    view = F.when((F.col("event_type") == "view") & F.col("user_id").isNotNull() & F.col("ts").isNotNull(), F.struct("event_id"))
+    seen = events.withColumn("seen", F.last(view, ignorenulls=True).over(upto))
+    return seen.where("event_type = 'purchase'").select("event_id", F.col("seen.event_id").alias("view_id"))
 
 
 _LOW = "SELECT c_nationkey AS k FROM customer WHERE c_acctbal < 2000"
@@ -159,13 +161,13 @@ def unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TREE = """
-SELECT concat('r', r_regionkey) AS node, r_name AS root, 0 AS depth FROM {region}
+SELECT 'r' || r_regionkey AS node, r_name AS root, 0 AS depth FROM {region}
 UNION ALL SELECT child, root, depth + 1 FROM tree JOIN edge ON parent = node"""
 _EDGE = """
-SELECT concat('r', n_regionkey) AS parent, concat('n', n_nationkey) AS child FROM {nation}
-UNION ALL SELECT concat('n', s_nationkey), concat('s', s_suppkey) FROM {supplier}
-UNION ALL SELECT concat('n', c_nationkey), concat('c', c_custkey) FROM {customer}
-UNION ALL SELECT concat('c', o_custkey), concat('o', o_orderkey) FROM {orders}"""
+SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey AS child FROM {nation}
+UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM {supplier}
+UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM {customer}
+UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM {orders}"""
 _NAMES = ("region", "nation", "supplier", "customer", "orders")
 _COUNTED = "SELECT root, depth, count(*) AS n FROM tree GROUP BY root, depth"
 

@@ -40,7 +40,7 @@ def sample_weighted(rows: DataFrame, key: str, weight: str, n: int, seed: int =
     return rows.where(F.col(weight) > 0).withColumn("_score", score).orderBy(F.desc("_score"), key).limit(n).drop("_score")
 
 
-_DRAW = "md5('{seed}:' || CAST({key} AS VARCHAR))"
+_DRAW = "md5('{seed}:' || coalesce(CAST({key} AS VARCHAR), ''))"
 
 
 @query(f"SELECT o_orderkey, o_custkey FROM orders WHERE substr({_DRAW.format(seed=5, key='o_custkey')}, 1, 15) < '199999999999999'")

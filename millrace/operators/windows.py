@@ -1,4 +1,4 @@
-"""Window functions."""
+"""Window functions. Nulls come last in their orders."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ _W = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 
 
 def _by_user() -> Window:
-    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
 
 
 @query(f"""

@@ -75,4 +75,5 @@ def report_share_of_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
     sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.sum("l_quantity").alias("q"))  # before the join: a row for each part
     parts = sold.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     totals = parts.groupBy("p_brand").agg(F.sum("q").alias("total"))  # few brands, so no task gets all parts of one
-    return parts.join(totals, "p_brand").select("p_brand", "p_partkey", F.round("q", 2).alias("quantity"), F.round(F.col("q") / F.col("total"), 8).alias("share"))
+    totals = totals.withColumnRenamed("p_brand", "of")
+    return parts.join(totals, F.col("p_brand").eqNullSafe(F.col("of"))).select("p_brand", "p_partkey", F.round("q", 2).alias("quantity"), F.round(F.col("q") / F.col("total"), 8).alias("share"))

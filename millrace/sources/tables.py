@@ -71,9 +71,9 @@ def source_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_orders(spark, sf_dir), "xml", rowTag="order", rootTag="orders")
 
 
-@query("SELECT o_orderkey || ' ' || o_orderpriority AS value FROM orders")
+@query("SELECT o_orderkey || ' ' || o_orderpriority AS value FROM orders WHERE o_orderkey IS NOT NULL AND o_orderpriority IS NOT NULL")
 def source_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "orders").select(F.concat_ws(" ", "o_orderkey", "o_orderpriority").alias("value"))
+    lines = table(spark, sf_dir, "orders").select(F.concat("o_orderkey", F.lit(" "), "o_orderpriority").alias("value")).where("value is not null")
     return round_trip(lines, "text")
 
 

@@ -112,10 +112,10 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(sessions.select("user_id", _start(), "n"), rest=rest)
 
 
-@query("SELECT event_id, user_id FROM events")
+@query("SELECT event_id, user_id FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event once, though the stream is given twice."""
-    events = timely(spark, sf_dir)
+    """Each event that has an id and a time once, though the stream is given twice."""
+    events = timely(spark, sf_dir).where("event_id is not null and ts is not null")
     return run(events.unionByName(events).dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id"))
 
 

@@ -48,8 +48,17 @@ def top(counts: dict[str, int]) -> str | None:
     return min(counts, key=lambda t: (-counts[t], t.encode()), default=None)
 
 
+def keyed(events: DataFrame) -> DataFrame:
+    """events with keys that are never null, as processors mix up null numbers: whether there is a user, and which."""
+    return events.withColumn("known", F.col("user_id").isNotNull()).withColumn("user", F.coalesce("user_id", F.lit(0).cast("long")))
+
+
+def _user(key: tuple) -> int | None:
+    return key[1] if key[0] else None
+
+
 class Days(StatefulProcessor):
-    """Key: user_id and day. A list of the day's values, null ones too, and a map of its types; given and cleared once the watermark has passed the day."""
+    """Key: known, user and day. A list of the day's values, null ones too, and a map of its types; given and cleared once the watermark has passed the day."""
 
     RESULT = "user_id long, day timestamp, n long, middle double, top_type string"
 
@@ -60,7 +69,7 @@ class Days(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if not self.values.exists():
-            self.handle.registerTimer(int((key[1] + timedelta(days=1)).timestamp() * 1000))
+            self.handle.registerTimer(int((key[2] + timedelta(days=1)).timestamp() * 1000))
         for f in rows:
             self.values.appendList([(None if pd.isna(v) else float(v),) for v in f["value"]])
             for kind, n in f["event_type"].value_counts().items():
@@ -74,7 +83,7 @@ class Days(StatefulProcessor):
         self.values.clear()
         self.counts.clear()
         known = [v for v in values if v is not None]
-        yield pd.DataFrame({"user_id": pd.array([key[0]], dtype="Int64"), "day": [key[1]], "n": [len(values)], "middle": [median(known)], "top_type": [top(counts)]})
+        yield pd.DataFrame({"user_id": pd.array([_user(key)], dtype="Int64"), "day": [key[2]], "n": [len(values)], "middle": [median(known)], "top_type": [top(counts)]})
 
     def close(self) -> None:
         pass
@@ -83,18 +92,19 @@ class Days(StatefulProcessor):
 def open_days(spark: SparkSession, state: str) -> DataFrame:
     """What Days would give for the days that are still open in a checkpoint's state."""
     held = lambda name: spark.read.format("statestore").option("stateVarName", name).load(state)
-    key = [F.col("key.user_id").alias("user_id"), F.col("key.day").alias("day")]
+    user = F.when(F.col("key.known"), F.col("key.user"))
+    key = [user.alias("user_id"), F.col("key.day").alias("day")]
     values = held("values").groupBy(*key).agg(F.count("*").alias("n"), F.median("list_element.value").alias("middle"))
     order = F.struct(-F.col("user_map_value.n"), F.col("user_map_key.event_type"))
-    tops = held("counts").groupBy(F.col("key.user_id").alias("u"), F.col("key.day").alias("d")).agg(F.min_by("user_map_key.event_type", order).alias("top_type"))
+    tops = held("counts").groupBy(user.alias("u"), F.col("key.day").alias("d")).agg(F.min_by("user_map_key.event_type", order).alias("top_type"))
     same = F.col("user_id").eqNullSafe(F.col("u")) & (F.col("day") == F.col("d"))
     return values.join(tops, same, "left").select("user_id", "day", "n", "middle", "top_type")
 
 
 def user_days(events: DataFrame) -> DataFrame:
     """The stream of days of a stream of events."""
-    days = events.where("ts is not null").select("user_id", "event_type", "value", "ts", F.date_trunc("day", "ts").alias("day"))
-    return days.groupBy("user_id", "day").transformWithStateInPandas(Days(), Days.RESULT, "append", "eventTime")
+    days = keyed(events.where("ts is not null")).select("known", "user", "event_type", "value", "ts", F.date_trunc("day", "ts").alias("day"))
+    return days.groupBy("known", "user", "day").transformWithStateInPandas(Days(), Days.RESULT, "append", "eventTime")
 
 
 @query("""
@@ -112,7 +122,7 @@ def stream_user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Seen(StatefulProcessor):
-    """Key: user_id. A type is given the first time it is seen, and again once it has been forgotten."""
+    """Key: known and user. A type is given the first time it is seen, and again once it has been forgotten."""
 
     RESULT = "user_id long, event_type string"
 
@@ -131,14 +141,14 @@ class Seen(StatefulProcessor):
                 if not self.types.containsKey((name,)):
                     self.types.updateValue((name,), (timerValues.getCurrentProcessingTimeInMs(),))
                     new.append(kind)
-        yield pd.DataFrame({"user_id": pd.array([key[0]] * len(new), dtype="Int64"), "event_type": pd.array(new, dtype="object")})
+        yield pd.DataFrame({"user_id": pd.array([_user(key)] * len(new), dtype="Int64"), "event_type": pd.array(new, dtype="object")})
 
     def close(self) -> None:
         pass
 
 
 def first_seen(events: DataFrame, live_ms: int) -> DataFrame:
-    return events.select("user_id", "event_type").groupBy("user_id").transformWithStateInPandas(Seen(live_ms), Seen.RESULT, "append", "processingTime")
+    return keyed(events).select("known", "user", "event_type").groupBy("known", "user").transformWithStateInPandas(Seen(live_ms), Seen.RESULT, "append", "processingTime")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
