@@ -51,7 +51,7 @@ def test_mix_and_sequences(stages):
 
 def test_registered(spark):
     known = __spark_entry__.queries()
-    assert "pipeline" in known and {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in known if q.startswith("op")}
+    assert "pipeline" in known and {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in known if q.startswith("op")}
 
 
 @pytest.mark.parametrize("table", ["docs", "none"])
