@@ -36,8 +36,11 @@ def quantiles(rows: DataFrame, by: str, wanted: dict[str, tuple[str, float]]) ->
     """by and a column for each name: the exact quantile (column, share) of each group, between two values in proportion. Nulls don't count; one order serves all."""
     pairs = F.array(*(F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("value"), F.lit(float(share)).alias("share")) for name, (c, share) in wanted.items()))
     counts = rows.select(by, F.explode(pairs).alias("x")).where("x.value is not null").groupBy(by, "x.name", "x.value", "x.share").agg(F.count("*").alias("n"))
+    path = scratch(rows.sparkSession)  # read three times: to find ranges, to sort, and for the totals
+    counts.write.parquet(path)
+    counts = rows.sparkSession.read.schema(counts.schema).parquet(path)
     placed = running_sum(counts, [by, "name"], ["value"], "n")
-    totals = placed.groupBy(F.col(by).alias("_by"), F.col("name").alias("_name")).agg(((F.max("running") - 1) * F.max("share")).alias("place"))
+    totals = counts.groupBy(F.col(by).alias("_by"), F.col("name").alias("_name")).agg(((F.sum("n") - 1) * F.max("share")).alias("place"))
     same = F.col(by).eqNullSafe(F.col("_by")) & (F.col("name") == F.col("_name"))
     near = placed.join(totals, same)
     at = lambda rank: F.max(F.when((F.col("running") > rank) & (F.col("running") - F.col("n") <= rank), F.col("value")))
