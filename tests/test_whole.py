@@ -50,3 +50,14 @@ def test_state_of_quiet_users_is_given_up(spark, sf_dir):
     """Totals are whole though each user's state goes after a day."""
     want = {r["user_id"]: r["n"] for r in spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("user_id").count().withColumnRenamed("count", "n").collect()}
     assert {r["user_id"]: r["n"] for r in QUERIES["stream_custom_state"](spark, sf_dir).collect()} == want
+
+
+def test_recursion_has_no_limit_of_rows(spark, sf_dir):
+    """The session's limit, a million rows, is below what larger tables give."""
+    whole = sorted(map(tuple, QUERIES["recursive_cte"](spark, sf_dir).collect()))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "100")
+    try:
+        assert sorted(map(tuple, QUERIES["recursive_cte"](spark, sf_dir).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert sum(r[2] for r in whole) > 1000
