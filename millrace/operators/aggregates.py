@@ -76,9 +76,17 @@ def agg_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT c_nationkey, arg_max(c_custkey, c_acctbal) AS richest, arg_min(c_custkey, c_acctbal) AS poorest FROM customer WHERE c_custkey IS NOT NULL GROUP BY c_nationkey")
+@query("""
+SELECT c_nationkey, first(c_custkey ORDER BY c_acctbal DESC, c_custkey) FILTER (WHERE c_acctbal IS NOT NULL) AS richest,
+       first(c_custkey ORDER BY c_acctbal, c_custkey) FILTER (WHERE c_acctbal IS NOT NULL) AS poorest
+FROM customer WHERE c_custkey IS NOT NULL GROUP BY c_nationkey
+""")
 def agg_max_by(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").where("c_custkey is not null").groupBy("c_nationkey").agg(F.max_by("c_custkey", "c_acctbal").alias("richest"), F.min_by("c_custkey", "c_acctbal").alias("poorest"))
+    """Each nation's customers of the highest and the lowest balance; of equal balances the smallest key. Customers without a balance don't count."""
+    known = lambda *order: F.when(F.col("c_acctbal").isNotNull(), F.struct("c_acctbal", *order))
+    return table(spark, sf_dir, "customer").where("c_custkey is not null").groupBy("c_nationkey").agg(
+        F.max_by("c_custkey", known(F.bitwise_not("c_custkey"))).alias("richest"), F.min_by("c_custkey", known("c_custkey")).alias("poorest")
+    )
 
 
 @query("SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")

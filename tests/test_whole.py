@@ -2,9 +2,11 @@
 
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import __spark_entry__  # noqa: F401  registers the queries
 from millrace.operators.ordered import quantiles, running_sum
-from millrace.registry import QUERIES
+from millrace.registry import QUERIES, SQL
 
 
 def test_mode_of_all_sizes(spark, sf_dir):
@@ -61,3 +63,18 @@ def test_recursion_has_no_limit_of_rows(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.cteRecursionRowLimit")
     assert sum(r[2] for r in whole) > 1000
+
+
+def test_equal_balances_go_to_the_smallest_key(spark, tmp_path):
+    """In any order of rows; customers without a balance don't count."""
+    import duckdb
+
+    made = [(k, k % 2, None if k % 5 == 0 else float(k % 3)) for k in range(40)] + [(50, 7, None), (None, 0, 99.0)]
+    want = {(0, 2, 6), (1, 11, 3), (7, None, None)}
+    for order in ("c_custkey", "-c_custkey"):
+        rows = spark.createDataFrame(made, "c_custkey long, c_nationkey int, c_acctbal double").coalesce(1).orderBy(F.expr(order))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/customer.parquet")
+        assert {tuple(r) for r in QUERIES["agg_max_by"](spark, str(tmp_path)).collect()} == want
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+        assert set(con.sql(SQL["agg_max_by"]).fetchall()) == want
