@@ -158,3 +158,17 @@ def test_median_and_top():
 
     assert (median([]), median([3.0]), median([4.0, 1.0]), median([5.0, 1.0, 2.0])) == (None, 3.0, 2.5, 2.0)
     assert (top({}), top({"b": 2, "a": 2, "c": 1})) == (None, "a")
+
+
+def test_days_keep_a_key_for_each_bucket(spark, odd_rows, tmp_path):
+    """State and calls grow with buckets and days, not with users; the null user and user 0 stay apart."""
+    from millrace.streaming import state
+
+    events = spark.createDataFrame([(k % 40 or None, "view", float(k)) for k in range(400)] + [(0, None, None)], "user_id long, event_type string, value double")
+    events = events.selectExpr("*", "timestamp'2024-01-01 10:00:00' + make_dt_interval(int(coalesce(value, 0)) % 2) ts")
+    with state.rocks(spark):
+        _restarted(spark, lambda s: state.user_days(s.withWatermark("ts", "9 days"), 3), str(tmp_path), [events.where("value < 200"), events.where("value >= 200 or value is null")], events.schema)
+    held = spark.read.format("statestore").option("stateVarName", "events").load(f"{tmp_path}/state")
+    assert 0 < held.select("key").distinct().count() <= 6
+    found = {(r["user_id"], r["day"].day): (r["n"], r["middle"], r["top_type"]) for r in state.open_days(spark, f"{tmp_path}/state").collect()}
+    assert len(found) == 41 and found[0, 1] == (1, None, None) and found[None, 1] == (10, 180.0, "view") and found[1, 2] == (10, 181.0, "view")
