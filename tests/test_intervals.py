@@ -60,3 +60,18 @@ def test_numbers_that_are_not_finite(spark):
     points = spark.createDataFrame([(1, float("nan")), (2, float("inf")), (3, 1.0)], "p long, at double")
     spans = spark.createDataFrame([(1, 0.0, float("inf")), (2, float("nan"), 2.0), (3, 1.0, 1.0)], "k long, start double, end double")
     assert [tuple(r) for r in join_points(points, spans).select("p", "k").collect()] == [(3, 3)]
+
+
+def test_a_full_bin_is_a_grid_of_bounded_cells(spark):
+    """Both sides are dealt, into CELLS cells at most, so copies don't grow with the product of the sides; every pair is made once."""
+    from millrace.operators import intervals
+
+    points = spark.range(3000).selectExpr("id p", "5.0D + id % 7 / 10 at")
+    spans = spark.range(2000).selectExpr("id k", "5.0D start", "5.3D + id % 3 / 10 end")
+    grid = intervals._full(points.selectExpr("*", "1.0D width", "0L bin"), spans.selectExpr("*", "1.0D width", "0L bin"), 10).collect()
+    assert [tuple(r) for r in grid] == [(1.0, 0, 10, 6)] and 10 * 6 <= intervals.CELLS
+    found = join_points(points, spans, part=10).groupBy("p", "k").count()
+    expected = sum(5.0 + p % 7 / 10 <= 5.3 + k % 3 / 10 for p in range(3000) for k in range(2000))
+    assert found.count() == expected and found.where("count > 1").isEmpty()
+    few = spark.range(2).selectExpr("id k", "5.0D start", "6.0D end", "1.0D width", "0L bin")
+    assert [tuple(r) for r in intervals._full(points.selectExpr("*", "1.0D width", "0L bin"), few, 10).collect()] == [(1.0, 0, 64, 1)]
