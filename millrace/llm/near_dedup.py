@@ -17,7 +17,7 @@ shingle. Two documents are linked if the Jaccard similarity of their sets is hig
    whole sets, bounded in rows and elements, and counts all common shingles in one product of
    matrices, so links are exact; of those to one component a member needs the best only. Members of one
    component need no further pair, so no link between components is lost, and a group's pairs never
-   become rows. A member's set travels once to each block of the others: where a bucket holds many that
+   become rows. Of buckets with the same members one is compared. A member's set travels once to each block of the others: where a bucket holds many that
    are close and yet not linked, what is shuffled grows with the square of their number, by blocks.
 
 A linked pair shares no bucket with probability (1 - s ** rows) ** bands, at s = 0.8 and the defaults
@@ -236,11 +236,14 @@ def _block_links(how: Near):
 
 
 def _mixed(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """Rows of the buckets that hold several components: bucket, id, c, top (is c the largest?), and numbers of blocks."""
+    """Rows of the buckets that hold several components, one of those with the same members: bucket, id, c, top (is c the largest?), and numbers of blocks."""
     labelled = shared.join(comps, "id", "left").select("bucket", "id", "elements", F.coalesce("component", "id").alias("c"))
     labelled = written(labelled, "labelled")
-    sizes = labelled.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("elements").alias("m"))
-    buckets = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "c", "m")).alias("top")).where("parts > 1")
+    # members as two sums of 64-bit hashes: buckets of the same members have the same pairs, and one of them is enough
+    member = lambda k: F.sum(F.xxhash64("id", "elements", F.lit(k)).cast("decimal(20,0)")).alias(f"s{k}")
+    sizes = labelled.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("elements").alias("m"), member(0), member(1))
+    buckets = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("m").alias("m"), F.max(F.struct("n", "c", "m")).alias("top"), F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+    buckets = buckets.where("parts > 1").groupBy("n", "m", "s0", "s1").agg(F.min("bucket").alias("bucket"), F.min("top").alias("top"))
     ni = F.greatest(F.ceil((F.col("n") - F.col("top.n")) / QUERY_BLOCK), F.ceil((F.col("m") - F.col("top.m")) / ELEMENTS))
     nj = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("m") / (2 * ELEMENTS)))
     buckets = buckets.select("bucket", "n", F.col("top.c").alias("top"), ni.cast("int").alias("ni"), nj.cast("int").alias("nj"))

@@ -143,3 +143,13 @@ def test_blocks_of_any_size_lose_no_link(spark, monkeypatch, block, elements):
         rows.append((i, " ".join(copy)))
     found = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), Near(words=2)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == brute(rows, 2)
+
+
+def test_buckets_of_the_same_members_are_compared_once(spark):
+    rows = [(b, k, 10 + k) for b in (1, 2) for k in (1, 2, 3)] + [(3, 1, 11), (3, 2, 12), (4, 1, 11), (4, 3, 13), (5, 2, 12), (5, 3, 13)]
+    shared = spark.createDataFrame(rows, "bucket long, id long, elements long")
+    comps = spark.createDataFrame([(2, 2), (3, 2)], "id long, component long")
+    found = {}
+    for r in near_dedup._mixed(shared, comps).collect():
+        found.setdefault(r["bucket"], set()).add((r["id"], r["c"], r["top"]))
+    assert found == {1: {(1, 1, False), (2, 2, True), (3, 2, True)}, 3: {(1, 1, False), (2, 2, True)}, 4: {(1, 1, False), (3, 2, True)}}
