@@ -197,14 +197,20 @@ def rows_of(values: np.ndarray, node: np.ndarray, count: int = ROWS) -> np.ndarr
     return x
 
 
-def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _odds(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each branch's chance is in proportion to, and the sums."""
     rows = rows.view(np.int64)
     z = weights.take(rows[0], axis=0)
     for r in rows[1:]:
         z += weights.take(r, axis=0)
     np.clip(z, -30, 30, out=z)  # no overflow, and cheaper than to take each row's largest
     np.exp(z, out=z)
-    z /= (z @ _ONES)[:, None]  # a product sums short rows faster
+    return z, z @ _ONES  # a product sums short rows faster
+
+
+def _chances(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    z, total = _odds(weights, rows)
+    z /= total[:, None]
     return z
 
 
@@ -212,8 +218,8 @@ def log_chances(weights: np.ndarray, ids: np.ndarray, context: np.ndarray, tree:
     """log10 of each outcome's probability."""
     total, values = np.zeros(len(ids)), mixed(context)
     for live, node, branch in tree.levels(ids):
-        z = _chances(weights, rows_of(values.take(live, axis=1), node, len(weights)))
-        total[live] += np.log10(np.maximum(z[np.arange(len(live)), branch], 1e-30))
+        z, whole = _odds(weights, rows_of(values.take(live, axis=1), node, len(weights)))
+        total[live] += np.log10(np.maximum(z[np.arange(len(live)), branch] / whole, 1e-30))
     return total
 
 
