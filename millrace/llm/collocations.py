@@ -340,21 +340,28 @@ def pair_counts(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return in_arrow(rows, run, "x long, y long, n long").groupBy("x", "y").agg(F.sum("n").alias("n"))
 
 
-def _pairs(frequent: DataFrame, most: int) -> Pairs:
-    """Frequent pairs ranked anew. frequent: x, y, n."""
-    ranked = frequent.where("x >= 0 and y >= 0")
-    held = heaviest(ranked, "n", most).select("x", "y", "n").toArrow()  # `most` rows at most
-    x, y, n = (held[c].to_numpy() for c in ("x", "y", "n"))
-    key = x << WORD_BITS | y
+def _ranked(rows: DataFrame, most: int) -> tuple[np.ndarray, ...]:
+    """Keys of the pairs that tasks hold, in order, with their ids; words by id. rows: pairs of ids."""
+    held = heaviest(rows, "n", most).select(F.expr(f"shiftleft(x, {WORD_BITS}) | y").alias("key"), "n").toArrow()  # `most` rows at most
+    key, n = (held[c].to_numpy() for c in ("key", "n"))
+    del held
     rank = np.lexsort((key, -n))
     ids = np.empty(len(key), dtype=np.int32)
     ids[rank] = np.arange(len(key), dtype=np.int32)
+    left, right = ((key >> WORD_BITS).astype(np.int32)[rank], (key & (1 << WORD_BITS) - 1).astype(np.int32)[rank])
     order = np.argsort(key)
+    return key[order], ids[order], left, right
+
+
+def _pairs(frequent: DataFrame, most: int) -> Pairs:
+    """Frequent pairs ranked anew. frequent: x, y, n."""
+    held = _ranked(frequent.where("x >= 0 and y >= 0"), most)
     others = None
-    if len(key) < frequent.count():
+    if len(held[0]) < frequent.count():
+        give_back()  # what ranking took, before the bitmap comes
         hashes = lambda batches: (pa.RecordBatch.from_arrays([pa.array(pair_hash(b.column(0).to_numpy(), b.column(1).to_numpy()))], names=["hash"]) for b in batches)
         others = Bitmap(written(in_arrow(frequent.select("x", "y"), hashes, "hash long"), "hashes"), "hash")
-    return Pairs(key[order], ids[order], x[rank].astype(np.int32), y[rank].astype(np.int32), others)
+    return Pairs(*held, others)
 
 
 def triple_counts(rows: DataFrame, vocabulary: Vocabulary, pairs: Pairs) -> DataFrame:

@@ -177,10 +177,13 @@ class Bitmap:
     def __init__(self, numbers: DataFrame, column: str, most: int = MOST):
         self.size = max(64, min(most, 16 * numbers.count() + 1))
         at = F.pmod(F.col(column), F.lit(self.size))
-        words = numbers.select(F.floor(at / 32).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {self.size}L) % 32 AS int))").alias("b"))
-        found = words.groupBy("w").agg(F.bit_or("b").alias("bits")).toPandas()  # size / 32 rows at most
+        words = numbers.select(F.floor(at / 32).cast("int").alias("w"), F.expr(f"shiftleft(1, cast(pmod(`{column}`, {self.size}L) % 32 AS int))").alias("b"))
+        # size / 32 rows of 8 bytes at most; in Arrow, as the driver would hold hundreds of bytes for each as an object
+        found = words.groupBy("w").agg(F.bit_or("b").alias("bits")).toArrow()
         self.words = np.zeros(self.size // 32 + 1, dtype=np.uint32)
-        self.words[found["w"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64).astype(np.uint32)
+        for batch in found.to_batches():
+            w, bits = (c.to_numpy() for c in batch.columns)
+            self.words[w] = bits.view(np.uint32)
 
     def holds(self, numbers: np.ndarray) -> np.ndarray:
         at = numbers.astype(np.int64) % self.size

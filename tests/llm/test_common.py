@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -15,6 +17,19 @@ def test_bitmap_holds_all_that_was_put_in(spark):
     assert not Bitmap(spark.range(0), "id").holds(numbers).any()
 
 
+def test_bitmap_comes_without_objects(spark):
+    """The driver holds no Python object for a word of bits: of 50,001 words that would be more than 10 MB."""
+    numbers = spark.range(100_000).select(F.xxhash64("id").alias("x"))
+    tracemalloc.start()
+    try:
+        bits = Bitmap(numbers, "x")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(bits.words) == 50_001 and peak < 4e6
+    assert bits.holds(np.array([r["x"] for r in numbers.limit(1000).collect()])).all()
+
+
 def test_join_of_large_and_small_groups(spark):
     rows = spark.range(5000).select("id", F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 7 + 1).alias("g"))
     groups = rows.where("g <> 3").groupBy("g").agg(F.count("*").alias("n"))
